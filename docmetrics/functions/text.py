@@ -336,8 +336,8 @@ def first_line(doc: Column) -> Column:
 
 def source_has_docstring(source: Column) -> Column:
     """The first code line after the first line of the source opens with triple quotes."""
-    body = F.transform(F.slice(lines_of(source), 2, 2147483647), strip)
-    code = F.filter(body, lambda x: (x != "") & ~x.startswith("#"))
+    body = F.transform(lines_of(source), strip)
+    code = F.filter(body, lambda x, i: (i > 0) & (x != "") & ~x.startswith("#"))
     return F.coalesce(F.get(code, F.lit(0)).rlike(r"^(?:\"\"\"|''')"), F.lit(False))
 
 

@@ -219,3 +219,83 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bound(spark, sf_dir, GROUP_COUNTS)
     return counts.withColumn("coverage", percent(F.col("documented"), F.col("total")))
+
+
+def spark_text(sql: str) -> str:
+    """A projection for `spark.sql`, its tables still named in braces."""
+    return sql.format(**_SPARK, **{t: "{" + t + "}" for t in TABLES})
+
+
+# ---- inputs of single jobs ------------------------------------------------------------
+
+# Paths of every sort the file test knows, one per customer.
+FILE_PATHS = """
+SELECT c_custkey, CASE CAST(c_custkey % 10 AS INT)
+ WHEN 0 THEN '/app/Migrations/step' || c_custkey || '.py' WHEN 1 THEN '/app/0123456789ab_' || c_custkey || '.py'
+ WHEN 2 THEN '/app/__pycache__/c' || c_custkey || '.py' WHEN 3 THEN '/app/tests/test_' || c_custkey || '.py'
+ WHEN 4 THEN '/app/c' || c_custkey || '/__init__.py' WHEN 5 THEN '/app/c' || c_custkey || '/setup.py'
+ WHEN 6 THEN '/app/_' || c_custkey || '.py' WHEN 7 THEN '/app/test_' || c_custkey || '.py'
+ WHEN 8 THEN '/app/' || lower(c_mktsegment) || '.v' || c_custkey || '.py'
+ ELSE '/app/' || lower(c_mktsegment) || '/c' || c_custkey || '.py' END AS file_path
+FROM {customer}
+"""
+
+# New docstrings for the items of documents marked toxic.
+EDITS = f"""
+SELECT i.project, i.module, i.qualname, i.lineno, 'Checked ' || i.item_ordinal AS new_docstring,
+ i.item_ordinal AS edited_at
+FROM ({ITEMS}) i JOIN {{labels}} e ON e.doc_id = i.item_ordinal WHERE e.toxic = 1
+"""
+
+# The same items before any text was taken away by a label.
+UNLABELLED_ITEMS = ITEMS.replace(
+    "CASE WHEN quality = 0 THEN NULL WHEN toxic = 1 THEN '  ' ELSE doc END AS docstring",
+    "doc AS docstring",
+)
+
+# Markdown made of a whole text between heading, bullets, code and a table.
+MARKDOWN = f"""
+SELECT doc_id, '# ' || source || {NL} || {NL} || '- **one** ' || lang || {NL} || '  - `two`' || {NL}
+ || text || {NL} || {NL} || '| a | b |' || {NL} || '|---|---|' || {NL} || '| ' || doc_id || ' | *x* |'
+ || {NL} || {NL} || '```python' || {NL} || 'y = 1' || {NL} || '```' || {NL} || '```' || {NL} || 'z' || {NL}
+ || '```' || {NL} || '[here](http://example.com/' || doc_id || ')' || {NL} || '## End' || {NL} || '- last' AS md
+FROM {{documents}}
+"""
+
+# Events as items of their type, for the page that goes with the event snapshots.
+EVENT_ITEMS = """
+SELECT event_type AS project, 'FUNCTION' AS method, 'e' || event_id AS qualname,
+ CASE WHEN value > 20 THEN props END AS docstring FROM {events}
+"""
+
+# Overview texts per project, drawn from its documents; one project has none.
+OVERVIEWS = """
+SELECT 'p' || CAST(n_chars % 3 AS {text}) AS project,
+ CASE WHEN n_chars % 3 < 2 THEN 'Purpose of ' || max(source) ELSE '' END AS project_purpose,
+ CASE WHEN n_chars % 3 = 1 THEN max(lang) END AS business_context, '' AS key_business_value
+FROM {documents} GROUP BY n_chars % 3
+"""
+
+# Five edits per part file: the method's docstring, the module's, one too far down, one in an
+# unknown file, one of a kind that holds no docstring.
+_PART_EDIT = """
+SELECT p_brand AS project, '/src/' || p_type || '/part' || p_partkey || '{ending}' AS file_path,
+ 'part' || p_partkey AS module, '{method}' AS method, {lineno} AS lineno,
+ {doc} AS new_docstring, p_partkey AS edited_at FROM {{part}}
+"""
+PART_EDITS = " UNION ALL ".join(
+    _PART_EDIT.format(ending=ending, method=method, lineno=lineno, doc=doc)
+    for ending, method, lineno, doc in [
+        (".py", "FUNCTION", 6, "'Cost of ' || p_brand || '.'"),
+        (".py", "MODULE", 1, "'About ' || p_type || '.'"),
+        (".py", "FUNCTION", 4000, "'Far down'"),
+        (".gone", "FUNCTION", 6, "'Nowhere'"),
+        (".py", "METADATA", 2, "'No docstring here'"),
+    ]
+)
+
+
+def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files after the method docstring of every even-sized part was edited."""
+    doc = f"CASE WHEN p_size % 2 = 0 THEN {PATCHED_DOC} ELSE {_METHOD_DOC} END"
+    return bound(spark, sf_dir, source_sql(doc))
