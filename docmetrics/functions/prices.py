@@ -80,10 +80,8 @@ def price_key(
 
 
 def _list_price(key: Column, side: str, prices: Sequence[Price]) -> Column:
-    out = F.lit(None).cast("decimal(10,4)")
-    for p in prices:
-        out = F.when(key == p.model, F.lit(Decimal(getattr(p, side))).cast("decimal(10,4)")).otherwise(out)
-    return out
+    pairs = [(F.lit(p.model), F.lit(Decimal(getattr(p, side))).cast("decimal(10,4)")) for p in prices]
+    return F.element_at(F.create_map(*[x for pair in pairs for x in pair]), key)
 
 
 def token_cost(
@@ -118,12 +116,12 @@ def estimate_cost(model: Column, tokens: Column, prices: Sequence[Price] = PRICE
 
 def price_label(model: Column, prices: Sequence[Price] = PRICE_LIST) -> Column:
     """Price per token as `$input/$output`, five digits each."""
-    key = price_key(model, prices, "exact")
-    label = F.lit(None).cast("string")
-    for p in prices:
-        text = f"${float(p.input) / 1e6:.5f}/${float(p.output) / 1e6:.5f}"
-        label = F.when(key == p.model, F.lit(text)).otherwise(label)
-    return label
+    labels = [
+        x
+        for p in prices
+        for x in (F.lit(p.model), F.lit(f"${float(p.input) / 1e6:.5f}/${float(p.output) / 1e6:.5f}"))
+    ]
+    return F.element_at(F.create_map(*labels), price_key(model, prices, "exact"))
 
 
 def format_cost(cost: Column) -> Column:

@@ -144,14 +144,17 @@ def with_docstring_facts(
     items: DataFrame, params_mode: str = "first_line", exceptions_mode: str = "reference"
 ) -> DataFrame:
     """Everything read from the docstring text, for function and endpoint rows."""
-    doc = F.when(c("method").isin(FUNCTION_LIKE), c("docstring"))
+    doc, marks = c("_doc"), c("_marks")
     return (
-        items.withColumns(
+        items.withColumn("_doc", F.when(c("method").isin(FUNCTION_LIKE), c("docstring")))
+        .withColumn("_marks", tx.section_marks(doc))
+        .withColumns(
             {
-                "documented_params": tx.documented_params(doc, params_mode),
+                "documented_params": tx.documented_params(doc, marks, params_mode),
                 "has_return_doc": tx.has_return_doc(doc),
-                "_hits": tx.style_hits(doc),
-                "documented_exceptions": tx.documented_exceptions(doc, exceptions_mode),
+                "_hits": tx.style_hits(marks),
+                "_empty": tx.empty_google_headers(doc, marks),
+                "documented_exceptions": tx.documented_exceptions(doc, marks, exceptions_mode),
             }
         )
         .withColumns(
@@ -159,11 +162,11 @@ def with_docstring_facts(
                 "missing_params": tx.missing_params(c("actual_params"), c("documented_params")),
                 "extra_params": tx.extra_params(c("actual_params"), c("documented_params")),
                 "docstring_style": tx.docstring_style(doc, c("_hits")),
-                "style_issues": tx.style_issues(doc, c("_hits")),
+                "style_issues": tx.style_issues(doc, c("_hits"), c("_empty")),
                 "has_exception_doc": F.size(c("documented_exceptions")) > 0,
             }
         )
-        .drop("_hits")
+        .drop("_doc", "_marks", "_hits", "_empty")
     )
 
 

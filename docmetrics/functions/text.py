@@ -8,41 +8,34 @@ group recurses once per line and overflows the stack on a long docstring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------------------
 # Section words and patterns that decide results.
-GOOGLE_STYLE = [
-    r"(?:Args?|Arguments?):\s*\n",
-    r"(?:Returns?|Return):\s*\n",
-    r"(?:Yields?|Yield):\s*\n",
-    r"(?:Raises?|Raise):\s*\n",
-    r"(?:Note|Notes?):\s*\n",
-    r"(?:Example|Examples?):\s*\n",
+# Section words per docstring style; each entry of a style counts once.
+GOOGLE_SECTIONS = [
+    ["arg", "args", "argument", "arguments"],
+    ["return", "returns"],
+    ["yield", "yields"],
+    ["raise", "raises"],
+    ["note", "notes"],
+    ["example", "examples"],
 ]
-NUMPY_STYLE = [
-    r"Parameters\s*\n\s*[-=]+",
-    r"Returns?\s*\n\s*[-=]+",
-    r"Yields?\s*\n\s*[-=]+",
-    r"Raises?\s*\n\s*[-=]+",
-    r"Notes?\s*\n\s*[-=]+",
-    r"Examples?\s*\n\s*[-=]+",
+NUMPY_SECTIONS = [
+    ["parameters"],
+    ["return", "returns"],
+    ["yield", "yields"],
+    ["raise", "raises"],
+    ["note", "notes"],
+    ["example", "examples"],
 ]
-SPHINX_STYLE = [
-    r":param\s+\w+:",
-    r":type\s+\w+:",
-    r":returns?:",
-    r":rtype:",
-    r":raises?\s+\w+:",
-    r":note:",
-    r":example:",
+# Sphinx fields; those marked with a blank at the end carry a name.
+SPHINX_FIELDS = [
+    ["param "], ["type "], ["return", "returns"], ["rtype"], ["raise ", "raises "], ["note"], ["example"],
 ]
-GOOGLE_HEADERS = [
-    "Arg", "Args", "Argument", "Arguments", "Return", "Returns", "Yield", "Yields",
-    "Raise", "Raises", "Note", "Notes", "Example", "Examples",
-]
-PARAM_HEADER = r"(?:Args?|Arguments?|Parameters?)"
+SECTION_WORDS = "Args?|Arguments?|Returns?|Yields?|Raises?|Notes?|Examples?"
+PARAM_WORDS = ["arg", "args", "argument", "arguments", "parameter", "parameters"]
 PARAM_NAME = r"\s+(\w+)(?:\s*\([^)]*\))?\s*:"
 EXCEPTION_NAME = r"(\w+(?:\.\w+)*(?:Error|Exception|\w+))"
 BUILTIN_TYPES = [
@@ -98,17 +91,41 @@ def list_text(col: Column) -> Column:
 # ---- parameters and return ------------------------------------------------------------
 
 
-def documented_params(doc: Column, mode: str = "first_line") -> Column:
+def section_marks(doc: Column) -> Column:
+    """Section marks of a docstring in lower case: google, numpy and sphinx arrays.
+
+    One scan per style. Google headers and sphinx fields are looked for at colons, the
+    words before them by look-behind, so plain text is passed over quickly; numpy headers
+    only where the text has a ruler character at all.
+    """
+
+    def scan(pattern, guard):
+        found = F.regexp_extract_all(doc, F.lit(pattern), F.lit(1))
+        return F.when(guard, F.transform(found, F.lower)).otherwise(no_strings())
+
+    colon = F.coalesce(doc.contains(":"), F.lit(False))
+    ruler = F.coalesce(doc.contains("-") | doc.contains("="), F.lit(False))
+    google = scan(rf"(?iUd):(?<=({SECTION_WORDS}|Parameters?):)\s*\n", colon)
+    numpy = scan(
+        r"(?iUd)(Parameters|Returns?|Yields?|Raises?|Notes?|Examples?)\s*\n\s*[-=]+", ruler
+    )
+    field = r"(?iUd):((?:param|type|raises?)\s+\w+|returns?|rtype|note|example)(?=:)"
+    sphinx = F.transform(
+        scan(field, colon), lambda x: F.regexp_replace(x, r"(?Us)\s+\w+\z", " ")
+    )
+    return F.struct(google.alias("google"), numpy.alias("numpy"), sphinx.alias("sphinx"))
+
+
+def documented_params(doc: Column, marks: Column, mode: str = "first_line") -> Column:
     """Parameter names a docstring describes.
 
     `first_line` reads only the first line of an argument section, `section` reads it to
     the next section. Without any such name, `:param x:` fields are used.
     """
-    header = rf"{PARAM_HEADER}:\s*\n"
+    header = r":(?<=(?:Args?|Arguments?|Parameters?):)\s*\n"
     if mode == "first_line":
         body = F.regexp_extract(doc, rf"(?iUd){header}([^\n]*)", 1)
-        first = F.regexp_extract(body, rf"(?Ud)^{PARAM_NAME}", 1)
-        google = F.when(first != "", F.array(first)).otherwise(no_strings())
+        google = F.regexp_extract_all(body, F.lit(rf"(?Ud)\A{PARAM_NAME}"), F.lit(1))
     elif mode == "section":
         stop = r"\n\s*(?:Returns?|Return|Yields?|Yield|Raises?|Note|Example)s?:"
         body = F.regexp_extract(doc, rf"(?isUd){header}(.*?)(?={stop}|\z)", 1)
@@ -116,13 +133,15 @@ def documented_params(doc: Column, mode: str = "first_line") -> Column:
     else:
         raise ValueError(f"unknown mode {mode!r}")
     sphinx = F.regexp_extract_all(doc, F.lit(r"(?Ud):param\s+(\w+):"), F.lit(1))
-    found = F.when(F.size(google) > 0, google).otherwise(sphinx)
+    has_section = F.arrays_overlap(marks["google"], F.array(*[F.lit(w) for w in PARAM_WORDS]))
+    found = F.when(has_section, google).otherwise(no_strings())
+    found = F.when(F.size(found) > 0, found).otherwise(sphinx)
     return F.when(is_given(doc), found).otherwise(no_strings())
 
 
 def has_return_doc(doc: Column) -> Column:
-    pattern = r"(?iUd)(?:(?:Returns?|Return|Yields?|Yield):|:returns?:)"
-    return F.coalesce(doc.rlike(pattern), F.lit(False))
+    """A return or yield word directly before a colon; `:returns:` is one of them."""
+    return F.coalesce(doc.rlike(r"(?iUd):(?<=(?:returns?|yields?):)"), F.lit(False))
 
 
 def missing_params(actual: Column, documented: Column) -> Column:
@@ -142,18 +161,18 @@ def docstring_length(doc: Column) -> Column:
 # ---- style ----------------------------------------------------------------------------
 
 
-def _hits(doc: Column, patterns: list[str]) -> Column:
-    total = F.lit(0)
-    for p in patterns:
-        total = total + F.coalesce(doc.rlike(rf"(?imUd){p}").cast("int"), F.lit(0))
-    return total
+def style_hits(marks: Column) -> Column:
+    """How many sections of each style a docstring shows."""
 
+    def count(style, sections):
+        total = F.lit(0)
+        for words in sections:
+            seen = F.arrays_overlap(marks[style], F.array(*[F.lit(w) for w in words]))
+            total = total + F.coalesce(seen.cast("int"), F.lit(0))
+        return total.alias(style)
 
-def style_hits(doc: Column) -> Column:
     return F.struct(
-        _hits(doc, GOOGLE_STYLE).alias("google"),
-        _hits(doc, NUMPY_STYLE).alias("numpy"),
-        _hits(doc, SPHINX_STYLE).alias("sphinx"),
+        count("google", GOOGLE_SECTIONS), count("numpy", NUMPY_SECTIONS), count("sphinx", SPHINX_FIELDS)
     )
 
 
@@ -165,35 +184,51 @@ def _leading_styles(hits: Column) -> Column:
     )
 
 
-def docstring_style(doc: Column, hits: Column | None = None) -> Column:
+def docstring_style(doc: Column, hits: Column) -> Column:
     """google, numpy, sphinx by most section marks (ties in that order), else plain."""
-    hits = style_hits(doc) if hits is None else hits
     first = F.get(_leading_styles(hits), F.lit(0))
     return F.when(is_given(doc), F.coalesce(first, F.lit("plain")))
 
 
-def _google_issues(doc: Column) -> Column:
-    # A section is empty when an empty line follows its header and the next text is not
-    # indented. The colon is captured only where the first usable header is empty.
+def empty_google_headers(doc: Column, marks: Column) -> Column:
+    """Header words whose first usable section is empty, in lower case.
+
+    A section is empty when an empty line follows its header and the next text is not
+    indented. The colon is captured only where the first usable header is empty. Only
+    words the docstring has are looked at.
+    """
     empty = r"[^\S\n]*\n(?:\s*+\z|(?=\n)\s*+(?<=\n)\S)"
     used = r"[^\S\n]*\n\s"
-    flags = F.create_map(
-        *[
-            part
-            for h in GOOGLE_HEADERS
-            for part in (
-                F.lit(h.lower()),
-                F.regexp_extract(doc, rf"(?iUd){h}(?:(:)(?={empty})|:(?={used}))", 1) == ":",
-            )
-        ]
+
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.array_contains(marks["google"], word)
+                    & (
+                        F.regexp_extract(
+                            doc, rf"(?iUd)(?:(:)(?={empty})|:(?={used}))(?<={word}:)", 1
+                        )
+                        == ":"
+                    ),
+                    word,
+                )
+                for words in GOOGLE_SECTIONS
+                for word in words
+            ]
+        )
     )
+
+
+def _google_issues(doc: Column, empty: Column) -> Column:
     headers = F.regexp_extract_all(
         doc,
         F.lit(r"(?miUd)^\s*(Args?|Arguments?|Returns?|Yields?|Raises?|Notes?|Examples?):\s*$"),
         F.lit(1),
     )
-    empty_ones = F.filter(headers, lambda h: F.element_at(flags, F.lower(h)))
-    return F.transform(empty_ones, lambda h: F.concat(F.lit("Empty "), h, F.lit(" section")))
+    empty_ones = F.filter(headers, lambda h: F.array_contains(empty, F.lower(h)))
+    issues = F.transform(empty_ones, lambda h: F.concat(F.lit("Empty "), h, F.lit(" section")))
+    return F.when(F.size(empty) > 0, issues).otherwise(no_strings())
 
 
 def _numpy_issues(doc: Column) -> Column:
@@ -217,9 +252,12 @@ def _sphinx_issues(doc: Column) -> Column:
     return F.when(F.size(untyped) > 0, F.array(text)).otherwise(no_strings())
 
 
-def style_issues(doc: Column, hits: Column | None = None) -> Column:
-    """A mixed-style note, then the issues of the leading style."""
-    hits = style_hits(doc) if hits is None else hits
+def style_issues(doc: Column, hits: Column, empty: Column) -> Column:
+    """A mixed-style note, then the issues of the leading style.
+
+    `hits` and `empty` come from `style_hits` and `empty_google_headers`, as columns of
+    their own: they are used several times and must not be worked out each time.
+    """
     leaders = _leading_styles(hits)
     style = docstring_style(doc, hits)
     mixed = F.when(
@@ -227,7 +265,7 @@ def style_issues(doc: Column, hits: Column | None = None) -> Column:
         F.array(F.concat(F.lit("Mixed docstring styles detected: "), list_text(leaders))),
     ).otherwise(no_strings())
     own = (
-        F.when(style == "google", _google_issues(doc))
+        F.when(style == "google", _google_issues(doc, empty))
         .when(style == "numpy", _numpy_issues(doc))
         .when(style == "sphinx", _sphinx_issues(doc))
         .otherwise(no_strings())
@@ -238,19 +276,24 @@ def style_issues(doc: Column, hits: Column | None = None) -> Column:
 # ---- exceptions -----------------------------------------------------------------------
 
 
-def documented_exceptions(doc: Column, mode: str = "reference") -> Column:
+def documented_exceptions(doc: Column, marks: Column, mode: str = "reference") -> Column:
     """Exception names of a Raises section or `:raises X:` fields, first seen first.
 
     `reference` reads a numpy section only from indented lines; `section` reads the
     names at the start of its lines.
     """
     line = r"[^\S\n]\s*+\S[^\n]*(?:\n(?=\s|\z))?"
-    block = F.regexp_extract(doc, rf"(?iUd)Raises?:[^\S\n]*\n(?=\s|\z)(\n*+(?:{line})*+)", 1)
+    block = F.regexp_extract(
+        doc, rf"(?iUd):(?<=Raises?:)[^\S\n]*\n(?=\s|\z)(\n*+(?:{line})*+)", 1
+    )
     google = F.regexp_extract_all(
         block, F.lit(rf"(?mUd)^\s+{EXCEPTION_NAME}(?:\s*:|\s+)"), F.lit(1)
     )
     ruled = r"(?isUd)Raises?\s*\n\s*[-=]+\s*\n(.*?)(?=\n\s*\w+\s*\n\s*[-=]+|\z)"
-    numpy_block = F.regexp_extract(doc, ruled, 1)
+    raise_words = F.array(F.lit("raise"), F.lit("raises"))
+    numpy_block = F.when(
+        F.arrays_overlap(marks["numpy"], raise_words), F.regexp_extract(doc, ruled, 1)
+    ).otherwise("")
     if mode == "reference":
         name = r"(?mUd)^\s+(\w+(?:Error|Exception))"
     elif mode == "section":
@@ -266,39 +309,40 @@ def documented_exceptions(doc: Column, mode: str = "reference") -> Column:
 # ---- sections -------------------------------------------------------------------------
 
 
-def docstring_sections(doc: Column) -> Column:
-    """description, args(name, description), returns, raises(type, description).
+# These jobs add columns in steps. A step's result is read several times by the next, and
+# an expression pasted into a lambda would run once per line.
+
+
+def with_docstring_sections(df: DataFrame, doc: str, name: str) -> DataFrame:
+    """Add description, args(name, description), returns, raises(type, description).
 
     Each line is labelled with the last header at or above it, then the labelled lines
     are filtered, so text is joined once per section and not copied line by line.
     """
-    trimmed = F.transform(lines_of(strip(doc)), strip)
-    low = F.transform(trimmed, F.lower)
-    code = (
-        lambda x: F.when(x.startswith("args:") | x.startswith("arguments:"), F.lit(1))
-        .when(x.startswith("returns:"), F.lit(2))
-        .when(x.startswith("raises:"), F.lit(3))
-        .otherwise(F.lit(0))
-    )
-    marks = F.filter(
-        F.transform(low, lambda x, i: F.struct(i.alias("at"), code(x).alias("code"))),
-        lambda m: m["code"] > 0,
-    )
+
+    def code(x):
+        low = F.lower(F.left(x, F.lit(10)))
+        return (
+            F.when(low.startswith("args:") | low.startswith("arguments:"), F.lit(1))
+            .when(low.startswith("returns:"), F.lit(2))
+            .when(low.startswith("raises:"), F.lit(3))
+            .otherwise(F.lit(0))
+        )
+
+    lines, marks = F.col("_lines"), F.col("_marks")
 
     def label(x, i):
         above = F.filter(marks, lambda m: m["at"] <= i)
         last = F.get(above, F.size(above) - 1)
-        is_header = F.coalesce(last["at"] == i, F.lit(False))
-        return F.struct(
-            x.alias("text"),
-            F.when(is_header, F.lit(-1)).otherwise(F.coalesce(last["code"], F.lit(0))).alias("part"),
-        )
+        part = F.when(last["at"] == i, F.lit(-1)).otherwise(last["code"])
+        return F.struct(x.alias("text"), F.coalesce(part, F.lit(0)).alias("part"))
 
-    labelled = F.filter(F.transform(trimmed, label), lambda x: (x["text"] != "") & (x["part"] >= 0))
+    def plain(x):
+        return F.struct(x.alias("text"), F.lit(0).alias("part"))
 
     def texts(part, closed=False):
         keep = F.filter(
-            labelled,
+            F.col("_labelled"),
             lambda x: (x["part"] == part) & (F.lit(closed) | ~x["text"].endswith(":")),
         )
         return F.transform(keep, lambda x: x["text"])
@@ -316,14 +360,25 @@ def docstring_sections(doc: Column) -> Column:
             ),
         )
 
-    return F.when(
-        is_given(doc),
-        F.struct(
-            joined(texts(0, closed=True)).alias("description"),
-            pairs(texts(1), "name").alias("args"),
-            joined(texts(2)).alias("returns"),
-            pairs(texts(3), "type").alias("raises"),
-        ),
+    found = F.filter(
+        F.transform(lines, lambda x, i: F.struct(i.alias("at"), code(x).alias("code"))),
+        lambda m: m["code"] > 0,
+    )
+    labelled = F.when(F.size(marks) == 0, F.transform(lines, plain)).otherwise(
+        F.transform(lines, label)
+    )
+    sections = F.struct(
+        joined(texts(0, closed=True)).alias("description"),
+        pairs(texts(1), "name").alias("args"),
+        joined(texts(2)).alias("returns"),
+        pairs(texts(3), "type").alias("raises"),
+    )
+    return (
+        df.withColumn("_lines", F.when(is_given(F.col(doc)), F.transform(lines_of(F.col(doc)), strip)))
+        .withColumn("_marks", found)
+        .withColumn("_labelled", F.filter(labelled, lambda x: x["text"] != ""))
+        .withColumn(name, F.when(is_given(F.col(doc)), sections))
+        .drop("_lines", "_marks", "_labelled")
     )
 
 
@@ -449,9 +504,9 @@ def prompt_text(
     )
 
 
-def markdown_to_storage(md: Column) -> Column:
+def with_storage_markup(df: DataFrame, md: str, name: str) -> DataFrame:
     """Markdown to wiki storage markup, by ordered replacements; lists and table rows per line."""
-    x = md
+    x = F.col(md)
     # Fixed patterns, in the order they apply.
     for pattern, target in [
         (r"(?mUd)^### (.+)$", "<h3>$1</h3>"),
@@ -496,7 +551,7 @@ def markdown_to_storage(md: Column) -> Column:
             (first > 0) & (last - first >= 2), F.concat(F.left(line, first - 1), shown, tail)
         ).otherwise(line)
 
-    source_lines = lines_of(x)
+    source_lines = F.col("_lines")
 
     def rendered(line, i):
         before = F.coalesce(is_bullet(F.get(source_lines, i - 1)), F.lit(False))
@@ -509,6 +564,7 @@ def markdown_to_storage(md: Column) -> Column:
             F.coalesce(opening, F.lit("")), body, F.coalesce(closing, F.lit(""))
         )
 
+    marked = df.withColumn("_lines", lines_of(x))
     x = F.array_join(F.transform(source_lines, rendered), "\n")
     x = F.concat(F.lit("<p>"), F.replace(x, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>"))
     for pattern, target in [
@@ -517,4 +573,4 @@ def markdown_to_storage(md: Column) -> Column:
         (r"(</h[1-6]>)</p>", "$1"),
     ]:
         x = F.regexp_replace(x, pattern, target)
-    return x
+    return marked.withColumn(name, x).drop("_lines")

@@ -171,8 +171,8 @@ def documented_exceptions_section(spark, sf):
 
 @query
 def docstring_sections(spark, sf):
-    s = tx.docstring_sections(F.col("docstring"))
-    rows = b.items(spark, sf).select("item_ordinal", s.alias("s"))
+    items = b.items(spark, sf).select("item_ordinal", "docstring")
+    rows = tx.with_docstring_sections(items, "docstring", "s")
     pair = lambda name, first: F.array_join(
         F.transform(F.col(f"s.{name}"), lambda x: F.concat(x[first], F.lit("="), x["description"])), "|"
     )
@@ -217,9 +217,8 @@ def latex_texts(spark, sf):
 @query
 def wiki_texts(spark, sf):
     """Whole texts with headings, bullets, code and links put around them, as wiki markup."""
-    return b.bound(spark, sf, b.MARKDOWN).select(
-        "doc_id", F.md5(tx.markdown_to_storage(F.col("md"))).alias("storage_md5")
-    )
+    rows = tx.with_storage_markup(b.bound(spark, sf, b.MARKDOWN), "md", "storage")
+    return rows.select("doc_id", F.md5("storage").alias("storage_md5"))
 
 
 @query

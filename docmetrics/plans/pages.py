@@ -372,8 +372,9 @@ def page_master(
 
 def endpoint_pages(items: DataFrame) -> DataFrame:
     """One page row per endpoint: title and storage markup. Row by row, no shuffle."""
-    sections = tx.docstring_sections(F.col("docstring"))
-    rows = items.filter(F.col("method").isin(ENDPOINT_KINDS)).withColumn("_s", sections)
+    rows = tx.with_docstring_sections(
+        items.filter(F.col("method").isin(ENDPOINT_KINDS)), "docstring", "_s"
+    )
     d = lambda name: F.col(f"_s.{name}")
     row = lambda label, value: _say(f"<tr><th>{label}</th><td>", value, "</td></tr>")
     code = lambda x: _say("<code>", x, "</code>")
