@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.functions import text as tx
+from docmetrics.operators.lines import Part, emit, say, union
 from docmetrics.operators.ordered import top_k, with_previous
 from docmetrics.schema import CLASS_KINDS, ITEM_ORDER
 
@@ -349,14 +350,6 @@ def select_classes(class_rows: DataFrame, config: Diagram) -> DataFrame:
     )
 
 
-def _lines(rows: DataFrame, config: Diagram, section: int, k1: Column, k2: Column, text: Column) -> DataFrame:
-    return rows.select(
-        "project", F.lit("diagram").alias("page_kind"), F.lit(config.name).alias("page_key"),
-        F.lit(section).alias("section"), k1.cast("string").alias("k1"), k2.cast("bigint").alias("k2"),
-        F.posexplode(text).alias("line_no", "text"),
-    )
-
-
 def diagram_lines(
     items: DataFrame, config: Diagram, order: Sequence[str] = ITEM_ORDER
 ) -> DataFrame:
@@ -365,7 +358,7 @@ def diagram_lines(
     Sections: 0 header, 1 packages with classes and members, 2 relations by type, 3 end.
     """
     shown = select_classes(uml_classes(items, order), config)
-    strings = lambda xs: F.array(*[F.lit(x) for x in xs])
+    out = lambda df, *parts: emit(df, "diagram", *parts, key=config.name)
     styling = [
         line
         for mark, fill, border in STEREOTYPE_COLORS
@@ -375,10 +368,9 @@ def diagram_lines(
         )
     ]
     head = HEADER + ([*styling, ""] if config.colors else []) + [config.direction, ""]
-    projects = items.select("project").distinct()
-    zero = F.lit(0)
-    top = _lines(projects, config, 0, F.lit(""), zero, strings(head))
-    end = _lines(projects, config, 3, F.lit(""), zero, strings(["@enduml"]))
+    frame = out(
+        items.select("project").distinct(), Part(0, head), Part(2, [""]), Part(3, ["@enduml"])
+    )
 
     # Packages appear in the order of their first class; at most max_classes rows each.
     first = shown.groupBy("project", "package").agg(F.min("place").alias("_first"))
@@ -388,62 +380,59 @@ def diagram_lines(
     mark = F.lit("")
     if config.stereotypes:
         mark = F.when(
-            F.col("stereotype").isNotNull(), F.concat(F.lit(" <<"), "stereotype", F.lit(">>"))
+            F.col("stereotype").isNotNull(), say(" <<", F.col("stereotype"), ">>")
         ).otherwise("")
-    opening = F.concat(
-        F.lit(pad), F.when(F.col("is_abstract"), "abstract class ").otherwise("class "),
-        "qualname", mark, F.lit(" {"),
+    opening = say(
+        pad, F.when(F.col("is_abstract"), "abstract class ").otherwise("class "),
+        F.col("qualname"), mark, " {",
     )
-    closing = [f"{pad}}}"] if config.by_package else [f"{pad}}}", ""]
     at = F.col("place") * 1000000
-    has_both = (F.col("attributes") > 0) & (F.col("methods") > 0)
+    ruled = (F.col("attributes") > 0) & (F.col("methods") > 0)
     parts = [
-        _lines(placed, config, 1, pkg, at, F.array(opening)),
-        _lines(placed, config, 1, pkg, at + 999999, strings(closing)),
+        frame,
+        out(
+            placed,
+            Part(1, [opening], pkg, at),
+            Part(1, [f"{pad}  --"], pkg, at + 499999, ruled & F.lit(config.attributes and config.methods)),
+            Part(1, [f"{pad}}}"] if config.by_package else [f"{pad}}}", ""], pkg, at + 999999),
+        ),
     ]
-    if config.attributes and config.methods:
-        parts.append(_lines(placed.filter(has_both), config, 1, pkg, at + 499999, strings([f"{pad}  --"])))
+    if config.by_package:
+        parts.append(
+            out(
+                first,
+                Part(1, [say("package ", F.col("package"), " {")], pkg, F.lit(0)),
+                Part(1, ["}", ""], pkg, F.lit(10**15)),
+            )
+        )
     if config.attributes or config.methods:
         # Members of the few shown classes only; the file bounds their number.
-        members = attach_methods(items, order).join(
-            placed.select("project", "file_path", F.col("qualname").alias("owner"), "place", "_first"),
-            ["project", "file_path", "owner"],
-        )
-        if not config.private:
-            members = members.filter(~F.col("is_private"))
+        wanted = F.lit(True) if config.private else ~F.col("is_private")
         if not config.methods:
-            members = members.filter("is_attribute")
+            wanted = wanted & F.col("is_attribute")
         if not config.attributes:
-            members = members.filter(~F.col("is_attribute"))
-        drawn = F.col("brief") if config.view == "overview" else F.col("text")
-        place = at + F.when(F.col("is_attribute"), 1).otherwise(500000)
-        ordered = members.withColumn("_o", F.col(order[-1]) % 400000)
-        parts.append(
-            _lines(ordered, config, 1, pkg, place + F.col("_o"), F.array(F.concat(F.lit(f"{pad}  "), drawn)))
+            wanted = wanted & ~F.col("is_attribute")
+        owners = placed.select(
+            "project", "file_path", F.col("qualname").alias("owner"), "place", "_first"
         )
-    if config.by_package:
-        packs = first
-        parts.append(
-            _lines(packs, config, 1, pkg, zero, F.array(F.concat(F.lit("package "), "package", F.lit(" {"))))
-        )
-        parts.append(_lines(packs, config, 1, pkg, F.lit(10**15), strings(["}", ""])))
+        members = _members(items, tx.containing_class(F.col("qualname")), order)
+        mine = members.filter(wanted).join(owners, ["project", "file_path", "owner"])
+        drawn = F.col("brief") if config.view == "overview" else F.col("text")
+        spot = at + F.when(F.col("is_attribute"), 1).otherwise(500000) + F.col(order[-1]) % 400000
+        parts.append(out(mine, Part(1, [say(f"{pad}  ", drawn)], pkg, spot)))
 
-    kinds = F.array(*[F.lit(k) for k in DRAWN_ORDER])
-    rank = F.array_position(kinds, F.col("relationship_type"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in DRAWN_ORDER]), F.col("relationship_type"))
     inner = edges_within(edges(items, order=order), shown).filter(rank > 0)
     key = F.format_string("%02d", rank.cast("int"))
-    title = F.concat(F.lit("' "), F.initcap("relationship_type"), F.lit(" relationships"))
-    kinds_used = inner.select("project", "relationship_type").distinct()
-    relations = [
-        _lines(kinds_used, config, 2, key, F.lit(-1), F.array(title)),
-        _lines(inner, config, 2, key, F.col(order[-1]), F.array(edge_text())),
-        _lines(kinds_used, config, 2, key, F.lit(2**62), F.array(F.lit(""))),
-        _lines(projects, config, 2, F.lit(""), zero, F.array(F.lit(""))),
+    title = say("' ", F.initcap("relationship_type"), " relationships")
+    parts += [
+        out(inner, Part(2, [edge_text()], key, F.col(order[-1]))),
+        out(
+            inner.select("project", "relationship_type").distinct(),
+            Part(2, [title], key, F.lit(-1)), Part(2, [""], key, F.lit(2**62)),
+        ),
     ]
-    out = top
-    for part in [*parts, *relations, end]:
-        out = out.unionByName(part)
-    return out
+    return union(parts)
 
 
 def endpoint_flow(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:

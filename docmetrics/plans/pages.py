@@ -1,8 +1,8 @@
 """Documentation pages as tables of ordered lines.
 
-A page of a large project is far too long for one row, so pages are kept as lines with a
-sort key (section, k1, k2, line_no); the page writer range-partitions by that key. Only
-pages that belong to a single item are rows of their own.
+Pages are kept as lines with a sort key (section, k1, k2, line_no); the page writer
+range-partitions by that key. Lines that come from the same rows are made in one pass
+over them. Only pages that belong to a single item are rows of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from docmetrics.functions import text as tx
 from docmetrics.functions.numbers import exact_round, fixed_text, percent
 from docmetrics.operators import coverage as cov
 from docmetrics.operators import graph
+from docmetrics.operators.lines import Part, emit, say, union
 from docmetrics.schema import ENDPOINT_KINDS, ITEM_ORDER
 
 MISSING_SHOWN = 20
@@ -25,27 +26,6 @@ def lit(x) -> Column:
     return F.lit(x)
 
 
-def lines(
-    df: DataFrame, kind: str, section: int, texts: list[Column | str], k1=None, k2=None
-) -> DataFrame:
-    """One line per text; a null text drops out."""
-    array = F.array_compact(F.array(*[lit(t) if isinstance(t, str) else t for t in texts]))
-    return df.select(
-        "project", lit(kind).alias("page_kind"), lit("").alias("page_key"),
-        lit(section).alias("section"),
-        (lit("") if k1 is None else k1).cast("string").alias("k1"),
-        (lit(0) if k2 is None else k2).cast("bigint").alias("k2"),
-        F.posexplode(array).alias("line_no", "text"),
-    )
-
-
-def union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def rekeyed(page: DataFrame, kind: str, section: int) -> DataFrame:
     """The lines of another page as one section of this one."""
     return page.withColumns(
@@ -75,8 +55,9 @@ def _n(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def _say(*parts) -> Column:
-    return F.concat(*[lit(p) if isinstance(p, str) else p for p in parts])
+def _place(order: Sequence[str]) -> tuple[Column, Column]:
+    """Sort key of an item inside a section: all but the last order column, and the last."""
+    return F.concat_ws("\x01", *[F.col(o).cast("string") for o in order[:-1]]), F.col(order[-1])
 
 
 # ---- module tree ----------------------------------------------------------------------
@@ -141,154 +122,158 @@ def module_tree(items: DataFrame) -> DataFrame:
             F.coalesce("has_children", lit(False)).alias("has_children"),
             F.array_join("steps", "\x01").alias("sort_key"),
             rail.alias("rail"),
-            _say(above, F.when(F.col("is_last"), "└── ").otherwise("├── ")).alias("branch"),
+            say(above, F.when(F.col("is_last"), "└── ").otherwise("├── ")).alias("branch"),
         )
     )
 
 
 def tree_lines(items: DataFrame, kind: str, section: int, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     tree = module_tree(items)
-    nodes = lines(tree, kind, section, [_say(F.col("branch"), F.col("name"))], F.col("sort_key"), lit(-1))
+    nodes = emit(tree, kind, Part(section, [say(F.col("branch"), F.col("name"))], F.col("sort_key"), lit(-1)))
     slim = items.filter(tx.is_given(F.col("module"))).select(
-        "project", "module", "qualname", "method", F.struct(*order).alias("at"), F.col(order[-1]).alias("n")
+        "project", F.col("module").alias("path"), "qualname", "method",
+        F.struct(*order).alias("at"), F.col(order[-1]).alias("n"),
     )
-    ends = slim.groupBy("project", F.col("module").alias("path")).agg(F.max("at").alias("end"))
+    ends = slim.groupBy("project", "path").agg(F.max("at").alias("end"))
     places = tree.select("project", "path", "sort_key", "rail", "has_children").join(ends, ["project", "path"])
-    leaf = slim.withColumnRenamed("module", "path").join(places, ["project", "path"])
+    # Module rows are few against item rows; adaptive execution picks the join and splits
+    # a module that holds much of a project.
+    leaf = slim.join(places, ["project", "path"])
     closing = (F.col("at") == F.col("end")) & ~F.col("has_children")
-    text = _say(
+    text = say(
         F.col("rail"), F.when(closing, "└── ").otherwise("├── "), F.col("qualname"), " (",
         F.col("method"), ")",
     )
-    return nodes.unionByName(lines(leaf, kind, section, [text], F.col("sort_key"), F.col("n")))
+    return nodes.unionByName(emit(leaf, kind, Part(section, [text], F.col("sort_key"), F.col("n"))))
 
 
 # ---- markdown pages -------------------------------------------------------------------
 
 
 def page_index(items: DataFrame, generated: str) -> DataFrame:
-    s = page_stats(items)
-    p = F.col("project")
     texts = [
-        _say("# ", p, " Documentation"), "",
-        _say("Welcome to the ", p, " documentation. Generated on ", generated, "."), "",
+        say("# ", F.col("project"), " Documentation"), "",
+        say("Welcome to the ", F.col("project"), " documentation. Generated on ", generated, "."), "",
         "## Documentation Statistics", "",
-        _say("- **Total Items**: ", _n("total")),
-        _say("- **Documented**: ", _n("documented"), " (", _n("coverage"), "%)"),
-        _say("- **Missing Documentation**: ", _n("missing")), "",
+        say("- **Total Items**: ", _n("total")),
+        say("- **Documented**: ", _n("documented"), " (", _n("coverage"), "%)"),
+        say("- **Missing Documentation**: ", _n("missing")), "",
         "### Coverage by Type", "", "| Type | Count |", "|------|-------|",
         *[
-            _say(f"| {label} | ", _n(name), " |")
+            say(f"| {label} | ", _n(name), " |")
             for label, name in [
                 ("Modules", "modules"), ("Classes", "classes"), ("Functions", "functions"),
                 ("Endpoints", "endpoints"),
             ]
         ],
     ]
-    return lines(s, "index", 0, texts)
+    return emit(page_stats(items), "index", Part(0, texts))
 
 
 def _summary() -> Column:
-    return F.when(
-        tx.is_given(F.col("docstring")), _say("  - ", tx.first_line(F.col("docstring")))
-    )
+    return F.when(tx.is_given(F.col("docstring")), say("  - ", tx.first_line(F.col("docstring"))))
 
 
 def page_structure(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     k = "code_structure"
-    s = page_stats(items)
-    at = F.col(order[-1])
-    key = F.concat_ws("\x01", *[F.col(o).cast("string") for o in order[:-1]])
-    of = lambda kind: items.filter(F.col("method") == kind)
-    functions = of("FUNCTION").withColumn("listed_module", cov.listed_module())
-    heads = functions.select("project", "listed_module").distinct()
-    inside = _say(F.col("listed_module"), "\x01")
+    key, at = _place(order)
+    kind, name = F.col("method"), F.col("qualname")
+    listed = items.withColumn("listed_module", cov.listed_module())
+    heads = listed.filter(kind == "FUNCTION").select("project", "listed_module").distinct()
     return union([
-        lines(s, k, 0, ["# Code Structure", "", "## Module Hierarchy", ""]),
+        emit(
+            page_stats(items), k,
+            Part(0, ["# Code Structure", "", "## Module Hierarchy", ""]),
+            Part(2, ["", "## Detailed Structure", "", say("### Modules (", _n("modules"), ")"), ""]),
+            Part(4, ["", say("### Classes (", _n("classes"), ")"), ""]),
+            Part(6, ["", say("### Functions (", _n("functions"), ")"), ""]),
+        ),
         tree_lines(items, k, 1, order),
-        lines(s, k, 2, ["", "## Detailed Structure", "", _say("### Modules (", _n("modules"), ")"), ""]),
-        lines(of("MODULE"), k, 3,
-              [_say("- **", F.col("module"), "** - ", F.col("file_path")), _summary()], key, at),
-        lines(s, k, 4, ["", _say("### Classes (", _n("classes"), ")"), ""]),
-        lines(of("CLASS"), k, 5,
-              [_say("- **", F.col("qualname"), "** (", F.col("module"), ")"), _summary()], key, at),
-        lines(s, k, 6, ["", _say("### Functions (", _n("functions"), ")"), ""]),
-        lines(heads, k, 7, ["", _say("#### ", F.col("listed_module")), ""], F.col("listed_module")),
-        lines(functions, k, 7,
-              [_say("- `", F.col("qualname"), "()` - Line ", _n("lineno")), _summary()],
-              _say(inside, key), at),
+        emit(
+            listed.filter(kind.isin("MODULE", "CLASS", "FUNCTION")), k,
+            Part(3, [say("- **", F.col("module"), "** - ", F.col("file_path")), _summary()],
+                 key, at, kind == "MODULE"),
+            Part(5, [say("- **", name, "** (", F.col("module"), ")"), _summary()], key, at, kind == "CLASS"),
+            Part(7, [say("- `", name, "()` - Line ", _n("lineno")), _summary()],
+                 say(F.col("listed_module"), "\x01", key), at, kind == "FUNCTION"),
+        ),
+        emit(heads, k, Part(7, ["", say("#### ", F.col("listed_module")), ""], F.col("listed_module"))),
     ])
 
 
 def page_coverage(items: DataFrame, generated: str, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     k = "docstring_report"
-    s = page_stats(items)
-    at = F.col(order[-1])
-    key = F.concat_ws("\x01", *[F.col(o).cast("string") for o in order[:-1]])
+    key, at = _place(order)
     bare = cov.missing(items)
     heads = bare.select("project", "listed_module").distinct()
     longest = cov.longest_docstrings(items, 10, order=order)
     return union([
-        lines(s, k, 0, [
-            "# Documentation Coverage Report", "", _say("Generated on: ", generated), "",
-            "## Summary", "", _say("- **Total Items**: ", _n("total")),
-            _say("- **Documented**: ", _n("documented"), " (", _n("coverage"), "%)"),
-            _say("- **Missing Documentation**: ", _n("missing")), "", "## Coverage Visualization", "",
-            "```", _say("[", tx.coverage_bar(F.col("coverage")), "] ", _n("coverage"), "%"), "```", "",
-            "## Items Missing Documentation", "",
-        ]),
-        lines(heads, k, 1, ["", _say("### ", F.col("listed_module")), ""], F.col("listed_module")),
-        lines(bare, k, 1,
-              [_say("- `", F.col("qualname"), "` (", cov.kind(), ") - Line ", _n("lineno"))],
-              _say(F.col("listed_module"), "\x01", key), at),
-        lines(s, k, 2, ["", "## Well-Documented Items", ""]),
-        lines(longest, k, 3,
-              [_say("- `", F.col("qualname"), "` (", F.col("module"), ") - ", _n("length"), " characters")],
-              None, F.col("place")),
+        emit(
+            page_stats(items), k,
+            Part(0, [
+                "# Documentation Coverage Report", "", say("Generated on: ", generated), "",
+                "## Summary", "", say("- **Total Items**: ", _n("total")),
+                say("- **Documented**: ", _n("documented"), " (", _n("coverage"), "%)"),
+                say("- **Missing Documentation**: ", _n("missing")), "", "## Coverage Visualization", "",
+                "```", say("[", tx.coverage_bar(F.col("coverage")), "] ", _n("coverage"), "%"), "```", "",
+                "## Items Missing Documentation", "",
+            ]),
+            Part(2, ["", "## Well-Documented Items", ""]),
+        ),
+        emit(heads, k, Part(1, ["", say("### ", F.col("listed_module")), ""], F.col("listed_module"))),
+        emit(bare, k, Part(
+            1, [say("- `", F.col("qualname"), "` (", cov.kind(), ") - Line ", _n("lineno"))],
+            say(F.col("listed_module"), "\x01", key), at,
+        )),
+        emit(longest, k, Part(
+            3, [say("- `", F.col("qualname"), "` (", F.col("module"), ") - ", _n("length"), " characters")],
+            None, F.col("place"),
+        )),
     ])
 
 
 def page_reference(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     """Endpoint entries; projects without endpoints list their service classes."""
     k = "api_reference"
-    at = F.col(order[-1])
-    key = F.concat_ws("\x01", *[F.col(o).cast("string") for o in order[:-1]])
-    has = items.groupBy("project").agg(F.count_if(F.col("method").isin(ENDPOINT_KINDS)).alias("n"))
-    none = has.filter(F.col("n") == 0)
-    found = items.filter(F.col("method").isin(ENDPOINT_KINDS))
+    key, at = _place(order)
+    is_endpoint = F.col("method").isin(ENDPOINT_KINDS)
+    counts = items.groupBy("project").agg(F.count_if(is_endpoint).alias("n"))
     services = items.filter(
         (F.col("method") == "CLASS") & F.contains(F.lower("qualname"), lit("service"))
-    ).join(none.select("project"), "project", "left_semi")
+    ).join(counts.filter(F.col("n") == 0).select("project"), "project", "left_semi")
     return union([
-        lines(has, k, 0, ["# API Reference", "", "## Endpoints", ""]),
-        lines(found, k, 1, [
-            _say("### ", F.col("qualname")), "", _say("- **Method**: ", F.col("method")),
-            _say("- **Path**: ", F.col("path")), _say("- **Module**: ", F.col("module")), "",
+        emit(
+            counts, k,
+            Part(0, ["# API Reference", "", "## Endpoints", ""]),
+            Part(2, ["No API endpoints found in the current documentation set.", "",
+                     "## Available Services", ""], when=F.col("n") == 0),
+        ),
+        emit(items.filter(is_endpoint), k, Part(1, [
+            say("### ", F.col("qualname")), "", say("- **Method**: ", F.col("method")),
+            say("- **Path**: ", F.col("path")), say("- **Module**: ", F.col("module")), "",
             F.when(tx.is_given(F.col("docstring")), F.col("docstring")),
-        ], key, at),
-        lines(none, k, 2, ["No API endpoints found in the current documentation set.", "",
-                           "## Available Services", ""]),
-        lines(services, k, 3,
-              [_say("- **", F.col("qualname"), "** - ", F.col("module")), _summary()], key, at),
+        ], key, at)),
+        emit(services, k, Part(
+            3, [say("- **", F.col("qualname"), "** - ", F.col("module")), _summary()], key, at
+        )),
     ])
 
 
 def page_history(items: DataFrame, snapshots: DataFrame, generated: str) -> DataFrame:
     """Current numbers and one table row per stored snapshot."""
     k = "changelog"
-    s = page_stats(items)
     return union([
-        lines(s, k, 0, [
-            "# Changelog", "", "## Current Version", "", _say("**Generated**: ", generated),
-            _say("**Total Items**: ", _n("total")), _say("**Coverage**: ", _n("coverage"), "%"), "",
-            _say("- ", _n("missing"), " items still need documentation"), "", "### Coverage Trend", "",
+        emit(page_stats(items), k, Part(0, [
+            "# Changelog", "", "## Current Version", "", say("**Generated**: ", generated),
+            say("**Total Items**: ", _n("total")), say("**Coverage**: ", _n("coverage"), "%"), "",
+            say("- ", _n("missing"), " items still need documentation"), "", "### Coverage Trend", "",
             "| Date | Total Items | Documented | Coverage |",
             "|------|-------------|------------|----------|",
-        ]),
-        lines(snapshots, k, 1, [
-            _say("| ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " | ", _n("total_items"), " | ",
-                 _n("documented_items"), " | ", _n("coverage_percent"), "% |")
-        ], F.date_format("ts", "yyyyMMddHHmmssSSSSSS")),
+        ])),
+        emit(snapshots, k, Part(1, [
+            say("| ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " | ", _n("total_items"), " | ",
+                _n("documented_items"), " | ", _n("coverage_percent"), "% |")
+        ], F.date_format("ts", "yyyyMMddHHmmssSSSSSS"))),
     ])
 
 
@@ -312,7 +297,7 @@ def _overview_texts(heading: str) -> list:
         ("Key Business Value", "key_business_value"),
     ]:
         given = shown & tx.is_given(F.col(name))
-        out += [F.when(given, _say(f"**{label}:** ", F.col(name))), F.when(given, lit(""))]
+        out += [F.when(given, say(f"**{label}:** ", F.col(name))), F.when(given, lit(""))]
     return out
 
 
@@ -320,7 +305,7 @@ def _metrics() -> list:
     return [
         "| Metric | Value |", "|--------|-------|",
         *[
-            _say(f"| {label} | ", _n(name), f"{unit} |")
+            say(f"| {label} | ", _n(name), f"{unit} |")
             for label, name, unit in [
                 ("Total Items", "total", ""), ("Documented", "documented", ""),
                 ("Coverage", "coverage", "%"), ("Modules", "modules", ""),
@@ -332,10 +317,10 @@ def _metrics() -> list:
 
 def page_overview(items: DataFrame, overview: DataFrame) -> DataFrame:
     s = with_overview(page_stats(items), overview)
-    return lines(s, "overview", 0, [
+    return emit(s, "overview", Part(0, [
         "# Project Overview", "", *_overview_texts("## Business Overview"), "## Technical Overview", "",
         *_metrics(),
-    ])
+    ]))
 
 
 def page_master(
@@ -344,26 +329,31 @@ def page_master(
     k = "confluence_master"
     s = with_overview(page_stats(items), overview)
     sample = cov.missing_sample(items, 10, "B", order=order)
-    more = sample.filter((F.col("place") == 1) & (F.col("more") > 0))
     return union([
-        lines(s, k, 0, [
-            _say("# ", F.col("project"), " Documentation"), "", _say("> **Generated**: ", generated),
-            _say("> **Coverage**: ", _n("coverage"), "%"), _say("> **Total Items**: ", _n("total")), "",
-            "---", "", *_overview_texts("## 💼 Business Overview"), "## 📋 Technical Overview", "",
-            "### Key Metrics", "", *_metrics(), "", "---", "", "## 🏗️ Architecture", "",
-            "### Module Structure", "", "```",
-        ]),
+        emit(
+            s, k,
+            Part(0, [
+                say("# ", F.col("project"), " Documentation"), "", say("> **Generated**: ", generated),
+                say("> **Coverage**: ", _n("coverage"), "%"), say("> **Total Items**: ", _n("total")), "",
+                "---", "", *_overview_texts("## 💼 Business Overview"), "## 📋 Technical Overview", "",
+                "### Key Metrics", "", *_metrics(), "", "---", "", "## 🏗️ Architecture", "",
+                "### Module Structure", "", "```",
+            ]),
+            Part(2, [
+                "```", "", "---", "", "## 📊 Documentation Coverage", "", "### Summary",
+                say("- ✅ Documented: ", _n("documented"), " items"),
+                say("- ❌ Missing: ", _n("missing"), " items"),
+                say("- 📈 Coverage: ", _n("coverage"), "%"), "", "### Items Needing Documentation", "",
+            ]),
+        ),
         tree_lines(items, k, 1, order),
-        lines(s, k, 2, [
-            "```", "", "---", "", "## 📊 Documentation Coverage", "", "### Summary",
-            _say("- ✅ Documented: ", _n("documented"), " items"),
-            _say("- ❌ Missing: ", _n("missing"), " items"),
-            _say("- 📈 Coverage: ", _n("coverage"), "%"), "", "### Items Needing Documentation", "",
-        ]),
-        lines(sample, k, 3,
-              [_say("- `", F.col("qualname"), "` (", F.col("module"), ") - Line ", _n("lineno"))],
-              None, F.col("place")),
-        lines(more, k, 4, ["", _say("*... and ", _n("more"), " more items*")]),
+        emit(
+            sample, k,
+            Part(3, [say("- `", F.col("qualname"), "` (", F.col("module"), ") - Line ", _n("lineno"))],
+                 None, F.col("place")),
+            Part(4, ["", say("*... and ", _n("more"), " more items*")],
+                 when=(F.col("place") == 1) & (F.col("more") > 0)),
+        ),
     ])
 
 
@@ -376,15 +366,15 @@ def endpoint_pages(items: DataFrame) -> DataFrame:
         items.filter(F.col("method").isin(ENDPOINT_KINDS)), "docstring", "_s"
     )
     d = lambda name: F.col(f"_s.{name}")
-    row = lambda label, value: _say(f"<tr><th>{label}</th><td>", value, "</td></tr>")
-    code = lambda x: _say("<code>", x, "</code>")
+    row = lambda label, value: say(f"<tr><th>{label}</th><td>", value, "</td></tr>")
+    code = lambda x: say("<code>", x, "</code>")
     args = F.transform(
         d("args"),
-        lambda a: _say("<tr><td><code>", a["name"], "</code></td><td>", a["description"], "</td></tr>"),
+        lambda a: say("<tr><td><code>", a["name"], "</code></td><td>", a["description"], "</td></tr>"),
     )
     raises = F.transform(
         d("raises"),
-        lambda e: _say("<li><code>", e["type"], "</code>: ", e["description"], "</li>"),
+        lambda e: say("<li><code>", e["type"], "</code>: ", e["description"], "</li>"),
     )
     body = F.concat_ws(
         "\n",
@@ -393,24 +383,24 @@ def endpoint_pages(items: DataFrame) -> DataFrame:
         row("Module", F.coalesce("module", lit("N/A"))),
         row("Function", code(F.coalesce("qualname", lit("N/A")))),
         lit("</tbody></table><h2>Description</h2>"),
-        _say("<p>", F.coalesce(d("description"), lit("No description available")), "</p>"),
+        say("<p>", F.coalesce(d("description"), lit("No description available")), "</p>"),
         F.when(
             F.size(d("args")) > 0,
-            _say("<h2>Parameters</h2><table><thead><tr><th>Name</th><th>Description</th></tr>"
+            say("<h2>Parameters</h2><table><thead><tr><th>Name</th><th>Description</th></tr>"
                  "</thead><tbody>", F.array_join(args, ""), "</tbody></table>"),
         ),
-        F.when(tx.is_given(d("returns")), _say("<h2>Returns</h2><p>", d("returns"), "</p>")),
+        F.when(tx.is_given(d("returns")), say("<h2>Returns</h2><p>", d("returns"), "</p>")),
         F.when(
             F.size(d("raises")) > 0,
-            _say("<h2>Exceptions</h2><ul>", F.array_join(raises, ""), "</ul>"),
+            say("<h2>Exceptions</h2><ul>", F.array_join(raises, ""), "</ul>"),
         ),
         lit("<h2>Metadata</h2><table><tbody>"),
-        row("Documentation Coverage", _say(_n("coverage_score"), "%")),
+        row("Documentation Coverage", say(_n("coverage_score"), "%")),
         lit("</tbody></table>"),
     )
     return rows.select(
         "project", *ITEM_ORDER,
-        _say("API: ", F.col("method"), " ", F.col("path")).alias("title"), body.alias("body"),
+        say("API: ", F.col("method"), " ", F.col("path")).alias("title"), body.alias("body"),
     )
 
 
@@ -420,50 +410,55 @@ def panel_color(coverage: Column) -> Column:
 
 def coverage_page(items: DataFrame, generated: str, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     k = "coverage_page"
-    total = cov.coverage_total(items)
-    kinds = cov.coverage_by(items, "method")
+    levels = cov.coverage_snapshot(items, "A", order)
     sample = cov.missing_sample(items, MISSING_SHOWN, "A", order=order)
-    more = sample.filter((F.col("place") == 1) & (F.col("more") > 0))
-    cell = lambda x: _say("<td>", x, "</td>")
+    cell = lambda x: say("<td>", x, "</td>")
     share = fixed_text(F.col("coverage"), 1)
+    total = F.col("level") == "project"
+    gaps = F.col("total") > F.col("documented")
     return union([
-        lines(total, k, 0, [
-            "<h1>Documentation Coverage Report</h1>", _say("<p>Generated on: ", generated, "</p>"),
-            "<h2>Overall Coverage</h2>",
-            '<ac:structured-macro ac:name="panel" ac:schema-version="1">',
-            _say('<ac:parameter ac:name="bgColor">#', panel_color(F.col("coverage")), "</ac:parameter>"),
-            _say('<ac:rich-text-body><h3 style="color: white;">', share, "% Coverage</h3>"),
-            _say('<p style="color: white;">', _n("documented"), " of ", _n("total"),
-                 " items documented</p></ac:rich-text-body></ac:structured-macro>"),
-            "<h2>Coverage by Type</h2><table><thead><tr><th>Type</th><th>Total</th>"
-            "<th>Documented</th><th>Coverage</th></tr></thead><tbody>",
-        ]),
-        lines(kinds, k, 1, [_say("<tr>", cell(F.col("method")), cell(_n("total")),
-                                 cell(_n("documented")), cell(_say(share, "%")), "</tr>")], F.col("method")),
-        lines(total, k, 2, [
-            "</tbody></table><h2>Undocumented Items</h2>",
-            F.when(F.col("missing") > 0, lit(
-                "<table><thead><tr><th>Module</th><th>Name</th><th>Type</th><th>File</th></tr>"
-                "</thead><tbody>"
-            )).otherwise(lit("<p>All items are documented!</p>")),
-        ]),
-        lines(sample, k, 3, [_say(
-            "<tr>", cell(F.coalesce("module", lit("N/A"))),
-            cell(_say("<code>", F.coalesce("qualname", lit("N/A")), "</code>")),
-            cell(F.coalesce("method", lit("N/A"))), cell(F.coalesce("file_path", lit("N/A"))), "</tr>",
-        )], None, F.col("place")),
-        lines(more, k, 4, [_say(
-            '<tr><td colspan="4"><em>... and ', _n("more"), " more undocumented items</em></td></tr>"
-        )]),
-        lines(total.filter(F.col("missing") > 0), k, 5, ["</tbody></table>"]),
+        emit(
+            levels, k,
+            Part(0, [
+                "<h1>Documentation Coverage Report</h1>", say("<p>Generated on: ", generated, "</p>"),
+                "<h2>Overall Coverage</h2>",
+                '<ac:structured-macro ac:name="panel" ac:schema-version="1">',
+                say('<ac:parameter ac:name="bgColor">#', panel_color(F.col("coverage")), "</ac:parameter>"),
+                say('<ac:rich-text-body><h3 style="color: white;">', share, "% Coverage</h3>"),
+                say('<p style="color: white;">', _n("documented"), " of ", _n("total"),
+                    " items documented</p></ac:rich-text-body></ac:structured-macro>"),
+                "<h2>Coverage by Type</h2><table><thead><tr><th>Type</th><th>Total</th>"
+                "<th>Documented</th><th>Coverage</th></tr></thead><tbody>",
+            ], when=total),
+            Part(1, [say("<tr>", cell(F.col("name")), cell(_n("total")), cell(_n("documented")),
+                         cell(say(share, "%")), "</tr>")], F.col("name"), when=F.col("level") == "method"),
+            Part(2, [
+                "</tbody></table><h2>Undocumented Items</h2>",
+                F.when(gaps, lit(
+                    "<table><thead><tr><th>Module</th><th>Name</th><th>Type</th><th>File</th></tr>"
+                    "</thead><tbody>"
+                )).otherwise(lit("<p>All items are documented!</p>")),
+            ], when=total),
+            Part(5, ["</tbody></table>"], when=total & gaps),
+        ),
+        emit(
+            sample, k,
+            Part(3, [say(
+                "<tr>", cell(F.coalesce("module", lit("N/A"))),
+                cell(say("<code>", F.coalesce("qualname", lit("N/A")), "</code>")),
+                cell(F.coalesce("method", lit("N/A"))), cell(F.coalesce("file_path", lit("N/A"))), "</tr>",
+            )], None, F.col("place")),
+            Part(4, [say(
+                '<tr><td colspan="4"><em>... and ', _n("more"), " more undocumented items</em></td></tr>"
+            )], when=(F.col("place") == 1) & (F.col("more") > 0)),
+        ),
     ])
 
 
 def latex_body(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     """Statistics, modules, items by kind and coverage per kind as LaTeX lines."""
     k = "latex"
-    at = F.col(order[-1])
-    key = F.concat_ws("\x01", *[F.col(o).cast("string") for o in order[:-1]])
+    key, at = _place(order)
     esc = lambda x: tx.escape_latex(F.col(x))
     title = lambda x: F.initcap(F.replace(x, lit("_"), lit(" ")))
     total = cov.coverage_total(items, rule="B").join(cov.module_counts(items), "project")
@@ -473,39 +468,45 @@ def latex_body(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame
     )
     typed = items.withColumn("item_type", F.coalesce(F.nullif(F.col("method"), lit("")), lit("UNKNOWN")))
     return union([
-        lines(total, k, 0, [
-            r"\subsection{Documentation Statistics}", r"\begin{itemize}",
-            _say(r"    \item \textbf{Total Items:} ", _n("total")),
-            _say(r"    \item \textbf{Documented Items:} ", _n("documented")),
-            _say(r"    \item \textbf{Coverage:} ", fixed_text(F.col("coverage"), 1), r"\%"),
-            _say(r"    \item \textbf{Modules:} ", _n("modules")), r"\end{itemize}",
-            r"\subsection{Project Modules}", r"\begin{itemize}",
-        ]),
-        lines(modules, k, 1, [_say(r"    \item \texttt{", esc("module"), "}")], F.col("module")),
-        lines(total, k, 2, [r"\end{itemize}", r"\section{Code Documentation}"]),
-        lines(kinds, k, 3, [_say(r"\subsection{", title(F.col("method")), "}")], F.col("method")),
-        lines(typed, k, 3, [
-            _say(r"\subsubsection{\texttt{", esc("qualname"), "}}"), r"\begin{itemize}",
-            _say(r"    \item \textbf{Module:} \texttt{", F.coalesce(esc("module"), lit("")), "}"),
-            _say(r"    \item \textbf{File:} \texttt{",
-                 F.coalesce(F.nullif(esc("file_path"), lit("")), lit("N/A")), "}"),
-            _say(r"    \item \textbf{Line:} ", F.coalesce(F.nullif(_n("lineno"), lit("0")), lit("N/A"))),
+        emit(
+            total, k,
+            Part(0, [
+                r"\subsection{Documentation Statistics}", r"\begin{itemize}",
+                say(r"    \item \textbf{Total Items:} ", _n("total")),
+                say(r"    \item \textbf{Documented Items:} ", _n("documented")),
+                say(r"    \item \textbf{Coverage:} ", fixed_text(F.col("coverage"), 1), r"\%"),
+                say(r"    \item \textbf{Modules:} ", _n("modules")), r"\end{itemize}",
+                r"\subsection{Project Modules}", r"\begin{itemize}",
+            ]),
+            Part(2, [r"\end{itemize}", r"\section{Code Documentation}"]),
+            Part(4, [r"\section{Coverage Analysis}"]),
+        ),
+        emit(modules, k, Part(1, [say(r"    \item \texttt{", esc("module"), "}")], F.col("module"))),
+        emit(
+            kinds, k,
+            Part(3, [say(r"\subsection{", title(F.col("method")), "}")], F.col("method")),
+            Part(5, [
+                say(r"\subsection{", title(F.col("method")), " Coverage}"),
+                say(_n("total"), " total items, ", _n("documented"), " documented (",
+                    fixed_text(F.col("coverage"), 1), r"\%)."),
+            ], F.col("method")),
+        ),
+        emit(typed, k, Part(3, [
+            say(r"\subsubsection{\texttt{", esc("qualname"), "}}"), r"\begin{itemize}",
+            say(r"    \item \textbf{Module:} \texttt{", F.coalesce(esc("module"), lit("")), "}"),
+            say(r"    \item \textbf{File:} \texttt{",
+                F.coalesce(F.nullif(esc("file_path"), lit("")), lit("N/A")), "}"),
+            say(r"    \item \textbf{Line:} ", F.coalesce(F.nullif(_n("lineno"), lit("0")), lit("N/A"))),
             r"\end{itemize}",
-            F.when(tx.is_given(F.col("docstring")), _say(
+            F.when(tx.is_given(F.col("docstring")), say(
                 "\\paragraph{Documentation:}\n\\begin{quote}\n", esc("docstring"), "\n\\end{quote}"
             )).otherwise(lit(r"\paragraph{Documentation:} \textit{No documentation available}")),
-            F.when(tx.is_given(F.col("first_lines")), _say(
+            F.when(tx.is_given(F.col("first_lines")), say(
                 "\\paragraph{Source Code Preview:}\n\\begin{verbatim}\n", F.col("first_lines"),
                 "\n\\end{verbatim}"
             )),
             r"\vspace{1em}",
-        ], _say(F.col("item_type"), "\x01", key), at),
-        lines(total, k, 4, [r"\section{Coverage Analysis}"]),
-        lines(kinds, k, 5, [
-            _say(r"\subsection{", title(F.col("method")), " Coverage}"),
-            _say(_n("total"), " total items, ", _n("documented"), " documented (",
-                 fixed_text(F.col("coverage"), 1), r"\%)."),
-        ], F.col("method")),
+        ], say(F.col("item_type"), "\x01", key), at)),
     ])
 
 
@@ -514,13 +515,12 @@ def diagram_page(
 ) -> DataFrame:
     """Counts of classes, relations and packages, then the diagram lines."""
     k = "diagram_page"
-    stats = graph.graph_stats(items, order)
     return union([
-        lines(stats, k, 0, [
+        emit(graph.graph_stats(items, order), k, Part(0, [
             "<h2>Analysis Summary</h2><ul>",
-            _say("<li>Classes: ", _n("classes"), "</li>"),
-            _say("<li>Relationships: ", _n("relationships"), "</li>"),
-            _say("<li>Packages: ", _n("packages"), "</li>"), "</ul>",
-        ]),
+            say("<li>Classes: ", _n("classes"), "</li>"),
+            say("<li>Relationships: ", _n("relationships"), "</li>"),
+            say("<li>Packages: ", _n("packages"), "</li>"), "</ul>",
+        ])),
         rekeyed(graph.diagram_lines(items, config, order), k, 1).withColumn("page_key", lit("")),
     ])
