@@ -153,6 +153,11 @@ SELECT *,
   CASE WHEN method = 'CLASS' AND NOT d THEN 'Missing class docstring' END,
   CASE WHEN method = 'MODULE' AND NOT d THEN 'Missing module docstring' END], lambda x: x IS NOT NULL) AS completeness_issues
 FROM s1"""),
+    "sections": (["items"], rf"""
+SELECT item_ordinal, coalesce(list({{'s': s, 't': t}} ORDER BY i) FILTER (WHERE t <> '' AND NOT head), []) AS parts FROM (
+ SELECT item_ordinal, i, t, mark IS NOT NULL AS head, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY item_ordinal ORDER BY i), 0) AS s FROM (
+  SELECT *, CASE WHEN lower(t) LIKE 'args:%' OR lower(t) LIKE 'arguments:%' THEN 1 WHEN lower(t) LIKE 'returns:%' THEN 2 WHEN lower(t) LIKE 'raises:%' THEN 3 END AS mark FROM (
+   SELECT item_ordinal, trim(unnest(ls)) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT item_ordinal, split(docstring, {NL}) AS ls FROM items WHERE docstring <> '') a) b) c) d GROUP BY item_ordinal"""),
     "usage0": ([], b.check_sql(b.USAGE)),
     "priced": (["usage0"], """
 SELECT *, CAST(round(CAST(prompt_tokens AS DECIMAL(15,0)) * pin + CAST(completion_tokens AS DECIMAL(15,0)) * pout, 0) AS DECIMAL(26,0)) AS micro
@@ -305,7 +310,6 @@ def overview_texts(heading: str) -> str:
 
 
 OVER_JOIN = "(SELECT s.*, o.project_purpose, o.business_context, o.key_business_value FROM pstats s LEFT JOIN over o ON o.project = s.project) z"
-LATEX = "docstring"
 
 
 def latex(x: str) -> str:
@@ -489,6 +493,92 @@ FLAT = "project, item_ordinal, source, target, relationship_type, label, stereot
 GAP = "unnest(list_distinct(list_concat(actual_params, documented_params)))"
 KEY = "file_path"
 
+def pairs_of(section: int) -> str:
+    return (
+        f"list_filter(parts, lambda p: p.s = {section} AND NOT ends_with(p.t, ':') AND contains(p.t, ':'))"
+    )
+
+
+NAME, TOLD = "trim(split_part(p.t, ':', 1))", "trim(p.t[strpos(p.t, ':') + 1:])"
+ENDPOINT_BODY = f"""
+SELECT s.project, s.item_ordinal, 'API: ' || method || ' ' || path AS title, array_to_string(list_filter([
+ '<h2>Endpoint Details</h2><table><tbody>', '<tr><th>Method</th><td><code>' || method || '</code></td></tr>',
+ '<tr><th>Path</th><td><code>' || path || '</code></td></tr>', '<tr><th>Module</th><td>' || coalesce(module, 'N/A') || '</td></tr>',
+ '<tr><th>Function</th><td><code>' || qualname || '</code></td></tr>', '</tbody></table><h2>Description</h2>',
+ '<p>' || CASE WHEN parts IS NULL THEN 'No description available' ELSE array_to_string(list_transform(list_filter(parts, lambda p: p.s = 0), lambda p: p.t || ' '), '') END || '</p>',
+ CASE WHEN len({pairs_of(1)}) > 0 THEN '<h2>Parameters</h2><table><thead><tr><th>Name</th><th>Description</th></tr></thead><tbody>'
+  || array_to_string(list_transform({pairs_of(1)}, lambda p: '<tr><td><code>' || {NAME} || '</code></td><td>' || {TOLD} || '</td></tr>'), '') || '</tbody></table>' END,
+ CASE WHEN len(list_filter(parts, lambda p: p.s = 2 AND NOT ends_with(p.t, ':'))) > 0 THEN '<h2>Returns</h2><p>'
+  || array_to_string(list_transform(list_filter(parts, lambda p: p.s = 2 AND NOT ends_with(p.t, ':')), lambda p: p.t || ' '), '') || '</p>' END,
+ CASE WHEN len({pairs_of(3)}) > 0 THEN '<h2>Exceptions</h2><ul>'
+  || array_to_string(list_transform({pairs_of(3)}, lambda p: '<li><code>' || {NAME} || '</code>: ' || {TOLD} || '</li>'), '') || '</ul>' END,
+ '<h2>Metadata</h2><table><tbody>', '<tr><th>Documentation Coverage</th><td>' || coverage_score || '%</td></tr>', '</tbody></table>'], lambda x: x IS NOT NULL), chr(10)) AS body
+FROM scored s LEFT JOIN sections e ON e.item_ordinal = s.item_ordinal WHERE method IN {EP}"""
+
+
+def titled(x: str) -> str:
+    return f"array_to_string(list_transform(split(lower(replace({x}, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+LATEX_KINDS = f"({covered(f'project, {KIND} AS method', f'project, {KIND}')}) ck"
+LATEX_TOTAL = (
+    f"(SELECT *, {pct('documented', 'total')} AS coverage FROM (SELECT project, count(*) AS total, {n_if(texty('docstring'))} AS documented,"
+    " count(DISTINCT module) AS n_modules FROM items GROUP BY 1) u) ct"
+)
+LATEX_LINES = lines("latex", [
+    (0, "''", "0", LATEX_TOTAL, r"'\subsection{Documentation Statistics}', '\begin{itemize}', '    \item \textbf{Total Items:} ' || total, '    \item \textbf{Documented Items:} ' || documented, '    \item \textbf{Coverage:} ' || printf('%.1f', coverage) || '\%', '    \item \textbf{Modules:} ' || n_modules, '\end{itemize}', '\subsection{Project Modules}', '\begin{itemize}'"),
+    (1, "module", "0", "(SELECT DISTINCT project, module FROM items WHERE module <> '') z", r"'    \item \texttt{' || " + latex("module") + " || '}'"),
+    (2, "''", "0", LATEX_TOTAL, r"'\end{itemize}', '\section{Code Documentation}'"),
+    (3, "method", "0", LATEX_KINDS, r"'\subsection{' || " + titled("method") + " || '}'"),
+    (3, f"{KIND} || chr(1) || {KEY}", "item_ordinal", "items",
+     r"'\subsubsection{\texttt{' || " + latex("qualname") + r" || '}}', '\begin{itemize}', '    \item \textbf{Module:} \texttt{' || coalesce(" + latex("module")
+     + r", '') || '}', '    \item \textbf{File:} \texttt{' || " + latex("file_path") + r" || '}', '    \item \textbf{Line:} ' || lineno, '\end{itemize}', CASE WHEN docstring <> '' THEN '\paragraph{Documentation:}' || chr(10) || '\begin{quote}' || chr(10) || "
+     + latex("docstring") + r" || chr(10) || '\end{quote}' ELSE '\paragraph{Documentation:} \textit{No documentation available}' END, '\vspace{1em}'"),
+    (4, "''", "0", LATEX_TOTAL, r"'\section{Coverage Analysis}'"),
+    (5, "method", "0", LATEX_KINDS, r"'\subsection{' || " + titled("method") + r" || ' Coverage}', total || ' total items, ' || documented || ' documented (' || printf('%.1f', coverage) || '\%).'"),
+])
+
+
+def diagram(name: str) -> str:
+    config = graph.DIAGRAMS[name]
+    head = graph.HEADER + [
+        x
+        for mark, fill, border in graph.STEREOTYPE_COLORS
+        for x in (f"skinparam class<<{mark}>>BackgroundColor {fill}", f"skinparam class<<{mark}>>BorderColor {border}")
+    ] + ["", config.direction, ""]
+    placed = f"(SELECT *, min(place) OVER (PARTITION BY project, package) AS f FROM chosen WHERE diagram = '{name}') pl"
+    pkg = "printf('%09d', f)"
+    inner = f"""(SELECT * FROM drawn e WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.diagram = '{name}' AND c.project = e.project AND c.qualname = e.source)
+ AND EXISTS (SELECT 1 FROM chosen c WHERE c.diagram = '{name}' AND c.project = e.project AND c.qualname = e.target)) w"""
+    rank = "CASE relationship_type WHEN 'INHERITANCE' THEN '01' WHEN 'COMPOSITION' THEN '03' WHEN 'ASSOCIATION' THEN '05' WHEN 'DEPENDENCY' THEN '06' END"
+    parts = [
+        (0, "''", "0", "pstats", texts(*head)), (2, "''", "0", "pstats", "''"), (3, "''", "0", "pstats", "'@enduml'"),
+        (1, pkg, "place * 1000000", placed, "'  ' || CASE WHEN is_abstract THEN 'abstract class ' ELSE 'class ' END || qualname || CASE WHEN stereotype <> '-' THEN ' <<' || stereotype || '>>' ELSE '' END || ' {'"),
+        (1, pkg, "place * 1000000 + 999999", placed, "'  }'"),
+        (1, pkg, "0", f"(SELECT DISTINCT project, package, f FROM {placed}) d", "'package ' || package || ' {'"),
+        (1, pkg, "1000000000000000", f"(SELECT DISTINCT project, package, f FROM {placed}) d", "'}', ''"),
+        (2, rank, "item_ordinal", inner, "text"),
+        (2, rank, "-1", f"(SELECT DISTINCT project, relationship_type FROM {inner}) d", "chr(39) || ' ' || upper(left(relationship_type, 1)) || lower(relationship_type[2:]) || ' relationships'"),
+        (2, rank, "4611686018427387904", f"(SELECT DISTINCT project, relationship_type FROM {inner}) d", "''"),
+    ]
+    if config.methods:
+        parts += [
+            (1, pkg, "place * 1000000 + 499999", f"(SELECT * FROM {placed} WHERE attributes > 0 AND methods > 0) d", "'    --'"),
+            (1, pkg, "place * 1000000 + CASE WHEN is_attribute THEN 1 ELSE 500000 END + item_ordinal % 400000",
+             f"(SELECT m.*, f, place FROM members_text m JOIN {placed} ON pl.project = m.project AND pl.file_path = m.file_path AND pl.qualname = m.owner WHERE NOT is_private) d",
+             "'    ' || text"),
+        ]
+    return lines("diagram", parts)
+
+
+DIAGRAM_PAGE = (
+    "SELECT project, 'diagram_page' AS page_kind, 1 AS section, printf('%03d', section) || chr(1) || k1 AS k1, k2, line_no, text"
+    f" FROM ({diagram('overview')}) dg UNION ALL "
+    + lines("diagram_page", [(0, "''", "0", """(SELECT i.project, count(DISTINCT CASE WHEN method IN ('CLASS','PYDANTIC_MODEL') THEN qualname END) AS c, any_value(n) AS n,
+ count(DISTINCT CASE WHEN method IN ('CLASS','PYDANTIC_MODEL') THEN module END) AS p FROM items i JOIN (SELECT project, count(*) AS n FROM edges0 GROUP BY 1) e ON e.project = i.project GROUP BY 1) g""",
+        "'<h2>Analysis Summary</h2><ul>', '<li>Classes: ' || c || '</li>', '<li>Relationships: ' || n || '</li>', '<li>Packages: ' || p || '</li>', '</ul>'")])
+)
+
 ORACLE: dict[str, str] = {
     "list_files": sql("SELECT project, 'part' || p_partkey || '.py' AS name, p_type || '/part' || p_partkey || '.py' AS path, '/src/' || p_type || '/part' || p_partkey || '.py' AS full_path FROM (SELECT *, p_brand AS project FROM part) x"),
     "documentable_files": f"""SELECT c_custkey, file_path, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.py$', '') AS module
@@ -519,10 +609,7 @@ ORACLE: dict[str, str] = {
  {pipe("list_transform(list_filter(parts, lambda p: p.s = 1 AND NOT ends_with(p.t, ':') AND contains(p.t, ':')), lambda p: trim(split_part(p.t, ':', 1)) || '=' || trim(p.t[strpos(p.t, ':') + 1:]))")} AS args,
  array_to_string(list_transform(list_filter(parts, lambda p: p.s = 2 AND NOT ends_with(p.t, ':')), lambda p: p.t || ' '), '') AS returns,
  {pipe("list_transform(list_filter(parts, lambda p: p.s = 3 AND NOT ends_with(p.t, ':') AND contains(p.t, ':')), lambda p: trim(split_part(p.t, ':', 1)) || '=' || trim(p.t[strpos(p.t, ':') + 1:]))")} AS raises
-FROM (SELECT item_ordinal, coalesce(list({{'s': s, 't': t}} ORDER BY i) FILTER (WHERE t <> '' AND NOT head), []) AS parts FROM (
- SELECT item_ordinal, i, t, mark IS NOT NULL AS head, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY item_ordinal ORDER BY i), 0) AS s FROM (
-  SELECT *, CASE WHEN lower(t) LIKE 'args:%' OR lower(t) LIKE 'arguments:%' THEN 1 WHEN lower(t) LIKE 'returns:%' THEN 2 WHEN lower(t) LIKE 'raises:%' THEN 3 END AS mark FROM (
-   SELECT item_ordinal, trim(unnest(ls)) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT item_ordinal, split(docstring, {NL}) AS ls FROM items WHERE docstring <> '') a) b) c) d GROUP BY item_ordinal) e""", "items"),
+FROM sections e""", "sections"),
     "first_lines": sql(f"SELECT item_ordinal, split_part(docstring, {NL}, 1) AS first_line, length(docstring) AS docstring_length FROM items WHERE docstring IS NOT NULL", "items"),
     "template_docstrings": sql(f"""SELECT item_ordinal, CASE WHEN method = 'FUNCTION' THEN 'Brief description of ' || qualname || '.' || {NL} || {NL} || 'Args:'
   || {NL} || '    ' || split_part(param_types[1].name, ':', 1) || ' (type): Description of ' || param_types[1].name || ' parameter.'
@@ -702,8 +789,10 @@ FROM (SELECT item_ordinal, coalesce(list({{'s': s, 't': t}} ORDER BY i) FILTER (
         (5, "''", "0", "ct WHERE total > documented", "'</tbody></table>'"),
     ]).replace("FROM ct", f"FROM ({covered('project', 'project')}) ct").replace("FROM ck", f"FROM ({covered(f'project, {KIND} AS method', f'project, {KIND}')}) ck").replace(
         "FROM ab", f"FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file_path, item_ordinal) AS place, count(*) OVER (PARTITION BY project) AS n FROM items WHERE NOT {has('docstring')}) ab"), "items"),
-    "endpoint_pages": "",
-    "latex_body": "",
+    "endpoint_pages": sql(ENDPOINT_BODY, "scored", "sections"),
+    "latex_body": sql(f"SELECT * REPLACE (md5(text) AS text) FROM ({LATEX_LINES}) y", "items"),
+    "diagram_lines": sql(f"SELECT *, 'detailed' AS page_key FROM ({diagram('detailed')}) y", "pstats", "chosen", "drawn", "members_text"),
+    "diagram_page": sql(DIAGRAM_PAGE, "pstats", "chosen", "drawn", "items"),
     "patch_docstrings": f"""SELECT {PART_PATH} AS file_path, 'next' AS snapshot_id, {PATCHED} AS source,
  CASE WHEN p_size % 17 = 0 THEN '0=Syntax error in file: invalid syntax (<unknown>, line 1)' ELSE '6=ok|0=ok' END AS status FROM part""",
     "rejected_edits": f"""SELECT p_brand AS project, {PART_PATH} AS file_path, 4000 AS lineno, 'Line number 4000 out of range (1-' || len(split({b.check_sql(b.part_source())}, chr(10))) || ')' AS message FROM part
@@ -716,4 +805,3 @@ FROM (SELECT item_ordinal, coalesce(list({{'s': s, 't': t}} ORDER BY i) FILTER (
     "stream_items": sql(f"SELECT project, method, count(*) AS items FROM ({part_items({k: PART_ITEMS[k] for k in ('project', 'method')})}) x GROUP BY 1, 2", "good_part"),
     "stream_history": sql("SELECT project, level, name, total, documented FROM (" + SNAPSHOT + ") x", "items"),
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
