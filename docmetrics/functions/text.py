@@ -529,9 +529,6 @@ def with_storage_markup(df: DataFrame, md: str, name: str) -> DataFrame:
     ]:
         x = F.regexp_replace(x, pattern, target)
 
-    def is_bullet(line):
-        return F.coalesce(strip(line).startswith("- "), F.lit(False))
-
     def table_row(line):
         first, last = F.instr(line, "|"), F.length(line) - F.instr(F.reverse(line), "|") + 1
         row = F.regexp_replace(
@@ -546,26 +543,34 @@ def with_storage_markup(df: DataFrame, md: str, name: str) -> DataFrame:
             F.lit("</tr>"),
         )
         shown = F.when(F.forall(cells, lambda c: c.contains("---")), F.lit("")).otherwise(html)
-        tail = F.substring(line, last + 1, F.length(line))
-        return F.when(
-            (first > 0) & (last - first >= 2), F.concat(F.left(line, first - 1), shown, tail)
-        ).otherwise(line)
-
-    source_lines = F.col("_lines")
-
-    def rendered(line, i):
-        before = F.coalesce(is_bullet(F.get(source_lines, i - 1)), F.lit(False))
-        mine = is_bullet(line)
-        item = F.concat(F.lit("<li>"), F.substring(strip(line), 3, F.length(line)), F.lit("</li>"))
-        body = table_row(F.when(mine, item).otherwise(line))
-        opening = F.when(mine & ~before, F.lit("<ul>\n")).when(before & ~mine, F.lit("</ul>\n"))
-        closing = F.when(mine & (i == F.size(source_lines) - 1), F.lit("\n</ul>"))
-        return F.concat(
-            F.coalesce(opening, F.lit("")), body, F.coalesce(closing, F.lit(""))
+        return F.concat(F.left(line, first - 1), shown, F.substring(line, last + 1, F.length(line)))
+
+    lines, last = F.col("_lines"), F.size("_lines") - 1
+    bullet = F.transform(
+        lines_of(x), lambda t: F.struct(t.alias("text"), t.rlike(r"(?U)\A\s*- ").alias("bullet"))
+    )
+
+    def item(line):
+        body = F.substring(strip(line["text"]), 3, 1 << 30)
+        text = F.when(line["bullet"], F.concat(F.lit("<li>"), body, F.lit("</li>")))
+        return F.coalesce(text, line["text"])
+
+    def framed(line, i):
+        before = F.coalesce(F.get(lines, i - 1)["bullet"], F.lit(False))
+        opening = F.when(line["bullet"] & ~before, "<ul>\n").when(before & ~line["bullet"], "</ul>\n")
+        closing = F.when(line["bullet"] & (i == last), "\n</ul>")
+        return F.struct(
+            F.coalesce(opening, F.lit("")).alias("opening"), item(line).alias("text"),
+            F.coalesce(closing, F.lit("")).alias("closing"),
         )
 
-    marked = df.withColumn("_lines", lines_of(x))
-    x = F.array_join(F.transform(source_lines, rendered), "\n")
+    def rendered(line):
+        is_row = line["text"].rlike(r"(?Ud)\|.+\|")
+        body = F.when(is_row, table_row(line["text"])).otherwise(line["text"])
+        return F.concat(line["opening"], body, line["closing"])
+
+    marked = df.withColumn("_lines", bullet).withColumn("_lines", F.transform(lines, framed))
+    x = F.array_join(F.transform(lines, rendered), "\n")
     x = F.concat(F.lit("<p>"), F.replace(x, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>"))
     for pattern, target in [
         (r"(?U)<p>\s*</p>", ""),

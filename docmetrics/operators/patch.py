@@ -170,14 +170,15 @@ def patch_docstrings(sources: DataFrame, edits: DataFrame, snapshot_id: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            rows = batch.to_pylist()
+            for row in rows:
                 todo = row.pop("edits")
                 row["source"], status = patch_text(row["source"] or "", todo)
                 row["patch_status"] = [
                     {"is_module": e["is_module"], "lineno": e["lineno"], "status": s}
                     for e, s in zip(todo, status)
                 ]
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     edited = joined.filter(F.col("edits").isNotNull()).select(*columns, "edits").mapInArrow(run, schema)
     kept = joined.filter(F.col("edits").isNull()).select(

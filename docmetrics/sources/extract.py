@@ -68,12 +68,23 @@ def _named(pairs) -> list[dict]:
     return [{"name": name, "type": ast.unparse(node)} for name, node in pairs]
 
 
-def _preorder(root: ast.AST) -> Iterator[ast.AST]:
+# Fields of a statement that hold further statements, in reading order.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _statements(node: ast.AST) -> list[ast.AST]:
+    return [child for block in _BLOCKS for child in getattr(node, block, ())]
+
+
+def _raised(root: ast.AST) -> Iterator[str]:
+    """Names raised anywhere inside; no expression is entered, as none holds a statement."""
     todo = [root]
     while todo:
         node = todo.pop()
-        yield node
-        todo.extend(reversed(list(ast.iter_child_nodes(node))))
+        name = _callee(node.exc) if isinstance(node, ast.Raise) and node.exc else None
+        if name:
+            yield name
+        todo.extend(reversed(_statements(node)))
 
 
 def _endpoint(call: ast.Call) -> dict:
@@ -115,7 +126,6 @@ def _function_facts(node) -> dict:
         for n, d in optional
         if isinstance(d, ast.Call) and _callee(d) == "Depends" and d.args
     )
-    raised = [_callee(x.exc) for x in _preorder(node) if isinstance(x, ast.Raise) and x.exc]
     marks = node.decorator_list
     return {
         "signature": ast.unparse(spec),
@@ -125,7 +135,7 @@ def _function_facts(node) -> dict:
         "param_types": _named(hints),
         "return_type": ast.unparse(node.returns) if node.returns else None,
         "has_type_hints": bool(hints or node.returns),
-        "raised_exceptions": list(dict.fromkeys(r for r in raised if r)),
+        "raised_exceptions": list(dict.fromkeys(_raised(node))),
         "dependencies": [x["type"] for x in needs],
         "dependency_docs": needs,
         "decorators": [_callee(d) or "" for d in marks if not isinstance(d, ast.Call)],
@@ -256,7 +266,8 @@ def file_facts(source: str, wiring: bool = False) -> Iterator[dict]:
             found = _wiring(node)
             if found:
                 yield {**found, "lineno": node.lineno}
-        todo.extend((child, inner) for child in reversed(list(ast.iter_child_nodes(node))))
+        below = list(ast.iter_child_nodes(node)) if wiring else _statements(node)
+        todo.extend((child, inner) for child in reversed(below))
 
 
 def _parse_one(key: dict, source: str | None, wiring: bool) -> list[dict]:
@@ -279,9 +290,9 @@ def scan_facts(sources: DataFrame, wiring: bool = False) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in [*keys, "source"]}
-                rows += _parse_one({k: row[k] for k in keys}, row["source"], wiring)
+            for key in batch.to_pylist():
+                source = key.pop("source")
+                rows += _parse_one(key, source, wiring)
                 if len(rows) >= _BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
