@@ -20,57 +20,59 @@ def _points(condition: Column, yes, no=0) -> Column:
     return F.when(condition, yes).otherwise(no)
 
 
-def _documented() -> Column:
-    return tx.is_given(c("docstring"))
+# Facts the scores share, added once by `with_scores`: parameter count, missing count,
+# docstring length, docstring present, return value to describe.
+N, M, SIZE, HAS, RETURNS = "_n", "_m", "_size", "_has", "_returns"
 
 
-def _returns_value() -> Column:
-    return tx.is_given(c("return_type")) & (c("return_type") != "None")
-
-
-def _counts() -> tuple[Column, Column]:
-    n = F.greatest(F.size(F.coalesce(c("actual_params"), tx.no_strings())), F.lit(0))
-    m = F.greatest(F.size(F.coalesce(c("missing_params"), tx.no_strings())), F.lit(0))
-    return n, m
+def _shared() -> dict[str, Column]:
+    count = lambda name: F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    return {
+        N: count("actual_params"),
+        M: count("missing_params"),
+        SIZE: tx.docstring_length(c("docstring")),
+        HAS: tx.is_given(c("docstring")),
+        RETURNS: tx.is_given(c("return_type")) & (c("return_type") != "None"),
+    }
 
 
 def coverage_score() -> Column:
-    n, m = _counts()
+    n, m = c(N), c(M)
     ratio = F.when(n > 0, (n - m) / n).otherwise(F.lit(1.0))
     function = (
-        _points(_documented(), 30)
+        _points(c(HAS), 30)
         + (F.lit(40) * ratio).cast("int")
-        + F.when(_returns_value(), _points(c("has_return_doc"), 20)).otherwise(20)
+        + F.when(c(RETURNS), _points(c("has_return_doc"), 20)).otherwise(20)
         + _points(c("has_type_hints"), 10)
     )
     score = (
         F.when(c("method").isin(FUNCTION_LIKE), function)
-        .when(c("method").isin("PYDANTIC_MODEL", "CLASS", "MODULE"), _points(_documented(), 100))
-        .when(c("method").isin(INFRA_KINDS), _points(_documented(), 100, 80))
-        .when(c("method") == "PYDANTIC_CONFIG", _points(_documented(), 100, 90))
+        .when(c("method").isin("PYDANTIC_MODEL", "CLASS", "MODULE"), _points(c(HAS), 100))
+        .when(c("method").isin(INFRA_KINDS), _points(c(HAS), 100, 80))
+        .when(c("method") == "PYDANTIC_CONFIG", _points(c(HAS), 100, 90))
         .otherwise(0)
     )
     return F.least(score, F.lit(100)).cast("double")
 
 
 def quality_score() -> Column:
-    n, m = _counts()
-    size = tx.docstring_length(c("docstring"))
+    n, m = c(N), c(M)
+    size = c(SIZE)
     function = F.when(
-        _documented(),
+        c(HAS),
         F.when(size > 100, 50).when(size > 50, 30).when(size > 20, 15).otherwise(0)
         + F.when((m == 0) & (n > 0), 30).when(m < n / 2, 15).otherwise(0)
         + _points(c("has_return_doc"), 20),
     ).otherwise(0)
-    model = _points(_documented(), F.when(size > 50, 100).when(size > 20, 70).otherwise(30))
-    klass = _points(_documented(), F.when(size > 50, 100).when(size > 20, 60).otherwise(30))
+    model = _points(c(HAS), F.when(size > 50, 100).when(size > 20, 70).otherwise(30))
+    klass = _points(c(HAS), F.when(size > 50, 100).when(size > 20, 60).otherwise(30))
     score = (
         F.when(c("method").isin(FUNCTION_LIKE), function)
         .when(c("method") == "PYDANTIC_MODEL", model)
         .when(c("method") == "CLASS", klass)
-        .when(c("method") == "MODULE", _points(_documented(), 100))
-        .when(c("method").isin(INFRA_KINDS), _points(_documented(), 100, 70))
-        .when(c("method") == "PYDANTIC_CONFIG", _points(_documented(), 100, 80))
+        .when(c("method") == "MODULE", _points(c(HAS), 100))
+        .when(c("method").isin(INFRA_KINDS), _points(c(HAS), 100, 70))
+        .when(c("method") == "PYDANTIC_CONFIG", _points(c(HAS), 100, 80))
         .otherwise(0)
     )
     return F.least(score, F.lit(100)).cast("double")
@@ -78,16 +80,16 @@ def quality_score() -> Column:
 
 def completeness_issues() -> Column:
     """What is missing, in a fixed order."""
-    n, m = _counts()
+    n, m = c(N), c(M)
     is_function = c("method").isin(FUNCTION_LIKE)
-    bare = ~_documented()
+    bare = ~c(HAS)
     named = F.concat(F.lit("Missing parameter docs: "), tx.list_text(c("missing_params")))
     return F.array_compact(
         F.array(
             F.when(is_function & bare, F.lit("Missing docstring")),
             F.when(is_function & (n > 0) & (m > 0), named),
             F.when(
-                is_function & _returns_value() & ~F.coalesce(c("has_return_doc"), F.lit(False)),
+                is_function & c(RETURNS) & ~F.coalesce(c("has_return_doc"), F.lit(False)),
                 F.lit("Missing return documentation"),
             ),
             F.when(
@@ -102,7 +104,7 @@ def completeness_issues() -> Column:
 
 
 def complexity_score() -> Column:
-    n, _ = _counts()
+    n = c(N)
     hints = _points(c("has_type_hints"), F.lit(0.8), F.lit(1.2))
     mean = F.when(
         n > 0, (F.least(n / F.lit(10.0), F.lit(1.0)) + hints) / F.lit(2.0)
@@ -111,13 +113,13 @@ def complexity_score() -> Column:
 
 
 def maintainability_score() -> Column:
-    n, m = _counts()
-    size = tx.docstring_length(c("docstring"))
+    n, m = c(N), c(M)
+    size = c(SIZE)
     text_part = F.when(size > 50, F.lit(0.9)).when(size > 20, F.lit(0.7)).otherwise(F.lit(0.3))
     param_part = F.when(n > 0, (n - m) / n).otherwise(F.lit(1.0))
     hint_part = _points(c("has_type_hints"), F.lit(0.9), F.lit(0.6))
     return_part = F.when(
-        _returns_value(), _points(c("has_return_doc"), F.lit(0.9), F.lit(0.5))
+        c(RETURNS), _points(c("has_return_doc"), F.lit(0.9), F.lit(0.5))
     ).otherwise(F.lit(0.8))
     return exact_round((text_part + param_part + hint_part + return_part) / F.lit(4.0) * 100, 1)
 
@@ -179,16 +181,15 @@ def with_scores(items: DataFrame, all_kinds: bool = False) -> DataFrame:
     """
     unscored = c("method").isin("METADATA", "ROUTER_METADATA", "PYDANTIC_CONFIG") & ~F.lit(all_kinds)
     function_like = c("method").isin(CALLABLE_KINDS + ENDPOINT_KINDS)
-    return items.withColumns(
+    scores = items.withColumns(_shared()).withColumns(
         {
             "coverage_score": F.when(unscored, 0.0).otherwise(coverage_score()),
             "quality_score": F.when(unscored, 0.0).otherwise(quality_score()),
             "completeness_issues": F.when(unscored, tx.no_strings()).otherwise(completeness_issues()),
-            "docstring_length": F.when(
-                function_like, tx.docstring_length(c("docstring"))
-            ).otherwise(0),
+            "docstring_length": F.when(function_like, c(SIZE)).otherwise(0),
             "complexity_score": F.when(function_like, complexity_score()).otherwise(0.0),
             "maintainability_score": F.when(function_like, maintainability_score()).otherwise(0.0),
             "api_completeness_score": api_completeness_score(),
         }
     )
+    return scores.drop(N, M, SIZE, HAS, RETURNS)

@@ -8,6 +8,9 @@ group recurses once per line and overflows the stack on a long docstring.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,11 @@ def no_strings() -> Column:
     return F.expr(NO_STRINGS)
 
 
+def words(*names: str) -> Column:
+    """A constant array of plain words."""
+    return F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")")
+
+
 def lines_of(col: Column) -> Column:
     return F.split(col, "\n", -1)
 
@@ -133,7 +141,7 @@ def documented_params(doc: Column, marks: Column, mode: str = "first_line") -> C
     else:
         raise ValueError(f"unknown mode {mode!r}")
     sphinx = F.regexp_extract_all(doc, F.lit(r"(?Ud):param\s+(\w+):"), F.lit(1))
-    has_section = F.arrays_overlap(marks["google"], F.array(*[F.lit(w) for w in PARAM_WORDS]))
+    has_section = F.arrays_overlap(marks["google"], words(*PARAM_WORDS))
     found = F.when(has_section, google).otherwise(no_strings())
     found = F.when(F.size(found) > 0, found).otherwise(sphinx)
     return F.when(is_given(doc), found).otherwise(no_strings())
@@ -165,11 +173,9 @@ def style_hits(marks: Column) -> Column:
     """How many sections of each style a docstring shows."""
 
     def count(style, sections):
-        total = F.lit(0)
-        for words in sections:
-            seen = F.arrays_overlap(marks[style], F.array(*[F.lit(w) for w in words]))
-            total = total + F.coalesce(seen.cast("int"), F.lit(0))
-        return total.alias(style)
+        mine = marks[style]
+        seen = [F.arrays_overlap(mine, words(*names)).cast("int") for names in sections]
+        return reduce(add, seen).alias(style)
 
     return F.struct(
         count("google", GOOGLE_SECTIONS), count("numpy", NUMPY_SECTIONS), count("sphinx", SPHINX_FIELDS)
@@ -213,8 +219,8 @@ def empty_google_headers(doc: Column, marks: Column) -> Column:
                     ),
                     word,
                 )
-                for words in GOOGLE_SECTIONS
-                for word in words
+                for names in GOOGLE_SECTIONS
+                for word in names
             ]
         )
     )
@@ -290,7 +296,7 @@ def documented_exceptions(doc: Column, marks: Column, mode: str = "reference") -
         block, F.lit(rf"(?mUd)^\s+{EXCEPTION_NAME}(?:\s*:|\s+)"), F.lit(1)
     )
     ruled = r"(?isUd)Raises?\s*\n\s*[-=]+\s*\n(.*?)(?=\n\s*\w+\s*\n\s*[-=]+|\z)"
-    raise_words = F.array(F.lit("raise"), F.lit("raises"))
+    raise_words = words("raise", "raises")
     numpy_block = F.when(
         F.arrays_overlap(marks["numpy"], raise_words), F.regexp_extract(doc, ruled, 1)
     ).otherwise("")

@@ -160,7 +160,11 @@ def patch_docstrings(sources: DataFrame, edits: DataFrame, snapshot_id: str) ->
     of (is_module, lineno, status); `rejected_edits` lists the edits that reach no file.
     """
     columns = ["project", "snapshot_id", "file_path", "rel_path", "module", "source"]
-    joined = sources.select(*columns).join(gather_edits(sources, edits), ["project", "file_path"], "left")
+    # The join's own shuffle, with its partition count kept: merging small partitions would
+    # leave the parsing to few tasks.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = sources.select(*columns).repartition(parts, "project", "file_path")
+    joined = placed.join(gather_edits(sources, edits), ["project", "file_path"], "left")
     status_type = "array<struct<is_module:boolean,lineno:int,status:string>>"
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in columns]
