@@ -69,7 +69,8 @@ def read_sources(
     """All Python files below `root`, or `root` itself if it is one file.
 
     Private names are dropped while listing and oversized files by the pushed-down
-    length filter, so neither is opened. `exclude` names path parts to leave out.
+    length filter, so neither is opened. `exclude` names path parts to leave out. Spark's
+    file scan passes over files of no bytes; they hold nothing to document.
     """
     reader = spark.read.format("binaryFile")
     if not root.endswith(".py"):
