@@ -65,19 +65,22 @@ def read_sources(
     documentable_only: bool = True,
     exclude: Sequence[str] = (),
     max_bytes: int | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """All Python files below `root`, or `root` itself if it is one file.
 
     Private names are dropped while listing and oversized files by the pushed-down
     length filter, so neither is opened. `exclude` names path parts to leave out. Spark's
-    file scan passes over files of no bytes; they hold nothing to document.
+    file scan passes over files of no bytes, which hold nothing to document, and over names
+    that begin with `_` or `.`; name such folders or files below `root` in `also` (globs are
+    allowed) to read them.
     """
     reader = spark.read.format("binaryFile")
     if not root.endswith(".py"):
         reader = reader.option("recursiveFileLookup", True).option(
             "pathGlobFilter", "[!_]*.py" if documentable_only else "*.py"
         )
-    files = reader.load(root)
+    files = reader.load([root, *[f"{root.rstrip('/')}/{part}" for part in also]])
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
     return _as_text(_kept(_named(files, root, project, snapshot_id), documentable_only, exclude))
