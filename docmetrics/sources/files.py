@@ -72,8 +72,8 @@ def read_sources(
     Private names are dropped while listing and oversized files by the pushed-down
     length filter, so neither is opened. `exclude` names path parts to leave out. Spark's
     file scan passes over files of no bytes, which hold nothing to document, and over names
-    that begin with `_` or `.`; name such folders or files below `root` in `also` (globs are
-    allowed) to read them.
+    that begin with `_` or `.`. Such files are not documentable; name such folders below
+    `root` in `also` (globs are allowed) to read them.
     """
     reader = spark.read.format("binaryFile")
     if not root.endswith(".py"):

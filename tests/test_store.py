@@ -44,12 +44,13 @@ def test_tree(spark, folder):
     assert rows["pkg/b.py"].source == "x = 1\ndef b(): pass\n" and rows["pkg/b.py"].module == "b"
     assert rows["bad.py"].source is None
     assert {r.qualname for r in extract_items(df).collect()} == {"a", "b"}
-    # Names with a leading underscore are hidden to the file scan unless they are asked for.
+    # Names with a leading underscore are hidden to the file scan; folders can be asked for.
     every = {r.rel_path for r in files.read_sources(spark, folder, "demo", documentable_only=False).collect()}
-    hidden = {"__init__.py", "_x.py", "__pycache__/c.py"}
-    assert every == {*kept, *dropped, "bad.py"} - hidden - {"notes.txt"}
-    asked = files.read_sources(spark, folder, "demo", documentable_only=False, also=["_*.py", "__pycache__"])
-    assert {r.rel_path for r in asked.collect()} == every | hidden
+    assert every == {*kept, *dropped, "bad.py"} - {"__init__.py", "_x.py", "__pycache__/c.py", "notes.txt"}
+    put(f"{folder}/_core/c.py", "def c(): pass\n")
+    put(f"{folder}/pkg/_in/d.py", "def d(): pass\n")
+    asked = files.read_sources(spark, folder, "demo", also=["_core", "*/_*"])
+    assert {r.rel_path for r in asked.collect()} == {*kept, "bad.py", "_core/c.py", "pkg/_in/d.py"}
     assert files.read_sources(spark, folder, "demo", exclude=["pkg"]).count() == 3
     assert files.read_sources(spark, f"{folder}/a.py", "demo").first().rel_path == "a.py"
     listed = {r.path: r for r in files.list_files(files.read_landed(spark, folder, "demo")).collect()}
