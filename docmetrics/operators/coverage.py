@@ -77,33 +77,57 @@ def coverage_by(items: DataFrame, by: str, keys: Sequence[str] = ("project",), r
     )
 
 
-def coverage_snapshot(
-    items: DataFrame, rule: str = "A", order: Sequence[str] = ITEM_ORDER
-) -> DataFrame:
+_LEVELS = (("project",), ("project", "method"), ("project", "module"))
+
+
+def _levels(df: DataFrame, *aggs: Column) -> DataFrame:
+    """Aggregate by project, by kind and by module at once; names the level of each row."""
+    sets = [[F.col(c) for c in keys] for keys in _LEVELS]
+    grouped = df.groupingSets(sets, "project", "method", "module").agg(
+        F.grouping_id().alias("gid"), *aggs
+    )
+    # grouping_id bits: project, method, module; a set bit means not grouped by it.
+    level = F.when(F.col("gid") == 3, "project").when(F.col("gid") == 1, "method").otherwise("module")
+    return grouped.withColumns(
+        {"level": level, "name": F.coalesce("method", "module", F.lit(""))}
+    ).drop("gid", "method", "module")
+
+
+def coverage_snapshot(items: DataFrame, rule: str = "A") -> DataFrame:
     """Totals, kinds and modules of every project in one pass over the items.
 
     Long form: project, level (project, method, module), name, total, documented,
-    coverage, first_seen. A nested record would hold all modules of a project in one row.
+    coverage. A nested record would hold all modules of a project in one row.
     """
     slim = items.select(
         "project", kind().alias("method"), module().alias("module"),
-        is_documented(rule).cast("bigint").alias("d"), F.struct(*order).alias("at"),
+        is_documented(rule).cast("bigint").alias("d"),
     )
-    sets = [[F.col("project")], [F.col("project"), F.col("method")], [F.col("project"), F.col("module")]]
-    grouped = slim.groupingSets(sets, "project", "method", "module").agg(
-        F.grouping_id().alias("gid"),
-        F.count("*").alias("total"),
-        F.sum("d").alias("documented"),
-        F.min("at").alias("first_seen"),
+    counted = _levels(slim, F.count("*").alias("total"), F.sum("d").alias("documented"))
+    return _with_percent(counted).select(
+        "project", "level", "name", "total", "documented", "coverage"
     )
-    # grouping_id bits: project, method, module; a set bit means not grouped by it.
-    level = F.when(F.col("gid") == 3, "project").when(F.col("gid") == 1, "method").otherwise("module")
-    return _with_percent(
-        grouped.select(
-            "project", level.alias("level"),
-            F.coalesce("method", "module", F.lit("")).alias("name"),
-            "total", "documented", "first_seen",
-        )
+
+
+def ordered_snapshot(
+    items: DataFrame, rule: str = "A", order: Sequence[str] = ITEM_ORDER
+) -> DataFrame:
+    """`coverage_snapshot` with `first_seen`, the place of each group's first item.
+
+    Rankings need it to keep equal groups in order. Items are first counted per file, by
+    hash, so that the comparison of places sorts files and not items.
+    """
+    *head, last = order
+    per_file = items.groupBy(
+        "project", kind().alias("method"), module().alias("module"), *head
+    ).agg(*_stats(is_documented(rule)), F.min(last).alias(last))
+    out = _levels(
+        per_file,
+        F.sum("total").alias("total"), F.sum("documented").alias("documented"),
+        F.min(F.struct(*order)).alias("first_seen"),
+    )
+    return _with_percent(out).select(
+        "project", "level", "name", "total", "documented", "coverage", "first_seen"
     )
 
 

@@ -12,6 +12,7 @@ from docmetrics.functions import text as tx
 from docmetrics.operators.lines import Part, emit, say, union
 from docmetrics.operators.ordered import top_k, with_previous
 from docmetrics.schema import CLASS_KINDS, ITEM_ORDER
+from docmetrics.session import settled
 
 # --------------------------------------------------------------------------------------
 # Stereotype words, arrows, colours, header lines, presets.
@@ -115,22 +116,20 @@ def is_abstract(signature: Column, docstring: Column) -> Column:
     )
 
 
-def latest_class(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
-    """The last definition of each class name per project.
+def latest_class(
+    items: DataFrame, keep: dict[str, Column] | None = None, order: Sequence[str] = ITEM_ORDER
+) -> DataFrame:
+    """The last definition of each class name per project, with the columns in `keep`.
 
-    An aggregate, so many copies of one name shrink before the shuffle.
+    An aggregate, so many copies of one name shrink before the shuffle. Only short
+    columns should be kept: the rows are sorted by name on the way.
     """
-    keep = [
-        c for c in ("module", "method", "signature", "docstring", "lineno", "file_path", *order)
-        if c in items.columns
-    ]
-    keep = list(dict.fromkeys(keep))
-    return (
-        items.filter(F.col("method").isin(CLASS_KINDS))
-        .groupBy("project", "qualname")
-        .agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("c"))
-        .select("project", "qualname", *[F.col(f"c.{k}").alias(k) for k in keep])
+    keep = keep or {n: F.col(n) for n in ("module", "method", "signature", "lineno", "file_path")}
+    slim = items.filter(F.col("method").isin(CLASS_KINDS)).select(
+        "project", "qualname", F.struct(*order).alias("at"), F.struct(*[v.alias(k) for k, v in keep.items()]).alias("c")
     )
+    latest = slim.groupBy("project", "qualname").agg(F.max(F.struct("at", "c")).alias("m"))
+    return latest.select("project", "qualname", F.col("m.at").alias("at"), "m.c.*")
 
 
 def legacy_class_carry(
@@ -196,12 +195,12 @@ def attach_methods_legacy(
 
 def uml_classes(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     """Latest class rows with package, stereotype, abstract mark and member counts."""
-    heads = latest_class(items, order).select(
-        "project", "qualname", F.coalesce("module", F.lit("")).alias("package"), "file_path",
-        stereotype(F.col("qualname"), F.col("signature")).alias("stereotype"),
-        is_abstract(F.col("signature"), F.col("docstring")).alias("is_abstract"),
-        F.struct(*order).alias("at"),
-    )
+    heads = latest_class(items, {
+        "package": F.coalesce("module", F.lit("")),
+        "file_path": F.col("file_path"),
+        "stereotype": stereotype(F.col("qualname"), F.col("signature")),
+        "is_abstract": is_abstract(F.col("signature"), F.col("docstring")),
+    }, order)
     sizes = attach_methods(items, order).groupBy("project", "file_path", F.col("owner").alias("qualname")).agg(
         F.count_if(~F.col("is_attribute")).alias("methods"),
         F.count_if("is_attribute").alias("attributes"),
@@ -357,7 +356,7 @@ def diagram_lines(
 
     Sections: 0 header, 1 packages with classes and members, 2 relations by type, 3 end.
     """
-    shown = select_classes(uml_classes(items, order), config)
+    shown = settled(select_classes(uml_classes(items, order), config))
     out = lambda df, *parts: emit(df, "diagram", *parts, key=config.name)
     styling = [
         line

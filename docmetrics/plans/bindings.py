@@ -58,7 +58,7 @@ SELECT 'p' || CAST(n_chars % 3 AS {{text}}) AS project, 'latest' AS snapshot_id,
   ELSE '' END AS signature,
  CASE WHEN quality = 0 THEN NULL WHEN toxic = 1 THEN '  ' ELSE doc END AS docstring,
  CAST(n_chars % 1000 + 1 AS INT) AS lineno,
- '/' || lang || '/' || source || '.py' AS file_path,
+ '/' || lang || '/f' || k || '.py' AS file_path,
  CASE WHEN doc_id % 7 = 0 THEN 'def f():' || {NL} || '    # note' || {NL} || '    \"\"\"x\"\"\"'
   WHEN doc_id % 7 = 1 THEN 'def f():' || {NL} || '    return \"\"\"x\"\"\"'
   ELSE 'def f():' || {NL} || '    return 1' END AS full_source,
@@ -77,7 +77,8 @@ FROM (
  SELECT d.doc_id, d.n_chars, d.lang, d.source, l.quality, l.toxic, {_DOC} AS doc,
   CASE WHEN d.doc_id % 31 = 0 THEN NULL ELSE d.lang || '.' || d.source END AS module,
   CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE split_part('{KINDS}', ',', CAST(d.doc_id % 12 + 1 AS INT)) END AS method,
-  split_part('{CLASS_NAMES}', ',', CAST(CAST(substr(d.source, 4) AS INT) % 5 + 1 AS INT)) || '_' || d.source AS cls
+  CAST(substr(d.source, 4) AS INT) % 5 AS k,
+  split_part('{CLASS_NAMES}', ',', CAST(CAST(substr(d.source, 4) AS INT) % 5 + 1 AS INT)) || '_' || d.lang AS cls
  FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id
 ) x
 """

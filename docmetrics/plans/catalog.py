@@ -386,7 +386,12 @@ def coverage_by_module(spark, sf):
 
 @query
 def coverage_snapshot(spark, sf):
-    snap = cov.coverage_snapshot(b.items(spark, sf))
+    return cov.coverage_snapshot(b.items(spark, sf))
+
+
+@query
+def ordered_snapshot(spark, sf):
+    snap = cov.ordered_snapshot(b.items(spark, sf))
     return snap.select("project", "level", "name", "total", "documented", "coverage",
                        F.col("first_seen.file_path").alias("first_file"),
                        F.col("first_seen.item_ordinal").alias("first_item"))
@@ -636,7 +641,8 @@ def usage_since_reset(spark, sf):
 @query
 def latest_class(spark, sf):
     return graph.latest_class(b.items(spark, sf)).select(
-        "project", "qualname", F.coalesce("module", F.lit("-")).alias("module"), "file_path", "item_ordinal"
+        "project", "qualname", F.coalesce("module", F.lit("-")).alias("module"), "file_path",
+        F.col("at.item_ordinal").alias("item_ordinal"),
     )
 
 

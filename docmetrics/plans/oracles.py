@@ -658,7 +658,8 @@ FROM sections e""", "sections"),
     "coverage_total_text": sql(f"SELECT *, total - documented AS missing, {rnd('coverage', 1)} AS coverage_percent FROM (SELECT *, {pct('documented', 'total')} AS coverage FROM (SELECT project, count(*) AS total, {n_if(texty('docstring'))} AS documented FROM items GROUP BY 1) x) y", "items"),
     "coverage_by_method": sql(covered(f"project, {KIND} AS method", f"project, {KIND}"), "items"),
     "coverage_by_module": sql(covered(f"project, {MODULE} AS module", f"project, {MODULE}"), "items"),
-    "coverage_snapshot": sql(f"SELECT *, {pct('documented', 'total')} AS coverage FROM ({SNAPSHOT}) x", "items"),
+    "coverage_snapshot": sql(f"SELECT project, level, name, total, documented, {pct('documented', 'total')} AS coverage FROM ({SNAPSHOT}) x", "items"),
+    "ordered_snapshot": sql(f"SELECT *, {pct('documented', 'total')} AS coverage FROM ({SNAPSHOT}) x", "items"),
     "snapshot_record": sql(f"SELECT project, TIMESTAMP '2024-01-31' AS ts, total AS total_items, documented AS documented_items, {rnd('coverage', 2)} AS coverage_percent FROM ({covered('project', 'project')}) y", "items"),
     "missing_by_type": sql(f"SELECT *, total - documented AS missing FROM ({covered(f'project, {KIND} AS method', f'project, {KIND}')}) y WHERE total > documented", "items"),
     "stats_by_kind": sql("SELECT project, modules, classes, functions, endpoints FROM pstats", "pstats"),

@@ -18,6 +18,7 @@ from docmetrics.operators import coverage as cov
 from docmetrics.operators import graph
 from docmetrics.operators.lines import Part, emit, say, union
 from docmetrics.schema import ENDPOINT_KINDS, ITEM_ORDER
+from docmetrics.session import settled
 
 MISSING_SHOWN = 20
 
@@ -68,8 +69,10 @@ def module_tree(items: DataFrame) -> DataFrame:
 
     `rail` is the text drawn before the children of a node, `branch` the node's own mark.
     """
-    modules = items.filter(tx.is_given(F.col("module"))).groupBy("project", "module").agg(
-        F.count("*").alias("n")
+    modules = settled(
+        items.filter(tx.is_given(F.col("module"))).groupBy("project", "module").agg(
+            F.count("*").alias("n")
+        )
     )
     parts = F.split("module", r"\.", -1)
     prefixes = modules.select(
@@ -128,7 +131,7 @@ def module_tree(items: DataFrame) -> DataFrame:
 
 
 def tree_lines(items: DataFrame, kind: str, section: int, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
-    tree = module_tree(items)
+    tree = settled(module_tree(items))
     nodes = emit(tree, kind, Part(section, [say(F.col("branch"), F.col("name"))], F.col("sort_key"), lit(-1)))
     slim = items.filter(tx.is_given(F.col("module"))).select(
         "project", F.col("module").alias("path"), "qualname", "method",
@@ -410,7 +413,7 @@ def panel_color(coverage: Column) -> Column:
 
 def coverage_page(items: DataFrame, generated: str, order: Sequence[str] = ITEM_ORDER) -> DataFrame:
     k = "coverage_page"
-    levels = cov.coverage_snapshot(items, "A", order)
+    levels = cov.coverage_snapshot(items, "A")
     sample = cov.missing_sample(items, MISSING_SHOWN, "A", order=order)
     cell = lambda x: say("<td>", x, "</td>")
     share = fixed_text(F.col("coverage"), 1)

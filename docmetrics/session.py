@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "docmetrics", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -29,3 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="docmetrics-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a small result that a plan uses several times to the shared folder, and read it.
+
+    For reduced results only (classes shown, modules of a project). The files outlive the
+    executors that wrote them, and the plans built on top stay short.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
