@@ -132,12 +132,25 @@ def latest_class(
     return latest.select("project", "qualname", F.col("m.at").alias("at"), "m.c.*")
 
 
+RUN_LENGTH = 65536
+
+
+def reading_blocks() -> list[Column]:
+    """Directory, file and ordinal range: the runs of the default item order."""
+    directory = F.regexp_extract("file_path", r"^(.*)/", 1)
+    return [directory, F.col("file_path"), F.floor(F.col("item_ordinal") / RUN_LENGTH)]
+
+
 def legacy_class_carry(
-    items: DataFrame, block: Column, order: Sequence[str] = ITEM_ORDER
+    items: DataFrame, blocks: Sequence[Column] | None = None, order: Sequence[str] = ITEM_ORDER
 ) -> DataFrame:
-    """Each item with the last class row at or before it in list order."""
+    """Each item with the last class row at or before it in list order.
+
+    The list goes directory by directory, then by file and ordinal.
+    """
     is_class = F.when(F.col("method").isin(CLASS_KINDS), F.col("qualname"))
-    return with_previous(items, ["project"], block, order, is_class, "carried_class", True)
+    runs = reading_blocks() if blocks is None else blocks
+    return with_previous(items, ["project"], runs, order, is_class, "carried_class", True)
 
 
 def _members(items: DataFrame, owner: Column, order: Sequence[str]) -> DataFrame:
@@ -187,10 +200,10 @@ def attach_methods(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataF
 
 
 def attach_methods_legacy(
-    items: DataFrame, block: Column, order: Sequence[str] = ITEM_ORDER
+    items: DataFrame, blocks: Sequence[Column] | None = None, order: Sequence[str] = ITEM_ORDER
 ) -> DataFrame:
     """Members attached to the last class seen in list order, even across files."""
-    return _members(legacy_class_carry(items, block, order), F.col("carried_class"), order)
+    return _members(legacy_class_carry(items, blocks, order), F.col("carried_class"), order)
 
 
 def uml_classes(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFrame:

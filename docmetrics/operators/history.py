@@ -103,10 +103,10 @@ def trend_series(snapshots: DataFrame, now: dt.datetime, days: int = 30) -> Data
 
 
 def coverage_deltas(snapshots: DataFrame) -> DataFrame:
-    """Change of each snapshot against the one before it; months are worked apart."""
+    """Change of each snapshot against the one before it; days and months are worked apart."""
     stepped = with_previous(
         snapshots.select("project", "ts", "coverage_percent", "total_items", "documented_items"),
-        ["project"], F.date_trunc("month", "ts"), ["ts"],
+        ["project"], [F.date_trunc("month", "ts"), F.date_trunc("day", "ts")], ["ts"],
         F.struct("coverage_percent", "total_items", "documented_items"), "_prev",
     )
     change = F.col("coverage_percent") - F.col("_prev.coverage_percent")

@@ -38,10 +38,17 @@ def top_k(
     return ranked.withColumnRenamed("_rn", rank) if rank else ranked.drop("_rn")
 
 
+def _matching(left: DataFrame, right: DataFrame, columns: Sequence[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[f"{prefix}{c}"])
+    return out
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    blocks: Sequence[Column],
     order: Sequence[str],
     value: Column,
     name: str,
@@ -49,32 +56,28 @@ def with_previous(
 ) -> DataFrame:
     """Add the last non-null `value` before each row of its group.
 
-    `block` cuts a group into runs that follow `order` (a month, a directory, an ordinal
-    range). Windows run inside a run; only one row per run is carried across runs.
+    `blocks` cut a group into runs that follow `order`, coarse to fine: month and day;
+    directory, file and ordinal range. Windows run inside the finest run. Each run then
+    counts as one row of the run above it, and so on up to the group, so no window holds
+    more rows than one run has parts.
     """
-    inside = W.partitionBy(*keys, "_block").orderBy(*order)
+    depth = len(blocks)
+    own, near_name, up, prefix = (f"_{x}{depth}" for x in ("value", "near", "carried", "key"))
+    runs = [f"_run{depth}_{i}" for i in range(depth)]
     end = 0 if include_current else -1
-    blocked = df.withColumn("_block", block).withColumn("_value", value)
-    near = blocked.withColumn(
-        "_near", F.last("_value", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, end))
-    )
-    last_of_block = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last"))
-        .withColumn(
-            "_carried",
-            F.last("_last", ignorenulls=True).over(
-                W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_last")
+    inside = W.partitionBy(*keys, *runs).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
+    cut = df.withColumns({**dict(zip(runs, blocks)), own: value})
+    near = cut.withColumn(near_name, F.last(own, ignorenulls=True).over(inside))
+    if not blocks:
+        return near.withColumnRenamed(near_name, name).drop(own)
+
+    present = F.when(F.col(own).isNotNull(), F.struct(*order))
+    last = cut.groupBy(*keys, *runs).agg(F.max_by(own, present).alias("_last"))
+    above = with_previous(
+        last, keys, [F.col(r) for r in runs[:-1]], [runs[-1]], F.col("_last"), up
     )
-    carried = last_of_block.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]], "_carried")
-    on = F.lit(True)
-    for k in [*keys, "_block"]:
-        on = on & near[k].eqNullSafe(carried[f"_k_{k}"])
-    return (
-        near.join(carried, on, "left")
-        .withColumn(name, F.coalesce("_near", "_carried"))
-        .drop("_block", "_value", "_near", "_carried", *[f"_k_{k}" for k in [*keys, "_block"]])
+    carried = above.select(*[F.col(c).alias(f"{prefix}{c}") for c in [*keys, *runs]], up)
+    joined = near.join(carried, _matching(near, carried, [*keys, *runs], prefix), "left")
+    return joined.withColumn(name, F.coalesce(near_name, up)).drop(
+        *runs, own, near_name, up, *[f"{prefix}{c}" for c in [*keys, *runs]]
     )

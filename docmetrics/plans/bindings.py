@@ -277,6 +277,14 @@ SELECT 'p' || CAST(n_chars % 3 AS {text}) AS project,
 FROM {documents} GROUP BY n_chars % 3
 """
 
+# Parts as stored items: a function row each, and an endpoint row for those of even size.
+PART_ROWS = """
+SELECT p_brand AS project, '/src/' || p_type || '.py' AS file_path, p_partkey AS lineno, 'f' || p_partkey AS qualname,
+ 'FUNCTION' AS method FROM {part}
+UNION ALL SELECT p_brand, '/src/' || p_type || '.py', p_partkey, 'f' || p_partkey,
+ CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'CLASS' END FROM {part}
+"""
+
 # Five edits per part file: the method's docstring, the module's, one too far down, one in an
 # unknown file, one of a kind that holds no docstring.
 _PART_EDIT = """

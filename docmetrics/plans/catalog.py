@@ -107,8 +107,15 @@ def extract_endpoints(spark, sf):
 
 @query
 def extract_deduped(spark, sf):
-    items = extract.extract_items(b.sources(spark, sf))
-    return cov.method_counts(cov.dedupe_endpoints(items))
+    """Kinds counted with an endpoint's function row left out."""
+    facts = extract.scan_facts(b.sources(spark, sf))
+    return cov.method_counts(extract.items_from_facts(facts, endpoint_functions=False))
+
+
+@query
+def deduped_items(spark, sf):
+    """The same on stored items, where functions and endpoints are rows apart."""
+    return cov.method_counts(cov.dedupe_endpoints(b.bound(spark, sf, b.PART_ROWS)))
 
 
 @query
@@ -296,7 +303,9 @@ def item_table(spark, sf):
 
 @query
 def item_by_ordinal(spark, sf):
-    return cov.item_by_ordinal(b.items(spark, sf), "p1", 1).select("item_ordinal", "qualname", "docstring")
+    items = b.items(spark, sf)
+    found = pages.union([cov.item_by_ordinal(items, p, 1) for p in ("p0", "p1", "p2")])
+    return found.select("item_ordinal", "qualname", "docstring")
 
 
 @query
@@ -662,15 +671,13 @@ def attach_methods(spark, sf):
 
 @query
 def class_carry(spark, sf):
-    block = F.regexp_extract("file_path", r"^(.*)/", 1)
-    rows = graph.legacy_class_carry(b.items(spark, sf), block)
+    rows = graph.legacy_class_carry(b.items(spark, sf))
     return rows.select("item_ordinal", F.coalesce("carried_class", F.lit("-")).alias("carried_class"))
 
 
 @query
 def attach_methods_legacy(spark, sf):
-    block = F.regexp_extract("file_path", r"^(.*)/", 1)
-    return graph.attach_methods_legacy(b.items(spark, sf), block).groupBy("project", "owner").agg(
+    return graph.attach_methods_legacy(b.items(spark, sf)).groupBy("project", "owner").agg(
         F.count("*").alias("members")
     )
 

@@ -589,6 +589,8 @@ ORACLE: dict[str, str] = {
     "extract_coverage": sql(covered("project, method", "project, method", f"({part_items({k: PART_ITEMS[k] for k in ('project', 'method', 'docstring')})})"), "good_part"),
     "extract_endpoints": sql("SELECT p_brand AS project, '/parts/' || p_partkey AS path, 'GET' AS method, 'read' AS qualname, p_type AS tags FROM good_part", "good_part"),
     "extract_deduped": sql(f"SELECT project, method, count(*) AS items FROM ({part_items({k: PART_ITEMS[k] for k in ('project', 'method')})}) x WHERE method <> 'ASYNC_FUNCTION' GROUP BY 1, 2", "good_part"),
+    "deduped_items": """SELECT project, method, count(*) AS items FROM (SELECT p_brand AS project, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'CLASS' END AS method FROM part
+ UNION ALL SELECT p_brand, 'FUNCTION' FROM part WHERE p_size % 2 <> 0) x GROUP BY 1, 2""",
     "scan_metadata": "SELECT p_brand AS project, 'local' AS scan_type, count(*) AS total_files FROM part GROUP BY 1",
     "report_status": sql("SELECT project, snapshot_id, count(*) AS items FROM items GROUP BY 1, 2", "items"),
     "rescan_changed": sql("SELECT file_path, 'Part' || p_partkey || '.price' AS qualname, 'Cost of ' || p_brand || '.' AS docstring FROM good_part WHERE p_size % 2 = 0", "good_part"),
@@ -637,7 +639,7 @@ FROM sections e""", "sections"),
     "missing_items": sql("SELECT item_ordinal, project, listed_module, qualname FROM bare", "bare"),
     "well_documented": sql("SELECT item_ordinal, length(docstring) AS length FROM items WHERE length(docstring) > 100", "items"),
     "item_table": sql(f"SELECT project, module, qualname, {KIND} AS method, {texty('docstring')} AS documented, CASE WHEN {texty('docstring')} THEN 100 ELSE 0 END AS coverage, CASE WHEN {texty('docstring')} THEN 'Good' ELSE 'Missing' END AS status FROM items", "items"),
-    "item_by_ordinal": sql("SELECT item_ordinal, qualname, docstring FROM items WHERE project = 'p1' AND item_ordinal = 1", "items"),
+    "item_by_ordinal": sql("SELECT item_ordinal, qualname, docstring FROM items WHERE item_ordinal = 1", "items"),
     "patchable_items": sql("SELECT project, method, count(*) AS items FROM items WHERE method IS NOT NULL AND method <> 'ROUTER_METADATA' GROUP BY 1, 2", "items"),
     "history_of_project": sql("SELECT * FROM snaps WHERE project = 'click'", "snaps"),
     "snapshots_in_period": sql("SELECT * FROM snaps WHERE ts >= TIMESTAMP '2024-01-24'", "snaps"),

@@ -309,9 +309,15 @@ def scan_errors(facts: DataFrame) -> DataFrame:
 
 
 def items_from_facts(
-    facts: DataFrame, params_mode: str = "first_line", exceptions_mode: str = "reference"
+    facts: DataFrame,
+    params_mode: str = "first_line",
+    exceptions_mode: str = "reference",
+    endpoint_functions: bool = True,
 ) -> DataFrame:
-    """Item rows with kinds, endpoint rows, docstring facts and scores."""
+    """Item rows with kinds, endpoint rows, docstring facts and scores.
+
+    An endpoint's function is a row of its own too, unless `endpoint_functions` is off.
+    """
     c = F.col
     binding = F.get(
         F.filter(c("decorators"), lambda d: d.isin("property", "staticmethod", "classmethod")),
@@ -338,6 +344,9 @@ def items_from_facts(
     )
     is_function = c("fact").isin("function", "async")
     own = F.lit(None).cast(RAW_FACTS["endpoints"].dataType.elementType)
+    uses = F.concat(F.array(own), F.coalesce(c("endpoints"), F.slice(F.array(own), 1, 0)))
+    if not endpoint_functions:
+        uses = F.when(F.size("endpoints") > 0, c("endpoints")).otherwise(F.array(own))
     rows = (
         facts.filter(c("fact") != "ERROR")
         .withColumns(
@@ -350,7 +359,7 @@ def items_from_facts(
                     (method != "CLASS") & (F.size("param_types") > 0), c("param_types")
                 ).otherwise(F.expr(f"cast(array() as {NAMED_TYPE})")),
                 # The function itself, then one more row per endpoint mark.
-                "_as": F.concat(F.array(own), F.coalesce(c("endpoints"), F.slice(F.array(own), 1, 0))),
+                "_as": uses,
             }
         )
         .select("*", F.posexplode("_as").alias("_nth", "_ep"))

@@ -94,7 +94,7 @@ def test_diagram_presets(make_items):
 
 
 def test_legacy_members_follow_list_order(make_items):
-    rows = graph.attach_methods_legacy(fixture(make_items), F.lit("all")).collect()
+    rows = graph.attach_methods_legacy(fixture(make_items)).collect()
     assert {r.owner for r in rows} == {"UserService"} and len(rows) == 4
 
 

@@ -34,11 +34,13 @@ def test_with_previous(spark):
     for current, end in ((False, -1), (True, 0)):
         frame = W.partitionBy("k").orderBy("id").rowsBetween(W.unboundedPreceding, end)
         plain = df.withColumn("p", F.last("mark", ignorenulls=True).over(frame))
-        got = with_previous(df, ["k"], F.floor(F.col("id") / 37), ["id"], F.col("mark"), "p", current)
-        assert rows(got.select(*plain.columns)) == rows(plain)
+        by = lambda n: F.floor(F.col("id") / n)
+        for blocks in ([], [by(37)], [by(500), by(20)], [by(1000), by(100), by(10)]):
+            got = with_previous(df, ["k"], blocks, ["id"], F.col("mark"), "p", current)
+            assert rows(got.select(*plain.columns)) == rows(plain)
 
 
 def test_previous_spans_empty_blocks(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 500, None), ("a", 900, None), (None, 7, 3)], "k string, id int, mark int")
-    got = with_previous(df, ["k"], F.floor(F.col("id") / 10), ["id"], F.col("mark"), "p")
+    got = with_previous(df, ["k"], [F.floor(F.col("id") / 10)], ["id"], F.col("mark"), "p")
     assert {(r.k, r.id): r.p for r in got.collect()} == {("a", 1): None, ("a", 500): 5, ("a", 900): 5, (None, 7): None}
