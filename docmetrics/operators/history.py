@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.functions.numbers import fixed_text
+from docmetrics.functions.times import moment
 from docmetrics.operators.ordered import top_k, with_previous
 
 
@@ -23,7 +24,7 @@ def history_for(snapshots: DataFrame, project: str) -> DataFrame:
 
 def in_period(days: int, now: dt.datetime, ts: str = "ts") -> Column:
     """Not older than `days` before `now`; a literal bound, so it reaches the scan."""
-    return F.col(ts) >= F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz")
+    return F.col(ts) >= moment(now - dt.timedelta(days=days))
 
 
 def newest(snapshots: DataFrame, limit: int | None = None) -> DataFrame:

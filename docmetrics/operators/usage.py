@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.functions.prices import PRICE_LIST, Price, request_cost
+from docmetrics.functions.times import moment
 from docmetrics.operators.history import retain
 from docmetrics.operators.ordered import top_k
 
@@ -85,7 +86,7 @@ def month_bounds(year: int, month: int) -> tuple[dt.datetime, dt.datetime]:
 
 def in_month(requests: DataFrame, year: int, month: int) -> DataFrame:
     """A timestamp range, so file and row-group statistics prune other months."""
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in month_bounds(year, month))
+    start, end = (moment(x) for x in month_bounds(year, month))
     return requests.filter((F.col("ts") >= start) & (F.col("ts") < end))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docmetrics.functions import prices as pr
 from docmetrics.functions import text as tx
 from docmetrics.functions.numbers import exact_round, percent
+from docmetrics.functions.times import moment
 from docmetrics.functions.score import with_docstring_facts, with_scores
 from docmetrics.operators import coverage as cov
 from docmetrics.operators import graph, history, patch, usage
@@ -409,7 +410,7 @@ def ordered_snapshot(spark, sf):
 @query
 def snapshot_record(spark, sf):
     snap = cov.coverage_snapshot(b.items(spark, sf))
-    return cov.snapshot_record(snap, F.lit(NOW).cast("timestamp_ntz"))
+    return cov.snapshot_record(snap, moment(NOW))
 
 
 @query
@@ -886,8 +887,7 @@ def stream_table(spark, sf, name):
 @query
 def stream_usage_totals(spark, sf):
     requests = spark.sql(b.spark_text(b.USAGE), events=stream_table(spark, sf, "events"))
-    priced = usage.price_requests(requests.withColumn("ts", F.col("ts").cast("timestamp")))
-    days = jobs.drain(jobs.stream_usage_totals(priced), ["project", "day"])
+    days = jobs.drain(jobs.stream_usage_totals(usage.price_requests(requests)), ["project", "day"])
     return as_double(days).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

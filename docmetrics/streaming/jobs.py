@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docmetrics.functions.times import event_time
 from docmetrics.operators.coverage import coverage_snapshot, snapshot_record
 from docmetrics.session import scratch_dir
 from docmetrics.sources.extract import extract_items
@@ -19,10 +20,11 @@ def stream_usage_totals(requests: DataFrame, delay: str = "2 days") -> DataFrame
     Months are sums of these days: a calendar month is not a fixed window length.
     """
     return (
-        requests.withWatermark("ts", delay)
-        .groupBy("project", F.window("ts", "1 day").alias("w"))
+        requests.withColumn("_event_time", event_time(F.col("ts")))
+        .withWatermark("_event_time", delay)
+        .groupBy("project", F.window("_event_time", "1 day"), F.to_date("ts").alias("day"))
         .agg(F.sum(F.col("cost").cast("decimal(20,6)")).alias("cost"), F.count("*").alias("requests"))
-        .select("project", F.col("w.start").alias("day"), "cost", "requests")
+        .select("project", "day", "cost", "requests")
     )
 
 

@@ -181,3 +181,13 @@ def test_progress_report(spark):
     df = snapshots(spark, [(0, 5, 1), (4, 5, 5)])
     parts = {(r.part, r.name) for r in hist.progress_report(df, groups(spark, [("module", "a", 10), ("method", "GET", 10)]), NOW).collect()}
     assert {("latest", "coverage_percent"), ("trend", "improving"), ("best", "a"), ("worst", "a"), ("missing", "GET")} <= parts
+
+
+def test_period_bound_ignores_session_zone(spark):
+    df = snapshots(spark, [(0, 5, 1), (1, 5, 2)])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert df.filter(hist.in_period(5, NOW)).count() == 2
+        assert df.filter(hist.in_period(4, NOW)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
