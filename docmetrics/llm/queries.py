@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from docmetrics.llm.language import op8_language
+from docmetrics.llm.main_text import op2_main_text
+from docmetrics.llm.mixing import op9_mixing
 from docmetrics.llm.near_duplicates import op1_near_duplicates
+from docmetrics.llm.quality import op4_quality
 from docmetrics.llm.token_counts import op6_token_counts
+from docmetrics.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_main_text": op2_main_text,
+    "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_language": op8_language,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_warc": OP7_SQL}
