@@ -70,7 +70,7 @@ def learnable(doc_id: Column) -> Column:
 def slices(batch: pa.RecordBatch, column: str, budget: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about budget bytes of the binary column each."""
     start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if held and held + n > budget:
             yield start, i
             start, held = i, 0

@@ -6,18 +6,22 @@ from docmetrics.llm.language import op8_language
 from docmetrics.llm.main_text import op2_main_text
 from docmetrics.llm.mixing import op9_mixing
 from docmetrics.llm.near_duplicates import op1_near_duplicates
+from docmetrics.llm.personal_data import op10_personal_data
 from docmetrics.llm.quality import op4_quality
 from docmetrics.llm.token_counts import op6_token_counts
+from docmetrics.llm.toxicity import op5_toxicity
 from docmetrics.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_main_text": op2_main_text,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE = {"op7_warc": OP7_SQL}
