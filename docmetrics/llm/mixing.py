@@ -162,6 +162,14 @@ def draw(docs: DataFrame, columns: list[str], weights: tuple[float, ...] = (5, 2
         (F.col("whole") + F.col("p")).cast("int").alias("copies"))
 
 
+MIX = ["size", "source_size", "target", "copies"]
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with MIX columns (these names are taken from docs)."""
+    return draw(docs, [c for c in docs.columns if c not in MIX]).where("copies > 0")
+
+
 def op9_mixing(spark, sf_dir):
     """All documents mixed to source weights 5, 2, 1."""
     found = draw(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -276,6 +276,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, one for each doc_id (of several, the
+    smallest row). Rows without a doc_id stay. Columns are those of docs."""
+    ids = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(
+        F.count("*").alias("_kept_n"))
+    rows = docs.join(ids, docs["doc_id"] == ids["_kept_id"])
+    one = rows.where("_kept_n = 1").select(*[docs[c] for c in docs.columns])
+    more = rows.where("_kept_n > 1").groupBy("_kept_id").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_kept_row")).select("_kept_row.*")
+    return one.union(more).union(docs.where("doc_id is null"))
+
+
 def op1_near_duplicates(spark, sf_dir):
     """Near-duplicates of all documents at 0.85."""
     from docmetrics.llm.common import table

@@ -31,7 +31,7 @@ _RUN = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_RUN})){_RUN}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",  # shorter runs never pass
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -80,8 +80,16 @@ def _placed(matches: Column, around: Column, kind: str, base: bool) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     pairs = F.arrays_zip(matches.alias("match"), F.slice(around, 1, F.size(matches)).alias("around"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    # Spans are appended to short lists, and those to one list: appending copies a list.
+    none = F.array().cast(f"array<{_SPAN}>")
+    parts = F.transform(F.sequence(F.lit(0), (F.size(matches) / 256).cast("int")), lambda k: F.slice(pairs, k * 256 + 1, F.lit(256)))
+
+    def add_part(acc: Column, part: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(part, start, add)))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    return F.aggregate(parts, first, add_part, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -243,18 +251,24 @@ def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def redact(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of docs with all personal data in text replaced.
+    """The given columns of docs with all personal data in text replaced; n_chars, if named, follows.
 
-    docs needs text and the columns. The trees are fitted on these documents. A null text stays
+    docs needs text; text must be among the columns. The trees are fitted on these documents. A null text stays
     null, texts without a span stay as they are. Rows are independent: null and repeated ids come
     back as they are, repeated rows are redacted alike. Long texts are read whole. Empty table:
     no rows; without positive examples only base spans are replaced.
     """
     rows = with_candidates(docs, columns)
     rows = with_spans(rows, fit(rows))
-    at = columns.index("text")
-    return rows.select(*[(F.when(F.col(f"c{i}").isNotNull(), redacted(F.col("text"), F.col("spans"))) if i == at else F.col(f"c{i}")).alias(c)
-                         for i, c in enumerate(columns)])
+    was_null = F.col(f"c{columns.index('text')}").isNull()
+    rows = rows.withColumn("new_text", F.when(~was_null, redacted(F.col("text"), F.col("spans"))))
+
+    def column(i: int, name: str) -> Column:
+        if name == "n_chars":
+            return F.when(was_null | (F.size("spans") == 0), F.col(f"c{i}")).otherwise(F.length("new_text").cast("long"))
+        return F.col("new_text") if name == "text" else F.col(f"c{i}")
+
+    return rows.select(*[column(i, c).alias(c) for i, c in enumerate(columns)])
 
 
 def op10_personal_data(spark, sf_dir):

@@ -189,7 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 4000, good_lost: floa
 
 
 def judged(docs: DataFrame, model: Model, columns: list[str], stats: DataFrame | None = None) -> DataFrame:
-    """The given columns of every row, BASE counts, base_failed and kept.
+    """The given columns of every row as c0, c1, ..., BASE counts, base_failed and kept.
 
     docs needs text and the columns; null text counts as empty. kept is false if the base rules
     fail (under 50 words, or over half the words in repeated windows of three) or the score is
@@ -200,12 +200,18 @@ def judged(docs: DataFrame, model: Model, columns: list[str], stats: DataFrame |
     rows = with_statistics(docs, columns) if stats is None else stats
     rows = rows.withColumn("score", F.lit(0.0)) if model.forest is None else scored(rows, model.forest)
     return rows.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *BASE, base_failed().alias("base_failed"),
+        *[f"c{i}" for i in range(len(columns))], *BASE, base_failed().alias("base_failed"),
         (~base_failed() & (F.col("score") <= F.lit(model.threshold))).alias("kept"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that judged() keeps, with the model fitted on docs and labels."""
+    model = fit(stored(with_statistics(docs, ["doc_id"]), "statistics"), labels)
+    return judged(docs, model, docs.columns).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op4_quality(spark, sf_dir):
     """Quality verdict on all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = stored(with_statistics(docs, ["doc_id"]), "statistics")
-    return judged(docs, fit(stats, table(spark, sf_dir, "labels")), ["doc_id"], stats)
+    return judged(docs, fit(stats, table(spark, sf_dir, "labels")), ["doc_id"], stats).withColumnRenamed("c0", "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docmetrics.llm.decontaminate import op3_decontamination
 from docmetrics.llm.language import op8_language
 from docmetrics.llm.main_text import op2_main_text
 from docmetrics.llm.mixing import op9_mixing
@@ -15,6 +16,7 @@ from docmetrics.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_main_text": op2_main_text,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,

@@ -16,6 +16,7 @@ logistic function of the greatest one and of their sum, fitted on the same rows)
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -119,14 +120,16 @@ def without_copies(tokens: list[list[str]], toxic: list[int]) -> tuple[list[list
     return list(kept.values()), [label for label, _ in kept]
 
 
-def marking(tokens: list[list[str]], toxic: list[int], least: int, odds: float) -> set[str]:
+def marking(tokens: list[list[str]], toxic: list[int], chance: float, odds: float) -> set[str]:
     """Words and beginnings that mark toxic tokens.
 
-    All are `odds` times more frequent in toxic documents than in clean ones. Those in 3 % of the
-    toxic ones mark; of the others, those that `least` toxic documents not yet explained have,
-    most first.
+    All are `odds` times more frequent in toxic documents than in clean ones, and in so many that
+    a word of no meaning would be in toxic ones only by a chance of 10 ** -chance. Those in 3 %
+    of the toxic ones mark; of the others, those that as many toxic documents not yet explained
+    have, most first.
     """
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    least = max(2, math.ceil(chance / math.log10((n_toxic + n_clean) / n_toxic)))
     within = [{x for w in set(ws) for x in parts(w) if x[0] != "$"} for ws in tokens]
     clean: Counter[str] = Counter()
     held: dict[str, list[int]] = {}
@@ -149,11 +152,11 @@ def marking(tokens: list[list[str]], toxic: list[int], least: int, odds: float)
     return marks
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 40, least: int = 12, odds: float = 20.0) -> Model:
+def train(texts: list[str], toxic: list[int], steps: int = 40, chance: float = 3.5, odds: float = 20.0) -> Model:
     """Fit the field and the document score on whole texts with their labels."""
     tokens, toxic = without_copies([t.lower().split() for t in texts], toxic)
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    marks = marking(tokens, toxic, least, odds)
+    marks = marking(tokens, toxic, chance, odds)
     names: dict[str, int] = {}
     ids = np.fromiter((names.setdefault(w, len(names)) for ws in tokens for w in ws), np.int64)
     of = [parts(w) for w in names]
@@ -192,7 +195,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 40, least: int = 12,
     p, _ = forward_backward((weights[table].sum(1) + bias)[ids], first, move)
     x, y = summed(p, sizes), np.array(toxic, float)
     score = np.array([-2.0, 4.0, 1.0])
-    share = np.where(y > 0, 0.5 / n_toxic, 0.5 / n_clean) * len(y) if len(y) else y
+    share = np.where(y > 0, 0.25 / n_toxic, 0.75 / n_clean) * len(y)  # toxic rows are fewer outside the sample
     for _ in range(300 if len(y) else 0):  # Newton steps on a ridge-penalised logistic fit
         m = 1 / (1 + np.exp(-np.clip(x @ score, -30, 30)))
         h = (x * (share * m * (1 - m))[:, None]).T @ x + 0.05 * np.eye(3)
@@ -204,7 +207,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 40, least: int = 12,
 
 
 def learned(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
-    """Fit on at most about 1.5 * each rows of each label, those whose id has the smallest hash.
+    """Fit on about `each` toxic and twice as many clean rows, those whose ids have the smallest hashes.
 
     Only rows that may be learned from count; toxic null is no label. The bound is on what the
     driver holds; without labelled rows the model scores everything as clean.
@@ -212,7 +215,7 @@ def learned(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(learnable(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = {t: min(1.0, 1.5 * each / n) for t, n in counts.items()}
+    share = {t: min(1.0, (each if t else 2 * each) / n) for t, n in counts.items()}
     picked = known.where(h < F.when(F.col("toxic") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))) * (1 << 30)).collect()
     if not picked:
         return train([], [])
