@@ -2,7 +2,7 @@
 
 Shards are ranges of page_id with about equal bytes: exact byte counts per fixed-width bucket of
 ids give the boundaries, and a bucket that alone is over the target is dealt on by a hash of
-its content. Each shard is written by one task in the order of (page_id, url, digest), one gzip
+its content. Each shard is written by one task in the order of (page_id, digest, url), one gzip
 member per record; a file is closed once its compressed size reaches the roll size. Headers,
 record ids and digests are derived from the page alone, so a task that runs again, wherever
 that is, writes the same bytes. Files are written under temporary names and renamed; the
@@ -103,14 +103,19 @@ class _File:
 
 
 def with_roles(pages: DataFrame, least: int) -> DataFrame:
-    """Pages with payload, digest and refers_to (null: a response)."""
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(firsts, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    """Pages with payload and digest, and a row without payload before each that is a revisit.
+
+    Which rows revisit which is worked out on ids and digests alone, so that payloads are
+    moved only once, by the shuffle that both kinds of row share.
+    """
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
+                        F.sha2(payload, 256).alias("digest"), F.lit(None).cast("long").alias("first"))
+    ids = rows.where(F.length("payload") >= least).select("page_id", "digest")
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = ids.join(firsts, "digest").where(~F.col("first").eqNullSafe(F.col("page_id"))).distinct().select(
+        "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
+    return rows.union(again)
 
 
 def shard_of(pages: DataFrame, target: int) -> Column:
@@ -135,7 +140,7 @@ def shard_of(pages: DataFrame, target: int) -> Column:
             start[b], split[b], held = shard, 1, held + n
     at = [F.lit(start[b]) for b in range(-1, BUCKETS)], [F.lit(split[b]) for b in range(-1, BUCKETS)]
     first, parts = (F.element_at(F.array(*x), bucket + 2) for x in at)
-    return (first + F.pmod(F.xxhash64("digest", "url"), parts)).cast("int")
+    return (first + F.pmod(F.xxhash64("digest", "page_id"), parts)).cast("int")
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 100, roll: int = 64 << 20, shard_bytes: int = 16 << 20,
@@ -153,10 +158,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 100, roll: int = 64 <
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "shard", "records", "bytes", "sha256"]
         now, shard, n, done = None, None, 0, []
+        known = None  # page, digest and response of the last row without payload
         for batch in batches:
             for lo, hi in slices(batch, "payload"):
-                cols = [batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("shard", "page_id", "url", "payload", "digest", "refers_to")]
+                cols = [batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("shard", "page_id", "url", "payload", "digest", "first")]
                 for s, page_id, url, payload, digest, first in zip(*cols, strict=True):
+                    if payload is None:
+                        known = page_id, digest, first
+                        continue
+                    first = known[2] if known and known[:2] == (page_id, digest) else None
                     if now and (s != shard or now.bytes >= roll):
                         done.append(now.close(shard))
                         n = n + 1 if s == shard else 0
@@ -174,7 +184,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 100, roll: int = 64 <
 
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = rows.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "url", "digest").mapInArrow(
+    made = rows.repartition(parts, "shard").sortWithinPartitions(
+        "shard", "page_id", "digest", F.col("payload").isNotNull(), "url").mapInArrow(
         run, "file string, shard int, records long, bytes long, sha256 string")
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(made.schema).parquet(f"{folder}/manifest")
