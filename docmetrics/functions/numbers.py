@@ -23,21 +23,31 @@ def exact_round(x: Column, digits: int) -> Column:
     Spark's `round` works on the shortest decimal text of the value and `bround` takes
     ties on that text, so both differ from rounding the stored binary value (2.675 is
     stored below the tie). Here the value is scaled by 2**52 into an integer, which is
-    exact, and rounded half-even in integer arithmetic. Meant for magnitudes from 1 to
-    200 or exactly 0, which covers percentages and scores.
+    exact, and rounded half-even in integer arithmetic. The whole part is split off first,
+    and what lies below the scale only tells whether a tie is one, so any magnitude is right.
+    Values from 2**52 on have no fraction and stay as they are, as do infinities and NaN.
     """
-    scaled = (F.abs(x) * F.lit(float(_SCALE))).cast("bigint")
-    if digits == 1:
-        shifted = scaled * F.lit(10) + F.lit(_HALF)
+    size = F.abs(x)
+    whole = F.floor(F.least(size, F.lit(float(_SCALE))))
+    scaled = (size - whole) * F.lit(float(_SCALE))
+    units = F.floor(scaled)
+    below = (scaled - units) * F.lit(float(10**digits))
+    more = F.floor(below)
+    if digits <= 3:
+        shifted = units * F.lit(10**digits) + more + F.lit(_HALF)
         floor = F.shiftright(shifted, _BITS)
         rest = shifted.bitwiseAND(F.lit(_SCALE - 1))
     else:
-        wide = scaled.cast("decimal(20,0)") * F.lit(Decimal(10**digits)) + F.lit(Decimal(_HALF))
+        wide = units.cast("decimal(20,0)") * F.lit(Decimal(10**digits)) + more.cast("decimal(20,0)") + F.lit(Decimal(_HALF))
         floor = F.call_function("div", wide, F.lit(Decimal(_SCALE)))
         rest = wide % F.lit(Decimal(_SCALE))
-    tie_to_odd = (rest == 0) & (floor.bitwiseAND(F.lit(1)) == 1)
-    whole = floor - F.when(tie_to_odd, F.lit(1)).otherwise(F.lit(0))
-    return F.when(x < 0, -whole).otherwise(whole).cast("double") / F.lit(float(10**digits))
+    tie_to_odd = (rest == 0) & (below == more) & (floor.bitwiseAND(F.lit(1)) == 1)
+    part = floor - F.when(tie_to_odd, F.lit(1)).otherwise(F.lit(0))
+    ten = float(10**digits)
+    joined = F.when(whole < int(2**53 / ten), (whole * F.lit(10**digits) + part).cast("double") / F.lit(ten)).otherwise(
+        whole.cast("double") + part.cast("double") / F.lit(ten))
+    rounded = F.when(size < F.lit(float(_SCALE)), joined).otherwise(size)
+    return F.when(x < 0, -rounded).otherwise(rounded)
 
 
 def fixed_text(x: Column, digits: int) -> Column:

@@ -557,7 +557,7 @@ def with_storage_markup(df: DataFrame, md: str, name: str) -> DataFrame:
     )
 
     def item(line):
-        body = F.substring(strip(line["text"]), 3, 1 << 30)
+        body = F.substr(strip(line["text"]), F.lit(3))
         text = F.when(line["bullet"], F.concat(F.lit("<li>"), body, F.lit("</li>")))
         return F.coalesce(text, line["text"])
 

@@ -350,11 +350,16 @@ def apply_docstring_edits(
     """
     keys = ["project", "module", "qualname", "lineno"]
     latest = edits.groupBy(*keys).agg(F.max_by("new_docstring", "edited_at").alias("new_docstring"))
-    hit = items.select(*keys, F.struct(*order).alias("_at")).join(latest, keys)
-    first = hit.groupBy(*keys).agg(
-        F.min("_at").alias("_at"), F.first("new_docstring").alias("_new")
+    # A null key (a module or line that is not known) matches a null key.
+    latest = latest.select(*[F.col(k).alias(f"_{k}") for k in keys], "new_docstring")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    hit = items.select(*keys, F.struct(*order).alias("_at")).join(latest, same)
+    first = hit.groupBy(*[f"_{k}" for k in keys]).agg(
+        F.min("_at").alias("_first"), F.first("new_docstring").alias("_new")
     ).withColumn("_edited", F.lit(True))
-    out = items.withColumn("_at", F.struct(*order)).join(first, [*keys, "_at"], "left")
+    out = items.withColumn("_at", F.struct(*order)).join(first, same & (F.col("_at") == F.col("_first")), "left")
     doc = F.when(F.col("_edited"), F.col("_new")).otherwise(F.col("docstring"))
     return (
         out.withColumn("docstring", doc)

@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 64
-
-
 def top_k(
     df: DataFrame,
     keys: Sequence[str],
@@ -25,7 +22,9 @@ def top_k(
     salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """The first `k` rows per group, exact: k per salted part of a group, then k of those."""
-    salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(SALTS))
+    # A part of a group per shuffle partition: a hot group spreads over all of them.
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(salts))
     parts = W.partitionBy(*keys, "_salt").orderBy(*order)
     whole = W.partitionBy(*keys).orderBy(*order)
     near = (

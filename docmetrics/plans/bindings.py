@@ -199,13 +199,10 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per part.
 
-    A table in few files is spread first: parsing is the costly step, and the narrow part
-    rows are cheaper to move than the texts made from them.
+    The narrow part rows are always dealt out first: parsing is the costly step, and they
+    are cheaper to move than the texts made from them.
     """
-    part = table(spark, sf_dir, "part")
-    cores = spark.sparkContext.defaultParallelism
-    if part.rdd.getNumPartitions() < cores:
-        part = part.repartition(cores)
+    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(source_sql().format(**_SPARK, part="{part}"), part=part)
 
 

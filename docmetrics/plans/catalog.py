@@ -879,9 +879,9 @@ def edit_targets(spark, sf):
 
 
 def stream_table(spark, sf, name):
-    """A given table as a file stream."""
+    """A given table as a file stream, whether it is one file or a folder of part files."""
     schema = b.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
 
 
 @query

@@ -679,7 +679,7 @@ FROM sections e""", "sections"),
  SELECT i.item_ordinal, CASE WHEN e.new_docstring IS NOT NULL AND row_number() OVER (PARTITION BY i.project, i.module, i.qualname, i.lineno ORDER BY i.file_path, i.item_ordinal) = 1
   THEN e.new_docstring ELSE i.docstring END AS doc FROM items i LEFT JOIN (
   SELECT project, module, qualname, lineno, arg_max(new_docstring, edited_at) AS new_docstring FROM ({b.check_sql(b.EDITS)}) k GROUP BY 1, 2, 3, 4) e
-  ON e.project = i.project AND e.module = i.module AND e.qualname = i.qualname AND e.lineno = i.lineno) x""", "items"),
+  ON e.project IS NOT DISTINCT FROM i.project AND e.module IS NOT DISTINCT FROM i.module AND e.qualname IS NOT DISTINCT FROM i.qualname AND e.lineno IS NOT DISTINCT FROM i.lineno) x""", "items"),
     "snapshot_diff": sql(f"""SELECT coalesce(a.project, o.project) AS project, coalesce(a.file_path, o.file_path) AS file_path, coalesce(a.qualname, o.qualname) AS qualname,
  coalesce(coalesce(a.method, o.method), '-') AS method, coalesce(a.path, o.path) AS path,
  CASE WHEN o.project IS NULL THEN 'added' WHEN a.project IS NULL THEN 'removed' ELSE 'changed' END AS change

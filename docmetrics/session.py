@@ -27,9 +27,17 @@ def local_session(name: str = "docmetrics", master: str = "local[*]", **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="docmetrics-")
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session, whose one machine is all there is, gets a temporary folder where
+    none is set; on a cluster that would be a folder of each machine's own, so it fails.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="docmetrics-")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _named(files: DataFrame, root: str, project: str, snapshot_id: str) -> DataF
     path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
     prefix = root.rstrip("/")
     rel = F.when(
-        path.startswith(prefix + "/"), F.substring(path, len(prefix) + 2, 1 << 20)
+        path.startswith(prefix + "/"), F.substr(path, F.lit(len(prefix) + 2))
     ).otherwise(file_name(path))
     return files.select(
         F.lit(project).alias("project"),

@@ -26,21 +26,51 @@ from docmetrics.schema import (
 PAGE_ORDER = ["section", "k1", "k2", "line_no"]
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines: bool) -> DataFrame:
-    """Read JSON against a schema; a missing path reads as no rows."""
-    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
+def _json_with_errors(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines: bool) -> DataFrame:
+    """JSON records against a schema, and the text of those that don't fit it in _corrupt_record.
+
+    A field of the wrong type is null and the record's other fields are kept. A missing path
+    reads as no rows.
+    """
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if not rows_are_lines:
         reader = reader.option("multiLine", True)
     try:
         return reader.json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], full)
         raise
 
 
+def _json(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines: bool) -> DataFrame:
+    """The records of which at least one field fits; see bad_records() for the rest."""
+    fits = F.coalesce(*[F.col(c).isNotNull() for c in schema.fieldNames()])
+    for c in schema.fieldNames():
+        fits = fits | F.col(c).isNotNull()
+    rows = _json_with_errors(spark, path, schema, rows_are_lines)
+    return rows.where(fits | F.col("_corrupt_record").isNull()).select(*schema.fieldNames())
+
+
+def bad_records(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines: bool = True) -> DataFrame:
+    """record: the text of every record that doesn't fit the schema, whole or in a field."""
+    rows = _json_with_errors(spark, path, schema, rows_are_lines)
+    # All columns are asked for, since a scan of the error column alone is not allowed.
+    return rows.select(F.struct(*schema.fieldNames()).alias("fields"), F.col("_corrupt_record").alias("record")).where(
+        "record is not null").select("record", "fields")
+
+
 def _timestamp(col: Column) -> Column:
-    return F.to_timestamp_ntz(F.replace(F.substring(col, 1, 26), F.lit("T"), F.lit(" ")))
+    """The time as written. A time with an offset (or Z) is moved to UTC, as ledgers of several
+    zones are added up by day; one without has no zone."""
+    local = F.replace(col, F.lit("T"), F.lit(" "))
+    offset = F.regexp_extract(local, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
+    plain = F.regexp_replace(local, r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "").try_cast("timestamp_ntz")
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    minutes = F.when(F.length(digits) == 4, F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")).otherwise(F.lit(0))
+    signed = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    return plain - F.make_dt_interval(mins=signed)
 
 
 # ---- items ----------------------------------------------------------------------------
@@ -180,7 +210,8 @@ def overview_of(raw: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Page lines to text files per project and page kind, in page order.
+    """Page lines to text files per project and page kind, in page order. Only the pages given
+    are replaced; those of other projects and kinds under the path stay.
 
     Lines are range-partitioned by page and position, so a page of any length spreads
     over several part files whose name order is the page order.
@@ -191,6 +222,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
         .sortWithinPartitions(*keys)
         .select("project", "page_kind", "page_key", F.col("text").alias("value"))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("project", "page_kind", "page_key")
         .text(path)
     )

@@ -92,6 +92,8 @@ def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    # A stream without rows writes no batch.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
     rows = spark.read.parquet(f"{base}/out")
     rest = [c for c in stream.columns if c not in keys]
     return (

@@ -161,3 +161,65 @@ def test_scan_metadata(spark, folder):
     put(f"{folder}/a.py", "#\n")
     row = cov.scan_metadata(files.read_sources(spark, folder, "demo"), "local", 1.5).first()
     assert (row.scan_type, row.total_files, row.scan_time) == ("local", 1, 1.5)
+
+
+def test_bad_fields_cost_one_field(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from docmetrics.sources.store import _json, bad_records
+
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("n", T.LongType())])
+    (tmp_path / "x.json").write_text('{"name": "a", "n": 1}\n{"name": "b", "n": "text"}\nnot json\n')
+    rows = _json(spark, str(tmp_path), schema, True).collect()
+    assert sorted((r.name, r.n) for r in rows) == [("a", 1), ("b", None)]
+    bad = bad_records(spark, str(tmp_path), schema).collect()
+    assert sorted(r.record for r in bad) == ["not json", '{"name": "b", "n": "text"}']
+
+
+def test_times_with_an_offset_are_moved(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from docmetrics.sources.store import _timestamp
+
+    given = ["2025-07-29T23:30:00.123456-05:00", "2025-07-29T23:30:00", "2025-07-29T23:30:00Z", "2025-07-29 23:30:00+0230", "junk", None]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in given], "x string").select(_timestamp(F.col("x")).alias("t")).collect()]
+    at = dt.datetime(2025, 7, 29, 23, 30)
+    assert got == [dt.datetime(2025, 7, 30, 4, 30, 0, 123456), at, at, at - dt.timedelta(hours=2, minutes=30), None, None]
+
+
+def test_pages_of_other_projects_stay(spark, tmp_path):
+    from docmetrics.sources.store import write_pages
+
+    def lines(project, text):
+        return spark.createDataFrame([(project, "k", "x", 0, "", 0, 0, text)],
+                                     "project string, page_kind string, page_key string, section int, k1 string, k2 long, line_no int, text string")
+
+    write_pages(lines("a", "one"), str(tmp_path / "p"))
+    write_pages(lines("b", "two"), str(tmp_path / "p"))
+    write_pages(lines("b", "three"), str(tmp_path / "p"))
+    assert sorted((r.project, r.value) for r in spark.read.text(str(tmp_path / "p")).collect()) == [("a", "one"), ("b", "three")]
+
+
+def test_streams_read_folders_and_nothing(spark, tmp_path):
+    from docmetrics.plans.catalog import stream_table
+    from docmetrics.streaming.jobs import drain
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert drain(stream_table(spark, str(tmp_path), "t").groupBy("id").count(), ["id"]).count() == 10
+    spark.range(0).repartition(1).write.parquet(str(tmp_path / "u.parquet"))
+    empty = drain(stream_table(spark, str(tmp_path), "u").groupBy("id").count(), ["id"])
+    assert empty.columns == ["id", "count"] and empty.count() == 0
+
+
+def test_rounding_of_any_magnitude(spark):
+    from pyspark.sql import functions as F
+
+    from docmetrics.functions.numbers import exact_round
+
+    given = [0.05, 0.005, 0.15, 2.675, 0.125, 0.375, -0.125, 1e-9, 1e-300, 123456.785, 1e15 + 0.5, 4.5e15, 1e300, 99.995, 1.005, 0.0]
+    df = spark.createDataFrame([(x,) for x in given], "x double")
+    for digits in (1, 2, 3, 6):
+        got = [r.y for r in df.select(exact_round(F.col("x"), digits).alias("y")).collect()]
+        assert got == [round(x, digits) for x in given], digits
