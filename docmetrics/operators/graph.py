@@ -398,15 +398,20 @@ def diagram_lines(
         pad, F.when(F.col("is_abstract"), "abstract class ").otherwise("class "),
         F.col("qualname"), mark, " {",
     )
-    at = F.col("place") * 1000000
+    # Within a package: by class, then opening, attributes, rule, methods, closing; members of a
+    # role by their ordinal, which is the key's number, so none wraps or ties.
+    def spot(role: str | Column) -> Column:
+        role = F.lit(role) if isinstance(role, str) else role
+        return F.concat(pkg, F.lit("\x01"), F.format_string("%09d", F.col("place")), role)
+
     ruled = (F.col("attributes") > 0) & (F.col("methods") > 0)
     parts = [
         frame,
         out(
             placed,
-            Part(1, [opening], pkg, at),
-            Part(1, [f"{pad}  --"], pkg, at + 499999, ruled & F.lit(config.attributes and config.methods)),
-            Part(1, [f"{pad}}}"] if config.by_package else [f"{pad}}}", ""], pkg, at + 999999),
+            Part(1, [opening], spot("0"), F.lit(0)),
+            Part(1, [f"{pad}  --"], spot("2"), F.lit(0), ruled & F.lit(config.attributes and config.methods)),
+            Part(1, [f"{pad}}}"] if config.by_package else [f"{pad}}}", ""], spot("4"), F.lit(0)),
         ),
     ]
     if config.by_package:
@@ -414,7 +419,7 @@ def diagram_lines(
             out(
                 first,
                 Part(1, [say("package ", F.col("package"), " {")], pkg, F.lit(0)),
-                Part(1, ["}", ""], pkg, F.lit(10**15)),
+                Part(1, ["}", ""], F.concat(pkg, F.lit("\x02")), F.lit(0)),
             )
         )
     if config.attributes or config.methods:
@@ -430,18 +435,21 @@ def diagram_lines(
         members = _members(items, tx.containing_class(F.col("qualname")), order)
         mine = members.filter(wanted).join(owners, ["project", "file_path", "owner"])
         drawn = F.col("brief") if config.view == "overview" else F.col("text")
-        spot = at + F.when(F.col("is_attribute"), 1).otherwise(500000) + F.col(order[-1]) % 400000
-        parts.append(out(mine, Part(1, [say(f"{pad}  ", drawn)], pkg, spot)))
+        role = F.when(F.col("is_attribute"), F.lit("1")).otherwise(F.lit("3"))
+        parts.append(out(mine, Part(1, [say(f"{pad}  ", drawn)], spot(role), F.col(order[-1]))))
 
     rank = F.array_position(F.array(*[F.lit(k) for k in DRAWN_ORDER]), F.col("relationship_type"))
     inner = edges_within(edges(items, order=order), shown).filter(rank > 0)
     key = F.format_string("%02d", rank.cast("int"))
     title = say("' ", F.initcap("relationship_type"), " relationships")
     parts += [
-        out(inner, Part(2, [edge_text()], key, F.col(order[-1]))),
+        # In reading order; of one item first what it uses, then what it returns, by text.
+        out(inner, Part(2, [edge_text()], F.concat_ws(
+            "\x01", key, *[F.col(o).cast("string") for o in order[:-1]], F.format_string("%019d", F.col(order[-1])),
+            F.when(F.col("label") == "returns", "1").otherwise("0"), edge_text()), F.lit(0))),
         out(
             inner.select("project", "relationship_type").distinct(),
-            Part(2, [title], key, F.lit(-1)), Part(2, [""], key, F.lit(2**62)),
+            Part(2, [title], key, F.lit(-1)), Part(2, [""], F.concat(key, F.lit("\x02")), F.lit(0)),
         ),
     ]
     return union(parts)

@@ -246,7 +246,7 @@ SELECT t.*, CASE WHEN t.depth = 1 THEN '' WHEN u.is_last THEN '    ' ELSE '│
 FROM tree0 t LEFT JOIN tree0 u ON u.project = t.project AND u.path = t.parent AND u.depth = 1"""),
     "tree_text": (["tree", "items"], """
 SELECT project, sort_key AS k1, -1 AS k2, above || mark || name AS text FROM tree
-UNION ALL SELECT i.project, t.sort_key, i.item_ordinal, t.above || CASE WHEN t.is_last THEN '    ' ELSE '│   ' END
+UNION ALL SELECT i.project, t.sort_key || chr(1) || chr(1) || i.file_path, i.item_ordinal, t.above || CASE WHEN t.is_last THEN '    ' ELSE '│   ' END
   || CASE WHEN row_number() OVER (PARTITION BY i.project, i.module ORDER BY i.file_path DESC, i.item_ordinal DESC) = 1 THEN '└── ' ELSE '├── ' END
   || i.qualname || ' (' || i.method || ')'
  FROM items i JOIN tree t ON t.project = i.project AND t.path = i.module AND t.depth = 2 WHERE i.module <> ''"""),
@@ -548,23 +548,24 @@ def diagram(name: str) -> str:
     ] + ["", config.direction, ""]
     placed = f"(SELECT *, min(place) OVER (PARTITION BY project, package) AS f FROM chosen WHERE diagram = '{name}') pl"
     pkg = "printf('%09d', f)"
+    spot = pkg + " || chr(1) || printf('%09d', place) || "
     inner = f"""(SELECT * FROM drawn e WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.diagram = '{name}' AND c.project = e.project AND c.qualname = e.source)
  AND EXISTS (SELECT 1 FROM chosen c WHERE c.diagram = '{name}' AND c.project = e.project AND c.qualname = e.target)) w"""
     rank = "CASE relationship_type WHEN 'INHERITANCE' THEN '01' WHEN 'COMPOSITION' THEN '03' WHEN 'ASSOCIATION' THEN '05' WHEN 'DEPENDENCY' THEN '06' END"
     parts = [
         (0, "''", "0", "pstats", texts(*head)), (2, "''", "0", "pstats", "''"), (3, "''", "0", "pstats", "'@enduml'"),
-        (1, pkg, "place * 1000000", placed, "'  ' || CASE WHEN is_abstract THEN 'abstract class ' ELSE 'class ' END || qualname || CASE WHEN stereotype <> '-' THEN ' <<' || stereotype || '>>' ELSE '' END || ' {'"),
-        (1, pkg, "place * 1000000 + 999999", placed, "'  }'"),
+        (1, spot + "'0'", "0", placed, "'  ' || CASE WHEN is_abstract THEN 'abstract class ' ELSE 'class ' END || qualname || CASE WHEN stereotype <> '-' THEN ' <<' || stereotype || '>>' ELSE '' END || ' {'"),
+        (1, spot + "'4'", "0", placed, "'  }'"),
         (1, pkg, "0", f"(SELECT DISTINCT project, package, f FROM {placed}) d", "'package ' || package || ' {'"),
-        (1, pkg, "1000000000000000", f"(SELECT DISTINCT project, package, f FROM {placed}) d", "'}', ''"),
-        (2, rank, "item_ordinal", inner, "text"),
+        (1, pkg + " || chr(2)", "0", f"(SELECT DISTINCT project, package, f FROM {placed}) d", "'}', ''"),
+        (2, rank + " || chr(1) || file_path || chr(1) || printf('%019d', item_ordinal) || chr(1) || CASE WHEN label = 'returns' THEN '1' ELSE '0' END || chr(1) || text", "0", inner, "text"),
         (2, rank, "-1", f"(SELECT DISTINCT project, relationship_type FROM {inner}) d", "chr(39) || ' ' || upper(left(relationship_type, 1)) || lower(relationship_type[2:]) || ' relationships'"),
-        (2, rank, "4611686018427387904", f"(SELECT DISTINCT project, relationship_type FROM {inner}) d", "''"),
+        (2, rank + " || chr(2)", "0", f"(SELECT DISTINCT project, relationship_type FROM {inner}) d", "''"),
     ]
     if config.methods:
         parts += [
-            (1, pkg, "place * 1000000 + 499999", f"(SELECT * FROM {placed} WHERE attributes > 0 AND methods > 0) d", "'    --'"),
-            (1, pkg, "place * 1000000 + CASE WHEN is_attribute THEN 1 ELSE 500000 END + item_ordinal % 400000",
+            (1, spot + "'2'", "0", f"(SELECT * FROM {placed} WHERE attributes > 0 AND methods > 0) d", "'    --'"),
+            (1, spot + "CASE WHEN is_attribute THEN '1' ELSE '3' END", "item_ordinal",
              f"(SELECT m.*, f, place FROM members_text m JOIN {placed} ON pl.project = m.project AND pl.file_path = m.file_path AND pl.qualname = m.owner WHERE NOT is_private) d",
              "'    ' || text"),
         ]

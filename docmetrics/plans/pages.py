@@ -147,7 +147,9 @@ def tree_lines(items: DataFrame, kind: str, section: int, order: Sequence[str] =
         F.col("rail"), F.when(closing, "└── ").otherwise("├── "), F.col("qualname"), " (",
         F.col("method"), ")",
     )
-    return nodes.unionByName(emit(leaf, kind, Part(section, [text], F.col("sort_key"), F.col("n"))))
+    # A module's items stand after its own line and before its children, file by file.
+    place = F.concat_ws("\x01", F.col("sort_key"), F.lit(""), *[F.col(f"at.{o}").cast("string") for o in order[:-1]])
+    return nodes.unionByName(emit(leaf, kind, Part(section, [text], place, F.col("n"))))
 
 
 # ---- markdown pages -------------------------------------------------------------------
