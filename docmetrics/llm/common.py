@@ -91,6 +91,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_PLACE = 0x9E3779B97F4A7C15
+_TABLES: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    if not _TABLES or len(_TABLES[0]) < n + 1:
+        size = max(n + 1, 1 << 20)
+        inverse = pow(_PLACE, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            _TABLES[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+                          for x in (_PLACE, inverse)]
+    return _TABLES[0], _TABLES[1]
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

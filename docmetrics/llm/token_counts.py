@@ -27,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmetrics.llm.common import mix, slices, table, text_arg
+from docmetrics.llm.common import mix, powers, slices, table, text_arg
 
 LETTER, NUMBER, SPACE, BLANK, OTHER, END = range(6)
 
 # The endings that are pre-tokens of their own after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-_PLACE = 0x9E3779B97F4A7C15
-
 
 def char_classes() -> np.ndarray:
     """The class of every code point."""
@@ -167,10 +165,10 @@ class Transducer:
         """Tokens of each pre-token. Equal pre-tokens get equal 64-bit keys by a scan of sums."""
         with np.errstate(over="ignore"):
             n = len(cp)
-            powers, unpowers = _powers(n)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.scatter[cp] * powers[:n])])
+            up, down = powers(n)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.scatter[cp] * up[:n])])
             stop = np.append(begin[1:], n)
-            keys = mix((total[stop] - total[begin]) * unpowers[begin] + (stop - begin).astype(np.uint64))
+            keys = mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64))
         uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.arcs) > self.most_arcs:
             self.arcs.clear()
@@ -184,20 +182,6 @@ class Transducer:
         return counts[back]
 
 
-_TABLES: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if not _TABLES or len(_TABLES[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
-        inverse = pow(_PLACE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _TABLES[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
-                          for x in (_PLACE, inverse)]
-    return _TABLES[0], _TABLES[1]
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row.
 
