@@ -12,7 +12,7 @@ sweeps are made, the second over what the first left and with the whole sketch.
 
 Each class is compared with the head of its lists first (the class with the fewest values of
 its own), one pair per class. Then pairs of classes that are still apart are compared, unless
-the values that nobody shares already rule a link out. A group of n near copies so costs
+the values that nobody shares, up to where both sketches reach, already rule a link out. A group of n near copies so costs
 about n pairs. The bottom k of the union of two sketches estimates their similarity; where
 it holds both sets whole it is exact, all others that pass are checked on the full sets.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.llm.common import WordHash, mix, slices, stored, text_arg
@@ -34,6 +34,7 @@ FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 d
 LAST_K = 20  # retained values by which classes that are still apart meet
 LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less)
 SIGMAS = 5.0
+EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
 
 def shingle_sets(words_of: list[list[bytes]], width: int, hashes: WordHash) -> list[np.ndarray]:
@@ -174,7 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(values: DataFrame, whole: int, share_of) -> DataFrame:
-    """The rarest shared values of each node: node, n, m, own (values nobody else has), prefix, v.
+    """The rarest shared values of each node: node, n, m, own (values nobody else has), prefix, held (all that others have), v.
 
     values: node, n, m, v. share_of(n, m): how many of its m values a partner shares.
     """
@@ -184,7 +185,18 @@ def _prefixes(values: DataFrame, whole: int, share_of) -> DataFrame:
     held = held.withColumn("own", F.col("m") - F.size("held"))
     take = F.col("m") - share_of(F.col("n"), F.col("m")) + 1 - F.col("own")
     held = held.withColumn("take", take.cast("int")).where("take > 0")
-    return held.select("node", "n", "m", "own", F.slice("held.v", 1, F.col("take")).alias("prefix")).withColumn("v", F.explode("prefix"))
+    return held.select("node", "n", "m", "own", F.slice("held.v", 1, F.col("take")).alias("prefix"), "held.v").withColumnRenamed(
+        "v", "held").withColumn("v", F.explode("prefix"))
+
+
+def _every(values: Column) -> Column:
+    """One in EVERY of the sorted values."""
+    return F.filter(values, lambda _, i: (i + 1) % EVERY == 0)
+
+
+def _up_to(count: str, steps: str, reach: Column) -> Column:
+    """The most that `count` sorted values, of which steps are one in EVERY, can have up to reach."""
+    return F.least(F.col(count), EVERY * F.size(F.filter(steps, lambda x: x <= reach)) + (EVERY - 1))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, k: int = 256) -> DataFrame:
@@ -225,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     slack = F.lit(SIGMAS * (k * t * (1 - t)) ** 0.5)
     lists = stored(_prefixes(
         near.select("node", "n", F.size("sketch").cast("long").alias("m"), F.explode("sketch").alias("v")), k,
-        lambda n, m: F.when(n <= k, F.ceil(n * num / F.lit(den))).otherwise(F.floor(k * t - slack))).drop("prefix"), "lists")
+        lambda n, m: F.when(n <= k, F.ceil(n * num / F.lit(den))).otherwise(F.floor(k * t - slack)))
+        .withColumn("steps", _every(F.sort_array("held"))).drop("prefix", "held"), "lists")
     head = lists.groupBy("v").agg(F.min(F.struct("own", "node")).alias("h"), F.count("*").alias("c")).where("c > 1")
     star = lists.join(head, "v").groupBy("node").agg(F.min("h").alias("h")).select(
         F.col("node").alias("a"), F.col("h.node").alias("b")).where("a <> b")
@@ -240,26 +253,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     known = stored(components(first_links), "known")
 
     # Pairs that are still apart meet by a few values, each pair in the list of its first common
-    # one. Values of its own bound what a class can share; where the sketch is a sample, the
-    # bound gets the sample's slack.
-    part, drawn = F.col("own") / F.col("m"), F.col("m") / F.col("n")
-    own = F.when(F.col("n") <= k, F.col("own").cast("double")).otherwise(
-        F.col("n") * F.greatest(F.lit(0.0), part - SIGMAS * F.sqrt((part + 1.0 / k) * (1 - part) / k * (1 - drawn))))
-    bounds = lists.select("node", "n", (F.col("n") - own).alias("open")).distinct()
+    # one. A value of one class that no sketch holds is missing from another class only if that
+    # one's sketch reaches so far: what two classes share is bounded up to the smaller reach.
+    reach = near.select("node", "n", F.when(F.col("n") > k, F.element_at("sketch", -1)).otherwise(F.lit((1 << 63) - 1)).alias("reach"))
+    bounds = lists.select("node", "n", (F.col("m") - F.col("own")).alias("open"), "steps").dropDuplicates(["node", "n"]).join(reach, ["node", "n"])
     last = _prefixes(
         near.select("node", "n", F.least(F.size("sketch"), F.lit(LAST_K)).cast("long").alias("m"), F.explode(F.slice("sketch", 1, LAST_K)).alias("v")),
         k, lambda n, m: F.ceil(m * LAST_SHARE / LAST_K))
     side = last.select("v", "node", "n", "prefix").join(bounds, ["node", "n"]).join(known, "node", "left").select(
-        "v", "node", "n", "prefix", F.coalesce("component", "node").alias("c"), "open")
+        "v", "node", "n", "prefix", F.coalesce("component", "node").alias("c"), "open", "steps", "reach")
     side = stored(side, "apart")
     mixed = side.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v").agg(
         F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("x.c").alias("most"))
     rest = side.join(mixed, "v").where("c <> most").select(
-        "v", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc"), F.col("open").alias("ropen"), F.col("prefix").alias("rprefix"))
+        "v", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc"), F.col("open").alias("ropen"), F.col("prefix").alias("rprefix"),
+        F.col("steps").alias("rsteps"), F.col("reach").alias("rreach"))
+    both = F.least("reach", "rreach")
+    most = F.least(_up_to("open", "steps", both), _up_to("ropen", "rsteps", both))
+    whole = (num + den) * F.least("open", "ropen") >= num * (F.col("n") + F.col("rn"))
+    hidden = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("n") + F.col("rn")))  # share of the union beyond the sketch
     apart = rest.join(side, "v").where(
         (F.col("c") != F.col("rc"))
         & (den * F.least("n", "rn") >= num * F.greatest("n", "rn"))
-        & ((num + den) * F.least("open", "ropen") >= num * (F.col("n") + F.col("rn")) - 1e-6)
+        & F.when(F.greatest("n", "rn") <= k, whole).otherwise(most >= k * t - slack * F.sqrt(hidden) - 1e-6)
         & (F.array_intersect("prefix", "rprefix")[0] == F.col("v")))
     tried = star.select("a", "b")
     apart = apart.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct().join(

@@ -98,6 +98,22 @@ def test_near_duplicates_random_edits(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
 
 
+@pytest.mark.parametrize("k", [64, 256])
+def test_near_duplicates_growing_versions(spark, k):
+    """Groups of texts of which each is a part of the next, with set sizes around the sketch's and above."""
+    docs, at = [], 0
+    for g in range(60):
+        first = int(k * (0.84 + 0.02 * (g % 12))) if g % 3 else 5 * k
+        ws, size = words(3000 + g, 10 * k), first
+        # Versions 1 and 2 are linked, 0 and 3 only to what lies between.
+        for step in (1.0, 1 / 0.865, 1 / 0.862, 1 / 0.859):
+            size = int(size * step)
+            docs.append((at, " ".join(ws[: size + 4])))
+            at += 1
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in near_duplicates.components(edges).collect()}
