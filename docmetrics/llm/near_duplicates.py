@@ -111,7 +111,7 @@ def _estimated(pairs: DataFrame, sk: DataFrame, k: int, num: int, den: int) -> D
             keep, sure = [], []
             for i in range(batch.num_rows):
                 x, n, whole = union_estimate(va[oa[i]: oa[i + 1]], vb[ob[i]: ob[i + 1]], na[i], nb[i], k)
-                drawn = n / max(na[i], nb[i], n)  # the sketch is drawn from a set that it may nearly hold
+                drawn = n / max((na[i] + nb[i]) / (1 + t), n)  # of the union of two sets at t, which the sketch may nearly hold
                 ok = den * x >= num * n if whole else x >= n * t - SIGMAS * (n * t * (1 - t) * (1 - drawn)) ** 0.5
                 if ok:
                     keep.append(i)
@@ -235,9 +235,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
         .dropDuplicates(["doc_id", "digest"])
         .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "near")
     slack = F.lit(SIGMAS * (k * t * (1 - t)) ** 0.5)
+
+    def second_share(n: Column, m: Column) -> Column:
+        # A partner has up to n / t shingles. If that is more than k, its sketch may hide some of them.
+        whole = F.ceil(n * num / F.lit(den))
+        seen = F.floor(k * t - slack * F.sqrt(F.greatest(F.lit(0.0), 1 - k * num / (n * den))))
+        return F.when(n * den < (k + 1) * num, whole).when(n <= k, F.least(whole, seen)).otherwise(F.floor(k * t - slack))
+
     lists = stored(_prefixes(
         near.select("node", "n", F.size("sketch").cast("long").alias("m"), F.explode("sketch").alias("v")), k,
-        lambda n, m: F.when(n <= k, F.ceil(n * num / F.lit(den))).otherwise(F.floor(k * t - slack)))
+        second_share)
         .withColumn("steps", _every(F.sort_array("held"))).drop("prefix", "held"), "lists")
     head = lists.groupBy("v").agg(F.min(F.struct("own", "node")).alias("h"), F.count("*").alias("c")).where("c > 1")
     star = lists.join(head, "v").groupBy("node").agg(F.min("h").alias("h")).select(

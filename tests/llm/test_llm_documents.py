@@ -114,6 +114,17 @@ def test_near_duplicates_growing_versions(spark, k):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
 
 
+def test_near_duplicates_sketches_that_hide_values(spark):
+    """Lone pairs at the threshold, of which one set or both are just larger than the sketch."""
+    docs = []
+    for g in range(60):
+        ws = words(5000 + g, 400)
+        small, large = ((256, 301), (256, 300), (255, 300))[g % 3]
+        docs += [(2 * g, " ".join(ws[: small + 4])), (2 * g + 1, " ".join(ws[: large + 4]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in near_duplicates.components(edges).collect()}
