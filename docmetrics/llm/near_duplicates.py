@@ -19,6 +19,7 @@ it holds both sets whole it is exact, all others that pass are checked on the fu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from docmetrics.llm.common import WordHash, mix, slices, stored, text_arg
 
 FIRST_K = 32  # retained values of the first sweep
-FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 deviations less)
+FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 deviations less); 14 at 0.8
 LAST_K = 20  # retained values by which classes that are still apart meet
-LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less)
+LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less); 7 at 0.8
 SIGMAS = 5.0
 EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
@@ -174,6 +175,11 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(roots)
 
 
+def _share(m: int, most: int, t: float) -> int:
+    """Of m retained values, how many sets as similar as t share, less SIGMAS deviations; `most` at most."""
+    return max(1, min(most, math.floor(m * t - SIGMAS * (m * t * (1 - t)) ** 0.5)))
+
+
 def _prefixes(values: DataFrame, whole: int, share_of) -> DataFrame:
     """The rarest shared values of each node: node, n, m, own (values nobody else has), prefix, held (all that others have), v.
 
@@ -225,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     # First sweep: a few values of every class.
     first = _prefixes(
         nodes.select("node", "n", F.size("top").cast("long").alias("m"), F.explode("top").alias("v")), k,
-        lambda n, m: F.ceil(m * FIRST_SHARE / FIRST_K))
+        lambda n, m: F.ceil(m * _share(FIRST_K, FIRST_SHARE, t) / FIRST_K))
     lone = first.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     left = first.join(lone, "v", "left_semi").select("node").distinct()
 
@@ -266,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     bounds = lists.select("node", "n", (F.col("m") - F.col("own")).alias("open"), "steps").dropDuplicates(["node", "n"]).join(reach, ["node", "n"])
     last = _prefixes(
         near.select("node", "n", F.least(F.size("sketch"), F.lit(LAST_K)).cast("long").alias("m"), F.explode(F.slice("sketch", 1, LAST_K)).alias("v")),
-        k, lambda n, m: F.ceil(m * LAST_SHARE / LAST_K))
+        k, lambda n, m: F.ceil(m * _share(LAST_K, LAST_SHARE, t) / LAST_K))
     side = last.select("v", "node", "n", "prefix").join(bounds, ["node", "n"]).join(known, "node", "left").select(
         "v", "node", "n", "prefix", F.coalesce("component", "node").alias("c"), "open", "steps", "reach")
     side = stored(side, "apart")

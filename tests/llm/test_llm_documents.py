@@ -125,6 +125,19 @@ def test_near_duplicates_sketches_that_hide_values(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
 
 
+def test_pipeline_near_dedup_takes_080(spark):
+    """Pairs of 0.8 to 0.85 meet in the pipeline's stage, on sets below and above the sketch's size."""
+    import corpus_pipeline
+
+    assert all(m * 0.8 - near_duplicates._share(m, most, 0.8) >= 5 * (m * 0.16) ** 0.5 for m, most in ((32, 16), (20, 8)))
+    docs = []
+    for g in range(30):
+        ws, n = words(7000 + g, 1000), (80, 250, 700)[g % 3]
+        docs += [(2 * g, " ".join(ws[: n + 4])), (2 * g + 1, " ".join(ws[: int(n / (0.805 + 0.004 * (g % 10))) + 4]))]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in left.collect()) == [2 * g for g in range(30)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in near_duplicates.components(edges).collect()}
