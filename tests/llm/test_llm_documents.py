@@ -370,6 +370,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_finds_all_that_the_check_accepts():
+    """Verbatim, paraphrased and one-word items at random places, with a space that knows no word."""
+    rng = np.random.default_rng(8)
+    index = decontaminate.Index(np.ones(decontaminate.TERMS), np.zeros((decontaminate.TERMS, decontaminate.RANK), np.float32))
+    items = [decontaminate.Item(i, [w.encode() for w in words(800 + i, int(rng.integers(5, 58)), CLEAN[:4] if i % 4 == 0 else CLEAN)]) for i in range(100)]
+    spans = np.array([-(-(len(x.words) + decontaminate.STEP - 1) // decontaminate.STEP) for x in items])
+    lists = decontaminate._lists(items, index.idf, 0.8, 0.8)
+    wanted = 0
+    for x in items:
+        for share in (0.0, 0.1, 0.2, 0.4):
+            there = [b"new%d" % rng.integers(10**6) if rng.random() < share else w for w in x.words]
+            around = [b"same"] * 300 if x.item_id % 2 else [w.encode() for w in words(5, 300)]
+            at = int(rng.integers(300))
+            text = around[:at] + there + around[at:]
+            got = {b for _, b, j in decontaminate._candidates([b" ".join(text)], lists, spans) if j == x.item_id}
+            answer = decontaminate._answer(x.words, index.idf)
+            for b in range(-(-len(text) // decontaminate.STEP)):
+                window = text[max(0, (b - 1) * decontaminate.STEP): (b + spans[x.item_id] + 1) * decontaminate.STEP]
+                n, length = len(x.words), decontaminate.lcs(x.words, window)
+                if length >= 0.8 * n or length >= 0.5 * n and sum(w in window for w in answer) >= 0.8 * len(answer):
+                    wanted += 1
+                    assert b in got
+    assert wanted > 500
+
+
 @given
 def test_decontamination_recall(spark):
     """Every item that stands in a document word for word is found, on the whole smallest tables."""
