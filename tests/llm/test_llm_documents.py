@@ -395,6 +395,18 @@ def test_decontamination_finds_all_that_the_check_accepts():
     assert wanted > 500
 
 
+def test_decontamination_fits_all_items(spark):
+    """Of more than 3,000 items and documents, each has a vector, and items of words of their own are found."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(4000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([*words(i, 10), *(f"w{i}x{j}" for j in range(12))])) for i in range(0, 4000, 40)]
+                                 + [(i, " ".join(words(i, 20))) for i in range(5000, 8200)], "doc_id long, text string")
+    index = decontaminate.fit(docs, items)
+    used = np.unique(decontaminate.word_terms([r.text.encode() for r in items.collect()])[0])
+    assert (np.abs(index.vectors[used]).sum(1) > 0).all()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, items).collect()}
+    assert got == {(i, i) for i in range(0, 4000, 40)}
+
+
 @given
 def test_decontamination_recall(spark):
     """Every item that stands in a document word for word is found, on the whole smallest tables."""
