@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmetrics.llm.common import fresh_path, mix, slices, table, text_arg
+from docmetrics.llm.token_counts import byte_letters
 
 #: Id that ends each document.
 END_ID = 1
@@ -55,9 +56,6 @@ ENTRY = np.dtype([("print", "<u8"), ("offset", "<u8"), ("shard", "<u4"), ("count
 SPACE = 2.0
 FIELDS = 64
 
-# Places where a text may be cut without changing its tokens: white space of ASCII.
-CUTS = bytes.maketrans(b"\t\n\r", b"   ")
-
 
 # ------------------------------------------------------------------ hash functions
 
@@ -168,73 +166,77 @@ def index_file(part: int) -> str:
     return f"index-{part:06d}.mph"
 
 
+class Remembered(dict):
+    """Values of a function, remembered up to a bound; when it is full, those not asked for since the last time go."""
+
+    def __init__(self, of, most: int, longest: int = 64) -> None:
+        super().__init__()
+        self.of, self.most, self.longest, self.old = of, most, longest, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.of(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
+# The pattern of the file, for lower-case letters of ASCII and the two blocks of Latin
+# letters after it, with the letters first; and texts of those letters and ASCII, which no normalization changes.
+PARTS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+ASCII_PARTS = re.compile("[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-z0-9]+")
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+
+
 class Encoder:
-    """Ids of whole texts as the library gives them, by pieces between white space of ASCII.
+    """Ids of whole texts as the library gives them.
 
-    The file's normalizer and pattern never join characters across white space, so the ids of a
-    text are those of its pieces. Pieces of ASCII are cut further, as the pattern cuts them; others
-    lose ASCII marks at their ends. Ids of short pieces are remembered up to a bound; those not
-    remembered are encoded by the library, many in one call, and told apart by their places.
+    A text of plain letters and marks is cut as the pattern cuts it, and the library's model
+    merges each part. In other texts this is done for the pieces between white space of ASCII,
+    across which normalizer and pattern never join characters; a piece with other characters, or
+    with what may be a special token, goes through the whole library. Parts are remembered up to a bound.
     """
 
-    def __init__(self, path: str, width: int, most: int = 400_000) -> None:
+    def __init__(self, path: str, width: int, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.kind = f"<u{width}"
-        self.width, self.most = width, most
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.parts: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.translate(CUTS).split(b" ") for t in texts]
-        known, parts = self.known, self.parts
-        new = {p: parts_of(p) for ps in pieces for p in ps if p not in known}
-        if new:
-            missing = list({x for xs in new.values() for x in xs if x not in parts})
-            for lo in range(0, len(missing), 512):
-                self.encode(missing[lo: lo + 512])
-            for p, xs in new.items():
-                known[p] = b"".join([parts[x] for x in xs])
-        out = [b"".join([known[p] for p in ps]) for ps in pieces]
-        if len(known) > self.most or len(parts) > self.most:
-            self.known, self.parts = {b"": b""}, {}
-        else:
-            for p in new:
-                if len(p) > 64:
-                    del known[p]
-                    for x in new[p]:
-                        if len(x) > 64:
-                            parts.pop(x, None)
-        return out
+        self.raw = [i.to_bytes(width, "little") for i in range(vocabulary_size(path))]
+        self.byte_letters = {i: c for i, c in enumerate(byte_letters())}
+        self.parts = Remembered(self.of_part, most)
+
+    def of_part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(letters)])
+
+    def of_text(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, (ASCII_PARTS if text.isascii() else PARTS).findall(text.lower())))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, some: list[bytes]) -> None:
-        """Remember the ids of pieces, from one call on all of them with spaces between."""
-        texts = [x.decode("utf-8", "replace") for x in some]
-        got = self.library.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(got.ids, self.kind).tobytes()
-        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        cuts = (np.searchsorted(at, np.cumsum([0, *[len(t) + 1 for t in texts]])) * self.width).tolist()
-        self.parts.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+    def __call__(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
+        if PLAIN.fullmatch(whole) and "<|" not in whole:
+            return self.of_text(whole)
+        return b"".join([self.of_text(x) for x in re.split("[\t\n\r ]+", whole)])
 
 
-# The pattern of the file for lower-case ASCII.
-PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: ASCII marks before and after a piece that begins and ends with an ASCII letter or digit.
-ENDS = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([0-9A-Za-z](?:.*[0-9A-Za-z])?)([!-&(-/:-@\[-`{-~]*)", re.S)
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def parts_of(piece: bytes) -> list[bytes]:
-    """Parts of a piece whose ids, one after the other, are those of the piece."""
-    if b"<|" in piece:  # may be a special token
-        return [piece]
-    if piece.isascii():
-        return PIECES.findall(piece.lower())
-    if ends := ENDS.fullmatch(piece):
-        return [x for x in ends.groups() if x]
-    return [piece]
+def encoder_of(path: str, width: int) -> Encoder:
+    """The encoder of this Python worker, kept from task to task."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
 
 
 def vocabulary_size(path: str) -> int:
@@ -287,13 +289,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     bounds = shard_bounds(rows, shard_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, width)
+        encoder = encoder_of(tokenizer, width)
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 part = batch.slice(lo, hi - lo)
                 ids, ties = part.column("doc_id").to_pylist(), part.column("tie").to_pylist()
                 shards = [bisect.bisect_right(bounds, (i is None, i or 0, t)) for i, t in zip(ids, ties, strict=True)]
-                data = [x + end for x in encoder(part.column("text").to_pylist())]
+                data = [encoder(x) + end for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), part.column("doc_id"), part.column("tie"), pa.array(data, pa.binary())],
                                                  names=["shard", "doc_id", "tie", "ids"])
 

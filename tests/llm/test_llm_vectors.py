@@ -179,14 +179,14 @@ def test_pieces_have_the_ids_of_their_text():
     path, lib = library()
     enc = token_files.Encoder(path, 2, most=50)
 
-    @given(st.text(st.sampled_from("aAeEzZ'’sStTlL.,!$%<|>09̱́̇éÉßİIΣ日ー \t\n\x0b\x85\xa0 #*-_"), max_size=14))
+    @given(st.text(st.sampled_from("aAeEzZ'’sStTlL.,!$%<|>09×÷ÿŸſµª²¼İı¸΅̱̇éÉßİIΣ日ー \t\n\x0b\x85\xa0 #*-_"), max_size=14))
     @settings(max_examples=1500, deadline=None)
     def same(text):
-        assert np.frombuffer(enc([text.encode()])[0], "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc(text.encode()), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
 
     same()
     for text in ODD:
-        assert np.frombuffer(enc([text.encode()])[0], "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc(text.encode()), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 5000])
