@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmetrics.llm.common import WordHash, mix, slices, stored, text_arg
+from docmetrics.llm.common import LOWERED, mix, slices, stored, text_arg, word_hashes
 
 FIRST_K = 32  # retained values of the first sweep
 FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 deviations less); 14 at 0.8
@@ -38,17 +38,16 @@ SIGMAS = 5.0
 EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
 
-def shingle_sets(words_of: list[list[bytes]], width: int, hashes: WordHash) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each word list; a shorter list is one shingle."""
-    sizes = [len(w) for w in words_of]
-    flat = hashes.of([w for ws in words_of for w in ws])
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
+    flat, sizes = word_hashes(texts, LOWERED)
     out, at = [], 0
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(flat) - width + 1), np.uint64)
         for j in range(width):
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j: j + len(rolled)]
         rolled = mix(rolled)
-        for n in sizes:
+        for n in sizes.tolist():
             if n >= width:
                 out.append(np.unique(rolled[at: at + n - width + 1]))
             elif n:
@@ -71,12 +70,10 @@ def sketches(docs: DataFrame, width: int = 5, k: int = 256) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), sketch (k smallest hashes, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", 1_000_000):
                 part = batch.slice(lo, hi - lo)
-                words = [t.lower().split() for t in part.column("text").to_pylist()]
-                sets = shingle_sets(words, width, hashes)
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 kept = [_signed(s[:k]) for s in sets]
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -130,13 +127,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     """Links among the pairs, on the full sets of both texts: a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
             keep = []
-            for lo, hi in slices(batch, "ta"):
+            for lo, hi in slices(batch, "ta", 1_000_000):
                 part = batch.slice(lo, hi - lo)
-                a, b = (shingle_sets([t.lower().split() for t in part.column(c).to_pylist()], width, hashes)
-                        for c in ("ta", "tb"))
+                a, b = (shingle_sets(part.column(c).to_pylist(), width) for c in ("ta", "tb"))
                 for i, (x, y) in enumerate(zip(a, b, strict=True)):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     if shared and den * shared >= num * (len(x) + len(y) - shared):

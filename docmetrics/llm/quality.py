@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from docmetrics.llm.common import WordHash, mix, slices, stored, table, text_arg
+from docmetrics.llm.common import BYTES, mix, slices, stored, table, text_arg, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -28,15 +28,13 @@ SHARES = ("symbols", "capitals", "shouts", "mean_length")
 
 _DROP = {name: bytes(b for b in range(256) if b not in keep) for name, keep in {
     "symbols": SYMBOLS, "capitals": bytes(range(65, 91)), "shouts": b"!"}.items()}
-#: The bytes of a UTF-8 character after its first.
-_TAILS = bytes(range(0x80, 0xC0))
+#: The bytes of a UTF-8 character after its first, and what separates words.
+_NO_CHARS = bytes(range(0x80, 0xC0)) + b" \t\n\r\v\f"
 
 
-def statistics(texts: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """BASE and SHARES of whole texts in UTF-8, a row for each."""
-    split = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    flat = hashes.of([w for ws in split for w in ws])
+    flat, sizes = word_hashes(texts, BYTES)
     with np.errstate(over="ignore"):
         # Windows of three words; those that reach over the end of a text are marked and left out.
         w = mix((flat[:-2] * np.uint64(0x9E3779B97F4A7C15) + flat[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + flat[2:])
@@ -57,8 +55,8 @@ def statistics(texts: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.nda
         repeats.append(got)
         at += n
     base, shares = [], []
-    for t, words, n, rep in zip(texts, split, sizes.tolist(), repeats, strict=True):
-        word_chars = len(b"".join(words).translate(None, _TAILS))
+    for t, n, rep in zip(texts, sizes.tolist(), repeats, strict=True):
+        word_chars = len(t.translate(None, _NO_CHARS))
         symbols, capitals, shouts = (len(t.translate(None, _DROP[k])) for k in ("symbols", "capitals", "shouts"))
         lines = [x for x in t.split(b"\n") if x.strip()]
         dup = len(lines) - len(set(lines))
@@ -132,11 +130,10 @@ def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
         *carried.schema.fields, *[StructField(c, LongType()) for c in BASE], StructField("shares", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            for lo, hi in slices(batch, "utf8"):
+            for lo, hi in slices(batch, "utf8", 1_000_000):
                 part = batch.slice(lo, hi - lo)
-                base, shares = statistics(part.column("utf8").to_pylist(), hashes)
+                base, shares = statistics(part.column("utf8").to_pylist())
                 ends = np.arange(0, shares.size + 1, len(SHARES), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *[pa.array(c) for c in base.T.copy()],

@@ -75,6 +75,8 @@ def forward_backward(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> tupl
     e: token scores; first: marks the first token of each text; move: log weights of a start
     in the toxic state and of the moves 0-1, 1-0, 1-1.
     """
+    if not len(e):
+        return np.zeros(0), np.zeros(4)
     s, m01, m10, m11 = np.exp(move)
     y = np.exp(np.clip(e, -LIMIT, LIMIT))
     r = walked(y * np.where(first, s, m01), np.where(first, 0.0, y * m11), np.ones(len(e)), np.where(first, 0.0, m10))
@@ -124,12 +126,11 @@ def marking(tokens: list[list[str]], toxic: list[int], chance: float, odds: floa
     """Words and beginnings that mark toxic tokens.
 
     All are `odds` times more frequent in toxic documents than in clean ones, and in so many that
-    a word of no meaning would be in toxic ones only by a chance of 10 ** -chance. Those in 3 %
+    by a chance of 10 ** -chance any of the words tried, if none had a meaning, would be in toxic ones only. Those in 3 %
     of the toxic ones mark; of the others, those that as many toxic documents not yet explained
     have, most first.
     """
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    least = max(2, math.ceil(chance / math.log10((n_toxic + n_clean) / n_toxic)))
     within = [{x for w in set(ws) for x in parts(w) if x[0] != "$"} for ws in tokens]
     clean: Counter[str] = Counter()
     held: dict[str, list[int]] = {}
@@ -139,6 +140,8 @@ def marking(tokens: list[list[str]], toxic: list[int], chance: float, odds: floa
                 held.setdefault(x, []).append(i)
         else:
             clean.update(xs)
+    tried = len(held.keys() | clean.keys())
+    least = max(2, math.ceil((chance + math.log10(max(1, tried))) / math.log10((n_toxic + n_clean) / n_toxic)))
     good = {x: at for x, at in held.items() if len(at) >= least and len(at) / n_toxic >= odds * (clean[x] + 0.5) / n_clean}
     marks = {x for x, at in good.items() if len(at) >= max(least, 0.03 * n_toxic)}
     explained = {i for x in marks for i in good[x]}
@@ -152,11 +155,13 @@ def marking(tokens: list[list[str]], toxic: list[int], chance: float, odds: floa
     return marks
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 40, chance: float = 3.5, odds: float = 20.0) -> Model:
+def train(texts: list[str], toxic: list[int], steps: int = 40, chance: float = 2.0, odds: float = 20.0) -> Model:
     """Fit the field and the document score on whole texts with their labels."""
     tokens, toxic = without_copies([t.lower().split() for t in texts], toxic)
     n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     marks = marking(tokens, toxic, chance, odds)
+    if not marks:  # nothing tells toxic tokens from others
+        return Model({}, -LIMIT, np.zeros(4), np.array([-2.0, 4.0, 1.0]))
     names: dict[str, int] = {}
     ids = np.fromiter((names.setdefault(w, len(names)) for ws in tokens for w in ws), np.int64)
     of = [parts(w) for w in names]
@@ -220,7 +225,9 @@ def learned(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
     if not picked:
         return train([], [])
     ids = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["toxic"]) for r in picked}), "doc_id long, toxic int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "toxic", "text").collect()
+    # The bound on hashes holds for documents too, so that few of them are moved.
+    near = docs.where(h < F.lit(max(share.values()) * (1 << 30)))
+    rows = near.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
