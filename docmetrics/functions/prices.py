@@ -47,7 +47,7 @@ def price_table(spark: SparkSession, prices: Sequence[Price] = PRICE_LIST) -> Da
 
 def _checked(prices: Sequence[Price]) -> Sequence[Price]:
     if len(prices) > MAX_PRICES:
-        raise ValueError(f"a price list of {len(prices)} rows should be joined, not compiled")
+        raise ValueError(f"a price list of {len(prices)} rows is joined, not compiled: see usage.price_requests_by_table")
     if DEFAULT not in [p.model for p in prices]:
         raise ValueError("the price list has no default row")
     return prices
@@ -91,6 +91,11 @@ def token_cost(
     micro = prompt.cast("decimal(15,0)") * _list_price(key, "input", prices) + completion.cast(
         "decimal(15,0)"
     ) * _list_price(key, "output", prices)
+    return in_dollars(micro)
+
+
+def in_dollars(micro: Column) -> Column:
+    """Exact millionths of a dollar as dollars, rounded half up to whole millionths."""
     return (F.round(micro, 0).cast("decimal(26,0)") / F.lit(Decimal(1000000))).cast("decimal(20,6)")
 
 

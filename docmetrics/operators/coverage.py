@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmetrics.functions import text as tx
 from docmetrics.functions.numbers import exact_round, percent
 from docmetrics.operators.ordered import top_k
+from docmetrics.operators.touched import split_by_keys
 from docmetrics.schema import (
     CLASS_KINDS,
     ENDPOINT_KINDS,
@@ -345,27 +346,26 @@ def apply_docstring_edits(
     """Set new docstrings on the first item matching (project, module, qualname, lineno).
 
     `edits` holds those keys, `new_docstring` and `edited_at`; the latest edit of a key
-    counts. Only edited keys are searched for their first item, so the large side is
-    shuffled once for the final join.
+    counts. Items whose keys no edit names are not moved: the keys of the edits are marked in
+    a bitmap of fixed size, and only items it may hold are searched and joined.
     """
     keys = ["project", "module", "qualname", "lineno"]
-    latest = edits.groupBy(*keys).agg(F.max_by("new_docstring", "edited_at").alias("new_docstring"))
+    latest = edits.select(*[F.col(k).cast(items.schema[k].dataType).alias(k) for k in keys], "new_docstring", "edited_at").groupBy(
+        *keys).agg(F.max_by("new_docstring", "edited_at").alias("new_docstring"))
+    near, far = split_by_keys(items, latest, keys)
     # A null key (a module or line that is not known) matches a null key.
     latest = latest.select(*[F.col(k).alias(f"_{k}") for k in keys], "new_docstring")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    hit = items.select(*keys, F.struct(*order).alias("_at")).join(latest, same)
+    hit = near.select(*keys, F.struct(*order).alias("_at")).join(latest, same)
     first = hit.groupBy(*[f"_{k}" for k in keys]).agg(
         F.min("_at").alias("_first"), F.first("new_docstring").alias("_new")
     ).withColumn("_edited", F.lit(True))
-    out = items.withColumn("_at", F.struct(*order)).join(first, same & (F.col("_at") == F.col("_first")), "left")
+    out = near.withColumn("_at", F.struct(*order)).join(first, same & (F.col("_at") == F.col("_first")), "left")
     doc = F.when(F.col("_edited"), F.col("_new")).otherwise(F.col("docstring"))
-    return (
-        out.withColumn("docstring", doc)
-        .withColumn("has_docstring", tx.has_text(F.col("docstring")))
-        .select(*items.columns, "has_docstring")
-    )
+    both = out.withColumn("docstring", doc).select(*items.columns).union(far.select(*items.columns))
+    return both.withColumn("has_docstring", tx.has_text(F.col("docstring"))).select(*items.columns, "has_docstring")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

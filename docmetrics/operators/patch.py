@@ -6,8 +6,6 @@ gathered row is never larger than the file it belongs to.
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,14 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docmetrics.operators.spans import patch_text
+from docmetrics.operators.touched import split_by_keys
 from docmetrics.schema import FLAG, INT, PATCHABLE_KINDS, TEXT, layout
 
-# Lines that open a definition, quotes, and lines before a module docstring.
-DEFINITION = re.compile(r"\s*(def|class|async\s+def)\s+")
-QUOTES = ('"""', "'''")
-PREAMBLE = re.compile(r"#!|.*(coding|encoding):")
-
-
 def edit_target_path(file_path: Column, module: Column) -> Column:
     """The item's file, else its module name as a path."""
     from_module = F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))
@@ -32,75 +26,6 @@ def edit_target_path(file_path: Column, module: Column) -> Column:
     )
 
 
-def _docstring_end(lines: list[str], at: int) -> int:
-    """Index after the docstring that may follow line `at`."""
-    while at < len(lines) and lines[at].strip() in ("", ":"):
-        at += 1
-    if at == len(lines):
-        return at
-    text = lines[at].strip()
-    if text.startswith(QUOTES):
-        quote = text[:3]
-        if text.count(quote) < 2:
-            closing = (i for i in range(at + 1, len(lines)) if quote in lines[i])
-            at = next(closing, len(lines) - 1)
-        return at + 1
-    return at + 1 if text.startswith(("'", '"')) else at
-
-
-def _block(doc: str, indent: str) -> list[str]:
-    rows = doc.strip().splitlines()
-    if len(rows) == 1:
-        return [f'{indent}"""{rows[0]}"""']
-    rest = [f"{indent}{r}" if r.strip() else "" for r in rows[1:]]
-    return [f'{indent}"""{rows[0]}', *rest, f'{indent}"""']
-
-
-def _edit_definition(lines: list[str], lineno: int, doc: str) -> tuple[list[str], str]:
-    if not 1 <= lineno <= len(lines):
-        return lines, f"Line number {lineno} out of range (1-{len(lines)})"
-    head = lines[lineno - 1]
-    if not DEFINITION.match(head):
-        near = range(max(1, lineno - 10), min(len(lines), lineno + 10) + 1)
-        found = next((n for n in near if DEFINITION.match(lines[n - 1])), None)
-        at = f" A definition was found at line {found}." if found else ""
-        return lines, f"Line {lineno} is not a definition (found: '{head.strip()}').{at}"
-    indent = head[: len(head) - len(head.lstrip())]
-    new = _block(doc, indent + "    ") if doc.strip() else []
-    return lines[:lineno] + new + lines[_docstring_end(lines, lineno):], "ok"
-
-
-def _edit_module(lines: list[str], doc: str) -> tuple[list[str], str]:
-    try:
-        body = ast.parse("\n".join(lines)).body
-    except (SyntaxError, ValueError) as e:
-        return lines, f"Syntax error in file: {e}"
-    at = next((i for i, x in enumerate(lines) if not PREAMBLE.match(x)), len(lines))
-    first = body[0] if body else None
-    if isinstance(first, ast.Expr) and isinstance(getattr(first.value, "value", None), str):
-        lines = lines[: first.lineno - 1] + lines[first.end_lineno :]
-    new = ['"""', *doc.strip().splitlines(), '"""'] if doc.strip() else []
-    return lines[:at] + new + lines[at:], "ok"
-
-
-def patch_text(source: str, edits: list[dict]) -> tuple[str, list[str]]:
-    """Apply the edits of one file, lowest line last, and report on each.
-
-    A file ends in a line feed or not; both are kept. Working upward keeps the line
-    numbers of the edits still to come valid; the module docstring is set at the end.
-    """
-    open_end = not source.endswith("\n")
-    lines = source.split("\n") if open_end else source[:-1].split("\n")
-    status = [""] * len(edits)
-    for i in sorted(range(len(edits)), key=lambda i: (edits[i]["is_module"], -edits[i]["lineno"])):
-        doc = edits[i]["new_docstring"] or ""
-        if edits[i]["is_module"]:
-            lines, status[i] = _edit_module(lines, doc)
-        else:
-            lines, status[i] = _edit_definition(lines, edits[i]["lineno"], doc)
-    return "\n".join(lines) + ("" if open_end else "\n"), status
-
-
 def latest_edits(edits: DataFrame) -> DataFrame:
     """Latest edit per (project, file, line) of the kinds that hold a docstring.
 
@@ -156,15 +81,17 @@ def gather_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
 def patch_docstrings(sources: DataFrame, edits: DataFrame, snapshot_id: str) -> DataFrame:
     """The next snapshot of the source table, with the outcome of every edit.
 
-    Untouched files pass through without entering Python. Adds `patch_status`, an array
-    of (is_module, lineno, status); `rejected_edits` lists the edits that reach no file.
+    Files that no edit names are neither moved nor read by Python: the files of the edits are
+    marked in a bitmap of fixed size, and only files it may hold are joined with their edits.
+    Adds `patch_status`, an array of (is_module, lineno, status); `rejected_edits` lists the edits
+    that reach no file.
     """
     columns = ["project", "snapshot_id", "file_path", "rel_path", "module", "source"]
+    near, far = split_by_keys(sources.select(*columns), latest_edits(edits), ["project", "file_path"])
     # The join's own shuffle, with its partition count kept: merging small partitions would
     # leave the parsing to few tasks.
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = sources.select(*columns).repartition(parts, "project", "file_path")
-    joined = placed.join(gather_edits(sources, edits), ["project", "file_path"], "left")
+    joined = near.repartition(parts, "project", "file_path").join(gather_edits(near, edits), ["project", "file_path"], "left")
     status_type = "array<struct<is_module:boolean,lineno:int,status:string>>"
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in columns]
@@ -176,16 +103,15 @@ def patch_docstrings(sources: DataFrame, edits: DataFrame, snapshot_id: str) ->
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
-                todo = row.pop("edits")
-                row["source"], status = patch_text(row["source"] or "", todo)
-                row["patch_status"] = [
-                    {"is_module": e["is_module"], "lineno": e["lineno"], "status": s}
-                    for e, s in zip(todo, status)
-                ]
+                row["patch_status"] = []
+                if todo := row.pop("edits"):
+                    row["source"], status = patch_text(row["source"] or "", todo)
+                    row["patch_status"] = [
+                        {"is_module": e["is_module"], "lineno": e["lineno"], "status": s}
+                        for e, s in zip(todo, status)
+                    ]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    edited = joined.filter(F.col("edits").isNotNull()).select(*columns, "edits").mapInArrow(run, schema)
-    kept = joined.filter(F.col("edits").isNull()).select(
-        *columns, F.expr(f"cast(array() as {status_type})").alias("patch_status")
-    )
+    edited = joined.select(*columns, "edits").mapInArrow(run, schema)
+    kept = far.select(*columns, F.expr(f"cast(array() as {status_type})").alias("patch_status"))
     return edited.unionByName(kept).withColumn("snapshot_id", F.lit(snapshot_id))

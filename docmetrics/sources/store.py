@@ -7,7 +7,7 @@ files. The JSON forms are for exchange with single-project tools.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,11 @@ def _json(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines:
     for c in schema.fieldNames():
         fits = fits | F.col(c).isNotNull()
     rows = _json_with_errors(spark, path, schema, rows_are_lines)
-    return rows.where(fits | F.col("_corrupt_record").isNull()).select(*schema.fieldNames())
+    if "_place" in rows.columns or not rows.inputFiles():
+        placed = rows.withColumn("_place", F.lit(0).cast("long"))
+    else:
+        placed = with_position(rows, "_place")
+    return placed.where(fits | F.col("_corrupt_record").isNull()).select(*schema.fieldNames(), "_place")
 
 
 def bad_records(spark: SparkSession, path: str, schema: T.StructType, rows_are_lines: bool = True) -> DataFrame:
@@ -61,6 +65,21 @@ def bad_records(spark: SparkSession, path: str, schema: T.StructType, rows_are_l
         "record is not null").select("record", "fields")
 
 
+def with_position(rows: DataFrame, name: str) -> DataFrame:
+    """Add each row's place among all rows as read: by file name, then by place in the file.
+
+    rows come straight from a file scan. Splits are counted, and the counts added up in order, so the
+    places do not depend on how files are cut or dealt out. Only one row per split is sorted.
+    """
+    at = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_id"))
+    splits = at.groupBy("_file", "_block").agg(F.min("_id").alias("_from"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("_file", "_block", "_from", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = at.join(starts, ["_file", "_block"])
+    return joined.withColumn(name, F.col("_before") + F.col("_id") - F.col("_from")).drop("_file", "_block", "_id", "_from", "_before")
+
+
 def _timestamp(col: Column) -> Column:
     """The time as written. A time with an offset (or Z) is moved to UTC, as ledgers of several
     zones are added up by day; one without has no zone."""
@@ -93,7 +112,7 @@ def read_items(
         )
         return F.coalesce(entries, F.expr(f"cast(array() as {NAMED_TYPE})"))
 
-    items = raw.withColumn("item_ordinal", F.monotonically_increasing_id()).filter(
+    items = raw.withColumnRenamed("_place", "item_ordinal").filter(
         known.isNotNull()
     )
     return items.withColumns(
@@ -124,9 +143,13 @@ def export_items_json(items: DataFrame, path: str) -> None:
     out.select(*REPORT_JSON.fieldNames()).write.mode("overwrite").json(path)
 
 
-def report_status(items: DataFrame) -> DataFrame:
-    """Item count per stored report."""
-    return items.groupBy("project", "snapshot_id").agg(F.count("*").alias("items"))
+def report_status(items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Item count per stored report; with `asked` (project, snapshot_id), whether each of these exists."""
+    found = items.groupBy("project", "snapshot_id").agg(F.count("*").alias("items"))
+    if asked is None:
+        return found
+    both = asked.select("project", "snapshot_id").distinct().join(found, ["project", "snapshot_id"], "left")
+    return both.select("project", "snapshot_id", F.col("items").isNotNull().alias("exists"), F.coalesce("items", F.lit(0)).alias("items"))
 
 
 # ---- history --------------------------------------------------------------------------
@@ -140,7 +163,7 @@ def read_history(
     base = raw.select(
         F.col("project_path").alias("project"),
         _timestamp(F.col("timestamp")).alias("ts"),
-        F.monotonically_increasing_id().alias("seq"),
+        F.col("_place").alias("seq"),
         "*",
     )
     snapshots = base.select(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,6 +73,62 @@ def stream_history(
     )
 
 
+def stream_scans(rows: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Record the coverage of each scan once all its items have come, whatever the batches they come in.
+
+    rows: items (project, snapshot_id, method, module, docstring; expected_items null) and one
+    marker per scan (project, snapshot_id, expected_items: how many items it has). A scan is closed
+    in the batch that brings its last item or its marker, whichever is later. Under base: groups and
+    snapshots (read them with read_scans), and what is still open. A batch that runs again
+    replaces its own rows and decides from those of the batches before it.
+    """
+    scan = ["project", "snapshot_id"]
+    marked_type = "project string, snapshot_id string, expected_items long, batch long"
+    closed_type = "project string, snapshot_id string, batch long"
+    item_type = "method string, module string, docstring string, batch long, project string, snapshot_id string"
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.where("expected_items is null").select("method", "module", "docstring", *scan).write.mode("overwrite").partitionBy(
+            *scan).parquet(f"{base}/items/batch={batch_id}")
+        batch.where("expected_items is not null").select(*scan, F.col("expected_items").cast("long").alias("expected_items")).write.mode(
+            "overwrite").parquet(f"{base}/markers/batch={batch_id}")
+
+        def so_far(name: str, schema: str, before: int) -> DataFrame:
+            kept = F.col("batch") < before
+            try:
+                return spark.read.schema(schema).parquet(f"{base}/{name}").where(kept)
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" in str(e):
+                    return spark.createDataFrame([], schema)
+                raise
+
+        open_ = so_far("markers", marked_type, batch_id + 1).groupBy(*scan).agg(F.max("expected_items").alias("expected_items")).join(
+            so_far("closed", closed_type, batch_id), scan, "left_anti")
+        items = so_far("items", item_type, batch_id + 1)
+        have = items.groupBy(*scan).agg(F.count("*").alias("n"))
+        done = open_.join(have, scan, "left").where(F.coalesce("n", F.lit(0)) >= F.col("expected_items")).select(*scan)
+        done.write.mode("overwrite").parquet(f"{base}/closed/batch={batch_id}")
+        done = so_far("closed", closed_type, batch_id + 1).where(F.col("batch") == batch_id).select(*scan)
+        key = F.to_json(F.struct(*scan))
+        snap = coverage_snapshot(items.join(done, scan, "left_semi").withColumn("project", key).drop("snapshot_id"))
+        both = F.from_json("project", "project string, snapshot_id string")
+        snap = snap.withColumn("_scan", both).withColumns({c: F.col(f"_scan.{c}") for c in scan}).drop("_scan")
+        snap.write.mode("overwrite").parquet(f"{base}/groups/batch={batch_id}")
+
+    return (
+        rows.writeStream.foreachBatch(close)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_scans(spark: SparkSession, base: str) -> DataFrame:
+    """project, snapshot_id, level, name, total, documented, coverage of every closed scan."""
+    return spark.read.parquet(f"{base}/groups").drop("batch")
+
+
 def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Run an update-mode stream over what is there and return the last row per key.
 
