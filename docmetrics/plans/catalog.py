@@ -16,7 +16,7 @@ from docmetrics.functions.score import with_docstring_facts, with_scores
 from docmetrics.operators import coverage as cov
 from docmetrics.operators import graph, history, patch, usage
 from docmetrics.plans import bindings as b
-from docmetrics.plans import pages
+from docmetrics.plans import pages, stored
 from docmetrics.session import scratch_dir
 from docmetrics.sources import extract, files, store
 from docmetrics.streaming import jobs
@@ -929,3 +929,6 @@ def stream_history(spark, sf):
     return groups.groupBy("project", "level", "name").agg(
         F.sum("total").alias("total"), F.sum("documented").alias("documented")
     )
+
+
+QUERIES |= stored.QUERIES

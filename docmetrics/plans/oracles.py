@@ -10,6 +10,7 @@ from __future__ import annotations
 from docmetrics.operators import graph
 from docmetrics.operators import history as hist
 from docmetrics.plans import bindings as b
+from docmetrics.plans import stored
 
 NL = "chr(10)"
 FN = (
@@ -809,3 +810,63 @@ FROM sections e""", "sections"),
     "stream_items": sql(f"SELECT project, method, count(*) AS items FROM ({part_items({k: PART_ITEMS[k] for k in ('project', 'method')})}) x GROUP BY 1, 2", "good_part"),
     "stream_history": sql("SELECT project, level, name, total, documented FROM (" + SNAPSHOT + ") x", "items"),
 }
+
+
+_TREE = "CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN NULL ELSE 's' || p_size || '/part' || p_partkey || '.py' END"
+_TREE_FILES = f"SELECT 'all' AS project, {_TREE} AS rel_path, 'part' || p_partkey AS module, md5({b.check_sql(b.part_source())}) AS digest FROM part WHERE {_TREE} IS NOT NULL"
+_V = "'/v/part' || p_partkey || '.py'"
+
+
+def _varied(rows: list[tuple[str, ...]]) -> str:
+    """method, qualname, path, signature, docstring, lineno, params, status_codes, summary, operation_id, return_type of every part."""
+    names = "method qualname path signature docstring lineno params status_codes summary operation_id return_type".split()
+    return " UNION ALL ".join(
+        f"SELECT {_V} AS file_path, " + ", ".join(f"{x or chr(39) * 2} AS {n}" for x, n in zip(r, names, strict=True)) + " FROM part" for r in rows)
+
+
+_ORDER = "'Order' || p_partkey"
+_STORED = {
+    "tree_files": _TREE_FILES,
+    "landed_files": _TREE_FILES,
+    "extract_varied": _varied([
+        ("'ROUTER_METADATA'", "'router'", "", "'prefix'", "'/p' || p_size", "1", "", "", "", "", ""),
+        ("'METADATA'", "'app'", "", "'title'", "p_brand", "2", "", "", "", "", ""),
+        ("'PYDANTIC_MODEL'", _ORDER, "", "'inherits=(BaseModel)'", "'Order of ' || p_brand || '.'", "5", "", "", "", "", ""),
+        ("'PYDANTIC_CONFIG'", f"{_ORDER} || '.Config'", "", "'orm_mode=True, title=' || p_type", "", "7", "", "", "", "", ""),
+        ("'CLASS'", f"{_ORDER} || '.Config'", "", "'nested_level=1'", "", "7", "", "", "", "", ""),
+        ("'PYDANTIC_MODEL'", f"{_ORDER} || '.Inner'", "", "'nested_level=1 | inherits=(BaseModel)'", "", "10", "", "", "", "", ""),
+        ("'PROPERTY'", f"{_ORDER} || '.total'", "", "'self'", "", "13", "", "", "", "", "'int'"),
+        ("'STATICMETHOD'", f"{_ORDER} || '.make'", "", "'a: int, b=' || chr(39) || 'x' || chr(39)", "", "16", "'a|b'", "", "", "", ""),
+        ("'CLASSMETHOD'", f"{_ORDER} || '.load'", "", "'cls, path: str'", "", "19", "'cls|path'", "", "", "", ""),
+        ("'ASYNC_FUNCTION'", "'create'", "", "'order: Order'", "", "22", "'order'", "", "", "", ""),
+        ("'POST'", "'create'", "'/o/' || p_partkey", "'order: Order'", "", "22", "'order'", "(200 + p_size) || '|404|409'", "'Make ' || p_size", "'op' || p_partkey", ""),
+    ]),
+    "extract_wiring": f"""SELECT {_V} AS file_path, 'ROUTER_INCLUSION' AS method, 'router' AS qualname, '/v' || p_size AS path, '' AS signature, 3 AS lineno FROM part
+ UNION ALL SELECT {_V}, 'MIDDLEWARE', 'Gate' || p_size, '', '', 4 FROM part""",
+    "patch_varied": f"""SELECT file_path, CASE WHEN p_partkey % 10 < 8 THEN after ELSE before END AS source, CASE WHEN p_partkey % 10 < 8 THEN 'ok' ELSE '' END AS status
+ FROM (SELECT file_path, source AS before, CAST(substr(module, 5) AS INT) AS p_partkey FROM ({b.check_sql(stored.EDITED['before'])}) x) b
+ JOIN (SELECT file_path, source AS after FROM ({b.check_sql(stored.EDITED['after'])}) y) a USING (file_path)""",
+    "report_file": sql("""SELECT 'back' AS project, module, qualname, method, lineno, md5(docstring) AS digest, array_to_string(tags, '|') AS tags,
+ array_to_string(list_transform(param_types, lambda p: p.name || ':' || p.type), '|') AS types FROM items""", "items"),
+    "stored_items": sql("SELECT project, snapshot_id, count(*) AS items FROM items WHERE project <> 'p0' OR method = 'CLASS' GROUP BY 1, 2", "items"),
+    "report_exists": sql("SELECT project, 'latest' AS snapshot_id, true AS exists, count(*) AS items FROM items GROUP BY 1 UNION ALL SELECT DISTINCT project, 'never', false, 0 FROM items", "items"),
+    "history_file": sql("""SELECT s.*, 'local' AS scan_type, 3::BIGINT AS total_files, 0.5::DOUBLE AS scan_time, kinds, kind_total FROM snaps s
+ LEFT JOIN (SELECT project, count(*) AS kinds, CAST(sum(total) AS BIGINT) AS kind_total FROM groups0 WHERE level = 'method' GROUP BY 1) g ON g.project = s.project""", "snaps", "groups0"),
+    "ledger_file": sql("""SELECT CASE WHEN event_id % 2 = 0 THEN 'flat' ELSE project END AS project, model, CAST(ts AS DATE) AS day, count(*) AS requests,
+ CAST(sum(total_tokens) AS BIGINT) AS tokens, max(context) AS last_context FROM usage0 GROUP BY 1, 2, 3""", "usage0"),
+    "overview_file": f"SELECT project, project_purpose, coalesce(business_context, '') AS business_context, key_business_value, project_purpose <> '' OR coalesce(business_context, '') <> '' AS has_overview FROM ({b.check_sql(b.OVERVIEWS)}) x",
+    "history_table": ORACLE["retain_history"],
+    "usage_table": ORACLE["retain_usage"],
+    "price_requests_by_table": ORACLE["price_requests"],
+    "price_requests_long_list": f"""WITH p AS ({b.check_sql(stored.PART_PRICES)}), r AS ({b.check_sql(stored.PART_REQUESTS)}), m AS (SELECT DISTINCT lower(model) AS name FROM r),
+k AS (SELECT name, coalesce(min(CASE WHEN name = model THEN model END),
+  arg_min(model, list_rank) FILTER (WHERE contains(name, model) OR contains(model, name)), 'default') AS price_key FROM m CROSS JOIN p GROUP BY name)
+SELECT event_id, price_key, CAST(round(CAST(prompt_tokens AS DECIMAL(15,0)) * input_per_million + CAST(completion_tokens AS DECIMAL(15,0)) * output_per_million, 0) AS DOUBLE) / 1000000 AS cost
+FROM r JOIN k ON lower(r.model) = k.name JOIN p ON p.model = price_key""",
+    "written_pages": f"SELECT project, 'docstring_report' AS page_kind, text FROM ({ORACLE['page_coverage']}) x",
+    "written_diagrams": f"SELECT project, 'diagram' AS page_kind, text FROM ({ORACLE['diagram_lines']}) x",
+    "stream_scans": sql("SELECT project, 'latest' AS snapshot_id, level, name, total, documented FROM (" + SNAPSHOT + ") x", "items"),
+}
+_STORED["written_sources"] = f"""SELECT project, 'latest' AS snapshot_id, file_path, source FROM ({b.check_sql(stored.EDITED['before'])}) x
+ UNION ALL SELECT x.project, 'next', x.file_path, y.source FROM ({b.check_sql(stored.EDITED['before'])}) x JOIN ({_STORED['patch_varied']}) y ON y.file_path = x.file_path"""
+ORACLE |= _STORED

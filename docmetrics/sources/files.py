@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +104,43 @@ def read_landed(
     return read_sources(spark, directory, project, snapshot_id)
 
 
+def write_tree(sources: DataFrame, root: str) -> None:
+    """Each source as a file root/rel_path, written by the executors; a task that runs again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for name, text in zip(*(batch.column(c).to_pylist() for c in ("rel_path", "source")), strict=True):
+                folder, _, last = f"{path}/{name}".rpartition("/")
+                at.create_dir(folder, recursive=True)
+                # Under a name that no reader takes, until it is whole.
+                temp = f"{folder}/_{uuid.uuid4().hex}"
+                with at.open_output_stream(temp, compression=None) as out:
+                    out.write((text or "").encode())
+                at.move(temp, f"{folder}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    sources.select("rel_path", "source").mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def stream_sources(
     spark: SparkSession,
     directory: str,
     project: str,
     snapshot_id: str = "latest",
     max_files_per_trigger: int = 10000,
+    archive: str | None = None,
 ) -> DataFrame:
-    """The landing directory as a stream of files."""
+    """The landing directory as a stream of files.
+
+    With `archive`, files that have been taken are moved there once a later batch is done, so the
+    directory does not grow with what has landed.
+    """
+    reader = spark.readStream.format("binaryFile")
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     files = (
-        spark.readStream.format("binaryFile")
+        reader
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "[!_]*.py")
         .option("maxFilesPerTrigger", max_files_per_trigger)

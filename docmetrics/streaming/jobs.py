@@ -73,6 +73,16 @@ def stream_history(
     )
 
 
+def landed(stream: DataFrame, checkpoint: str, path: str) -> int:
+    """Take what has landed since the last run and append it to the table at path; the number of batches.
+
+    The file sink's log names what each batch wrote, so a batch that runs again adds nothing.
+    """
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return len(query.recentProgress)
+
+
 def stream_scans(rows: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Record the coverage of each scan once all its items have come, whatever the batches they come in.
 
