@@ -123,11 +123,12 @@ class Model(NamedTuple):
     threshold: float
 
 
-def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of every row under names c0, c1, ..., BASE counts and shares."""
+def with_statistics(docs: DataFrame, columns: list[str], forest: Forest | None = None) -> DataFrame:
+    """The given columns of every row under names c0, c1, ..., BASE counts and shares; with a forest, the score too."""
     carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     schema = StructType([
-        *carried.schema.fields, *[StructField(c, LongType()) for c in BASE], StructField("shares", ArrayType(DoubleType()))])
+        *carried.schema.fields, *[StructField(c, LongType()) for c in BASE], StructField("shares", ArrayType(DoubleType())),
+        *([StructField("score", DoubleType())] if forest else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +138,8 @@ def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
                 ends = np.arange(0, shares.size + 1, len(SHARES), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *[pa.array(c) for c in base.T.copy()],
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(shares.ravel()))],
-                    names=[*part.schema.names[:-1], *BASE, "shares"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(shares.ravel())), *([pa.array(forest.scores(shares))] if forest else [])],
+                    names=[*part.schema.names[:-1], *BASE, "shares", *(["score"] if forest else [])])
 
     utf8 = text_arg().alias("utf8")
     return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], utf8).mapInArrow(run, schema)
@@ -194,8 +195,10 @@ def judged(docs: DataFrame, model: Model, columns: list[str], stats: DataFrame |
     texts are read whole. Empty table: no rows. stats: rows of with_statistics(docs, columns),
     if they have been made before.
     """
-    rows = with_statistics(docs, columns) if stats is None else stats
-    rows = rows.withColumn("score", F.lit(0.0)) if model.forest is None else scored(rows, model.forest)
+    if model.forest is None:
+        rows = (with_statistics(docs, columns) if stats is None else stats).withColumn("score", F.lit(0.0))
+    else:  # statistics and score in one step of Python
+        rows = with_statistics(docs, columns, model.forest) if stats is None else scored(stats, model.forest)
     return rows.select(
         *[f"c{i}" for i in range(len(columns))], *BASE, base_failed().alias("base_failed"),
         (~base_failed() & (F.col("score") <= F.lit(model.threshold))).alias("kept"))
