@@ -40,7 +40,7 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{4}){3}(?![0-9])",
     "phone": r"(?:(?<![0-9+(])\([0-9]{2,4}\)\x20?|(?<![0-9.+(-])[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
-GUARDS = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"[0-9][\x20.()-]{0,2}[0-9]"}
+GUARDS = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"\+[0-9][\x20().0-9-]|[0-9][\x20.()-]{0,2}[0-9]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CUES = r"(?i)(?:mail|contact|write|tel|phone|call|mobile|fax|host|server|addr|login|card|visa|pay|account)[a-z]*[\x20:=(\[]{0,4}$"
 

@@ -324,7 +324,7 @@ def base_spans(text):
 
 
 PRIVATE = [
-    "a@b.c+d@e.f x@y a@@b.c 1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.4", "4111 1111-1111 1111 x +1 (988) 555-2485 y (988) 555-2485", "é𝒜 me@x.org😀+4915112345678",
+    "a@b.c+d@e.f x@y a@@b.c 1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.4", "4111 1111-1111 1111 x +1 (988) 555-2485 y (988) 555-2485", "é𝒜 me@x.org😀+4915112345678", "+1 - 2 - 3 - 4 - 5 - 6 - 7 - 8",
     "1 2 3 " * 2000, "1" * 2000, "1.2.3.4 " * 300, "001.002.003.004 00000000255.1.1.1 256.1.1.1", "+1+1+12345678 +1 ( ) . - 2345678", "a" * 2000 + "@b.c",
     "mail joe (at) site (dot) org", "+ +1 +12", "4111-1111-1111-1111-1 5",
 ]
