@@ -6,7 +6,8 @@ Text length, link text and punctuation are summed per path of the page. A path's
 text and punctuation per node; it is smoothed with the mean of the paths under the same parent
 (weighted by text), fused with how the path lies in the page (inside an article or main part,
 or outside while such a part exists) and compared with a share of the page's mean. Paths that
-the markup itself calls menus, headers, forms, comments and so on score nothing.
+the markup itself calls menus, headers, forms, comments and so on score nothing, unless an
+element so named holds the main element, or an article and most of the page's text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CLOSED_BY = {
     "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tbody": {"tbody", "tfoot", "thead"},
     "thead": {"tbody", "tfoot", "thead"}, "tfoot": {"tbody", "tfoot", "thead"}, "p": CLOSES_P,
 }
+#: The open elements that a start tag ends.
+ENDS = {tag: {was for was, by in CLOSED_BY.items() if tag in by} for tag in set().union(*CLOSED_BY.values())}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 WALLS = set("table td th caption button object template html".split())
 
@@ -51,6 +54,12 @@ ASIDE_WORDS = set(
     "copyright disclaimer skip".split())
 TOP_WORDS = {"header", "top"}
 BODY_WORDS = set("article entry post content story body main".split())
+#: A class with one of these words says how the page looks, not what the element is: has-sidebar, comments-open.
+STATE_WORDS = set("has no not without is are open opened closed enabled disabled".split())
+#: Words of what readers write; an element with one is never taken for the article.
+READER_WORDS = set("comment comments disqus reply replies respond".split())
+#: Tags that may stand in a head; any other ends it.
+HEAD_TAGS = set("head base link meta script style title template noscript".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -65,39 +74,111 @@ SHARE = 0.7  # of the page's mean score, which a path must reach
 OUTSIDE = 0.5  # of its score is left to a path outside an article while the page has one
 
 
-def set_apart(tag: str, attrs: str) -> bool:
-    """Whether the element says of itself that it is no main text."""
-    if tag in ASIDE_TAGS:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+HARD, SOFT = 2, 1
+MOST = 0.5  # of the page's unlinked text, which an element named like an aside must exceed to be the article after all
+
+
+def set_apart(tag: str, attrs: str) -> tuple[int, set[str]]:
+    """How the element says that it is no main text (0: not at all, SOFT: by a name, HARD), and its names' words."""
+    kind = SOFT if tag == "form" else HARD if tag in ASIDE_TAGS else 0
     words: set[str] = set()
+    if kind == HARD or not attrs or tag in ("html", "body"):
+        return kind, words
     for m in NAMES.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD, words
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return HARD, words
         elif name != "aria-hidden":
-            words.update(w.lower() for w in PIECES.findall(CAMEL.sub(" ", value)))
-    return bool(words & ASIDE_WORDS) or bool(words & TOP_WORDS) and not words & BODY_WORDS
+            for one in value.split():
+                parts = {w.lower() for w in PIECES.findall(CAMEL.sub(" ", one))}
+                if not parts & STATE_WORDS:
+                    words |= parts
+    if tag == "main":
+        return 0, words
+    if words & ASIDE_WORDS or words & TOP_WORDS and not words & BODY_WORDS:
+        kind = SOFT
+    return kind, words
+
+
+class Page:
+    """The text runs of a page, its tag paths as linked nodes and the elements named like asides.
+
+    A path is the number of its node: `parent`, `tag`, `part` (the first article or main element on
+    the path, 0 if none) and `deep` (whether an element other than html and body is on it) are lists
+    over nodes, of which 0 is the page. An element named like an aside is the number of its row in
+    `named`: its parent there, whether it holds a main element, whether it holds or is an article
+    or is named like one, whether readers write it, the body mark around it, its unlinked text.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.part, self.deep = [0], [""], [0], [False]
+        self.node: dict[tuple[int, str], int] = {}
+        self.named: list[list] = [[0, False, False, False, 0, 0]]
+        self.marked: list[int] = [0]  # unlinked text in each outermost element that is an article by tag or name
+        self.runs: list[tuple[int, int, str, int]] = []  # path, aside (-1: set apart for certain), text, linked characters
+
+    def below(self, path: int, tag: str) -> int:
+        """The path one element longer."""
+        key = (path, tag)
+        if key not in self.node:
+            self.node[key] = n = len(self.parent)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.part.append(self.part[path] or (n if tag in ("article", "main") else 0))
+            self.deep.append(self.deep[path] or tag not in ("html", "body"))
+        return self.node[key]
+
+    def main_runs(self) -> list[tuple[int, str, int]]:
+        """Runs that aren't set apart, after names are overruled: path, text, linked characters.
+
+        An element named like an aside is the article after all if it holds the main element, or if it
+        holds an article (or is one, or has a name like one), has most of the page's unlinked text, isn't
+        written by readers and no other article stands beside it.
+        """
+        named = self.named
+        for at in range(len(named) - 1, 0, -1):  # an element comes after those around it
+            up, holds_main, holds_article, readers, _, size = named[at]
+            if up:
+                named[up][1] |= holds_main and not readers
+                named[up][2] |= holds_article and not readers
+                named[up][5] += size
+        total = sum(max(0, len(t) - k) for _, aside, t, k in self.runs if aside >= 0)
+        marked = sum(self.marked)
+        apart = [False] * len(named)
+        for at, (up, holds_main, holds_article, readers, mark, size) in enumerate(named):
+            if at:
+                beside = marked - (self.marked[mark] if mark else 0)
+                over = not readers and (holds_main or holds_article and size > MOST * total and not beside)
+                apart[at] = apart[up] or not over
+        return [(path, t, k) for path, aside, t, k in self.runs if aside >= 0 and not apart[aside]]
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """Text runs in page order: path, whether set apart, text, characters within links."""
-    out: list[tuple[tuple[str, ...], bool, str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, set apart, inline
+def read_page(html: str) -> Page:
+    """The page's runs; work is linear in its length, however deep elements are nested."""
+    page = Page()
+    # Of each open element: tag, inline, kind, path, aside around the text in it, mark around it.
+    stack: list[tuple[str, bool, int, int, int, int]] = []
+    places: dict[str, list[int]] = {}  # where a tag stands in the stack
+    walls: list[int] = []
     run: list[str] = []
-    linked = 0
-    at = 0
+    hard = links = linked = at = 0
 
     def close_run() -> None:
         nonlocal linked
         if run:
             text = " ".join("".join(run).split())
             if text:
-                out.append((tuple(t for t, _, inline in stack if not inline), any(x for _, x, _ in stack), text, linked))
+                _, _, _, path, aside, mark = stack[-1] if stack else ("", False, 0, 0, 0, 0)
+                page.runs.append((path, -1 if hard else aside, text, linked))
+                if not hard:
+                    size = max(0, len(text) - linked)
+                    if aside:
+                        page.named[aside][5] += size
+                    elif mark:
+                        page.marked[mark] += size
             run.clear()
         linked = 0
 
@@ -105,21 +186,54 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         nonlocal linked
         if raw:
             text = references.unescape(raw) if "&" in raw else raw
+            if stack and stack[-1][0] == "head" and text.strip():
+                pop_to(len(stack) - 1)
             run.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if links:
                 linked += len(text)
 
     def pop_to(i: int) -> None:
-        if any(not inline or apart for _, apart, inline in stack[i:]):
+        nonlocal hard, links
+        if any(not inline or kind for _, inline, kind, _, _, _ in stack[i:]):
             close_run()
-        del stack[i:]
+        while len(stack) > i:
+            tag, _, kind, _, _, _ = stack.pop()
+            places[tag].pop()
+            hard -= kind == HARD
+            links -= tag == "a"
+            if tag in WALLS:
+                walls.pop()
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
+    def push(tag: str, inline: bool, kind: int, words: set[str]) -> None:
+        nonlocal hard, links
+        _, _, _, path, aside, mark = stack[-1] if stack else ("", False, 0, 0, 0, 0)
+        if not hard and kind != HARD:
+            like = tag == "article" or bool(words & BODY_WORDS)
+            if kind == SOFT:
+                page.named.append([aside, False, like, bool(words & READER_WORDS), mark, 0])
+                aside = len(page.named) - 1
+            elif tag in ("main", "article") and aside:
+                page.named[aside][1 if tag == "main" else 2] = True
+            elif (like or tag == "main") and not aside and not mark and tag not in ("html", "body"):
+                page.marked.append(0)
+                mark = len(page.marked) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
+        stack.append((tag, inline, kind, path if inline else page.below(path, tag), aside, mark))
+        hard += kind == HARD
+        links += tag == "a"
+
+    def last(tags) -> int:
+        """Where the innermost open element of these tags stands, -1 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    while at < len(html):
+        m = TOKEN.search(html, at)
         if m is None:
-            add(page[at:])
+            add(html[at:])
             break
-        add(page[at: m.start()])
+        add(html[at: m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -131,98 +245,96 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             if tag == "br":
                 run.append(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in WALLS and tag not in WALLS and tag not in ("html", "body", "table", "tr", "tbody"):
-                    break
+            i = last((tag,))
+            through = tag in WALLS or tag in ("body", "tr", "tbody")
+            if i >= 0 and (through or not walls or i > walls[-1]):
+                pop_to(i)
             continue
+        if tag not in HEAD_TAGS and tag not in VOID and places.get("head"):
+            i = places["head"][-1]
+            if not walls or i > walls[-1]:
+                pop_to(i)
         if tag in VOID:
             if tag not in INLINE:
                 close_run()
             elif tag == "br":
                 run.append(" ")
             continue
-        for i in range(len(stack) - 1, -1, -1):
+        while (i := last(ENDS.get(tag, ()))) >= 0 and i >= last(SCOPE.get(tag, ())) and (not walls or i >= walls[-1]):
             was = stack[i][0]
-            if tag in CLOSED_BY.get(was, ()):
-                pop_to(i)
-                if was != "th" and was != "td":
-                    break
-            elif was in WALLS or was in SCOPE.get(tag, ()):
+            pop_to(i)
+            if was not in ("th", "td"):
                 break
-        apart = set_apart(tag, attrs)
+        kind, words = set_apart(tag, attrs)
         inline = tag in INLINE
-        if not inline or apart:
+        if not inline or kind:
             close_run()
         if tag in RAW:
             # Raw text ends only at its own end tag.
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not apart:
-                stack.append((tag, apart, inline))
-                add(page[at: end.start() if end else len(page)])
-                close_run()
-                stack.pop()
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if not kind:
+                push(tag, inline, kind, words)
+                add(html[at: end.start() if end else len(html)])
+                pop_to(len(stack) - 1)
+            at = end.end() if end else len(html)
             continue
         if not attrs.rstrip().endswith("/") or tag not in ("svg", "path", "use"):
-            stack.append((tag, apart, inline))
+            push(tag, inline, kind, words)
     close_run()
-    return out
+    return page
 
 
-def path_scores(found: list[tuple[tuple[str, ...], bool, str, int]]) -> dict[tuple[str, ...], float]:
-    """The fused and smoothed ratio of each path that isn't set apart."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, apart, text, linked in found:
-        if not apart:
-            s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
-            s[0] += 1
-            s[1] += max(0, len(text) - linked)
-            s[2] += min(linked, len(text))
-            s[3] += len(PUNCT.findall(text))
+def path_scores(page: Page, runs: list[tuple[int, str, int]]) -> dict[int, float]:
+    """The fused and smoothed ratio of each path of the runs."""
+    sums: dict[int, list[float]] = {}
+    for path, text, linked in runs:
+        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
+        s[0] += 1
+        s[1] += max(0, len(text) - linked)
+        s[2] += min(linked, len(text))
+        s[3] += len(PUNCT.findall(text))
     raw = {p: (math.log1p(t / n) + math.log1p(marks / n)) * (t / (t + l) if t + l else 0)
            for p, (n, t, l, marks) in sums.items()}
-    near: dict[tuple[str, ...], list[float]] = {}
+    near: dict[int, list[float]] = {}
     for p, (_, t, _, _) in sums.items():
-        x = near.setdefault(p[:-1], [0.0, 0.0])
+        x = near.setdefault(page.parent[p], [0.0, 0.0])
         x[0] += t * raw[p]
         x[1] += t
-    inside = any("article" in p or "main" in p for p in sums)
+    inside = any(page.part[p] for p in sums)
     out = {}
     for p in sums:
-        all_t = near[p[:-1]][1]
-        smooth = 0.5 * raw[p] + 0.5 * (near[p[:-1]][0] / all_t if all_t else 0)
-        out[p] = smooth * (OUTSIDE if inside and not ("article" in p or "main" in p) else 1.0)
+        beside, all_t = near[page.parent[p]]
+        smooth = 0.5 * raw[p] + 0.5 * (beside / all_t if all_t else 0)
+        out[p] = smooth * (OUTSIDE if inside and not page.part[p] else 1.0)
     return out
 
 
-def main_text(page: str) -> str:
-    found = blocks(page)
-    scores = path_scores(found)
-    weight: dict[tuple[str, ...], int] = {}
-    for path, apart, text, _ in found:
-        if not apart:
-            weight[path] = weight.get(path, 0) + len(text)
+def main_text(html: str) -> str:
+    page = read_page(html)
+    runs = page.main_runs()
+    scores = path_scores(page, runs)
+    weight: dict[int, int] = {}
+    for path, text, _ in runs:
+        weight[path] = weight.get(path, 0) + len(text)
     total = sum(weight.values())
     if not total:
         return ""
     least = SHARE * sum(scores[p] * w for p, w in weight.items()) / total
     # What stands beside the text in one part of the page belongs to it: short lines, lists.
     good = {p for p in scores if scores[p] >= least}
-    parts = {_part(p) for p in good} - {()}
-    good |= {p for p in scores if scores[p] > 0 and any(len(p) > len(c) and p[: len(c)] == c for c in parts)}
-    inside = {c for c in parts if c[-1] in ("article", "main")}
-    return " ".join(text for p, apart, text, _ in found if not apart and (p in good or _part(p) in inside))
-
-
-def _part(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path up to its first article or main element, else to its parent (none: the body)."""
-    for i, tag in enumerate(path):
-        if tag in ("article", "main"):
-            return path[: i + 1]
-    return path[:-1] if set(path[:-1]) - {"html", "body"} else ()
+    parts = {_part(page, p) for p in good} - {0}
+    within = [False] * len(page.parent)
+    for p in range(1, len(within)):  # a path comes after the one it extends
+        within[p] = within[page.parent[p]] or page.parent[p] in parts
+    good |= {p for p in scores if scores[p] > 0 and within[p]}
+    inside = {c for c in parts if page.tag[c] in ("article", "main")}
+    return " ".join(text for p, text, _ in runs if p in good or _part(page, p) in inside)
+
+
+def _part(page: Page, path: int) -> int:
+    """The path up to its first article or main element, else to its parent (0: the body)."""
+    up = page.parent[path]
+    return page.part[path] or (up if page.deep[up] else 0)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

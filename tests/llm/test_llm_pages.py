@@ -88,6 +88,49 @@ PARTS = [
 ]
 
 
+BODY = "<article><h1>Title</h1><p>" + "Some long text, with commas. And more of it. " * 12 + "</p></article>"
+BODY_TEXT = "Title " + ("Some long text, with commas. And more of it. " * 12).strip()
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content-sidebar-wrap">{BODY}<div class="sidebar"><p>Side text, really. Yes.</p></div></div>',
+    f'<div class="has-sidebar">{BODY}</div><p class="footer">Foot, note.</p>', f'<div class="post social">{BODY}</div>',
+    f'<main class="comments-open">{BODY}</main>', f'<form id="page">{BODY}<p class="search-form">Find, here.</p></form>',
+    f'<html><head><title>T</title><meta charset="utf-8"><body>{BODY}</body></html>', f"<head><title>T</title>{BODY}",
+    f'<body class="no-sidebar modal-open">{BODY}</body>', f'<main class="banner-top"><nav><p>Menu, long.</p></nav>{BODY}</main>',
+    f'{BODY}<section class="comments"><article><p>{"A reader, says this. " * 90}</p></article></section>',
+    f'{BODY}<div class="related"><article><p>{"Another story, here. " * 90}</p></article></div>',
+    f'{BODY}<div class="comment-content"><p>{"A reader, says this. " * 90}</p></div>',
+])
+def test_names_are_overruled_only_around_the_article(page):
+    assert main_text.main_text(page) == BODY_TEXT
+
+
+def test_deep_pages_are_linear():
+    """Steps, not seconds: twice the depth is about twice the work of the path nodes and of the reader."""
+    import sys
+
+    def steps(page):
+        n = 0
+
+        def count(*_):
+            nonlocal n
+            n += 1
+            return None
+
+        sys.setprofile(count)
+        try:
+            main_text.main_text(page)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    for make in (lambda n: "<div>text, here. " * n, lambda n: "<x><table>" + "<div>" * n + "t</x>" * n,
+                 lambda n: "<b><a href=x>t" * n, lambda n: "<p class=sidebar><div class='widget'>t" * n):
+        assert steps(make(2000)) < 2.3 * steps(make(1000))
+    assert main_text.main_text("<div>" * 50_000 + BODY) == BODY_TEXT
+
+
 def test_main_text(spark):
     rows = [(i, None if i % 3 else f"http://x/{i}", h, "x", 7) for i, (h, _) in enumerate(PARTS)] + [(None, None, PARTS[0][0], None, None), (0, "http://x/0", PARTS[0][0], "x", 7)]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
