@@ -2,7 +2,7 @@
 
 A text's set is its distinct word shingles, each hashed to 64 bits. The k smallest hashes are
 its bottom-k sketch; a set of at most k shingles is held whole by it. Texts with equal sets
-form a class, which its smallest doc_id represents, so copies never meet as pairs.
+form a class, named by the digest of the set, so copies never meet as pairs.
 
 Inverted lists over retained values find candidates. Sets as similar as the threshold share
 most retained values, so two sketches that agree in `share` of m values must agree in one of
@@ -12,8 +12,14 @@ sweeps are made, the second over what the first left and with the whole sketch.
 
 Each class is compared with the head of its lists first (the class with the fewest values of
 its own), one pair per class. Then pairs of classes that are still apart are compared, unless
-the values that nobody shares, up to where both sketches reach, already rule a link out. A group of n near copies so costs
-about n pairs. The bottom k of the union of two sketches estimates their similarity; where
+the values that nobody shares, up to where both sketches reach, already rule a link out. In a
+long list (a template of many texts) the head, its smallest set, is asked what it shares with
+each class. A class that needs more for any link must share retained values beside the head
+with its partner: these make new lists, with heads of their own. The others are compared with
+the head on full sets. Two linked sets that share nothing beside a set no larger than they are
+are both linked with it, so of these, too, only those meet that share something beside the
+head, now of the full sets. A group of n near copies and n texts of one template so cost about
+n pairs. The bottom k of the union of two sketches estimates their similarity; where
 it holds both sets whole it is exact, all others that pass are checked on the full sets.
 """
 
@@ -35,6 +41,7 @@ FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 d
 LAST_K = 20  # retained values by which classes that are still apart meet
 LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less); 7 at 0.8
 SIGMAS = 5.0
+LONG = 64  # classes in a list, beyond which its head is asked what they share with it
 EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
 
@@ -67,7 +74,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5, k: int = 256) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch (k smallest hashes, ascending)."""
+    """doc_id, t (hash of the text), n_shingles, digest of the set (null if empty), sketch (k smallest hashes, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,14 +84,22 @@ def sketches(docs: DataFrame, width: int = 5, k: int = 256) -> DataFrame:
                 kept = [_signed(s[:k]) for s in sets]
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"),
+                    part.column("doc_id"), part.column("t"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else [], pa.int64())),
-                ], names=["doc_id", "n_shingles", "digest", "sketch"])
+                ], names=["doc_id", "t", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_arg()).mapInArrow(
-        run, "doc_id long, n_shingles long, digest string, sketch array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, t long, n_shingles long, digest binary, sketch array<long>")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash of the text, text as bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("t"), text_arg())
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int) -> tuple[int, int, bool]:
@@ -98,12 +113,13 @@ def union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int) -> tu
 
 
 def _estimated(pairs: DataFrame, sk: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs whose union sketch passes: a, b, sure (true: the sketch was exact)."""
+    """Pairs whose union sketch passes: a, b, sure (true: the sketch was exact), id and text hash of both."""
     t = num / den
+    names = ["a", "b", "ida", "ta", "idb", "tb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ia, ib, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             oa, va = (x.to_numpy() for x in (batch.column("sa").offsets, batch.column("sa").values))
             ob, vb = (x.to_numpy() for x in (batch.column("sb").offsets, batch.column("sb").values))
             keep, sure = [], []
@@ -114,13 +130,30 @@ def _estimated(pairs: DataFrame, sk: DataFrame, k: int, num: int, den: int) -> D
                 if ok:
                     keep.append(i)
                     sure.append(whole)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ia[keep]), pa.array(ib[keep]), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            kept = batch.select(names).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sure, pa.bool_())], names=[*names, "sure"])
 
-    left = sk.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sk.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left = sk.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("doc_id").alias("ida"), F.col("t").alias("ta"))
+    right = sk.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("doc_id").alias("idb"), F.col("t").alias("tb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select(
-        "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, sure boolean")
+        *names, "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary, ida long, ta long, idb long, tb long, sure boolean")
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (with ida, ta, idb, tb) with both texts: xa, xb."""
+    ids = pairs.select(F.col("ida").alias("doc_id"), F.col("ta").alias("t")).union(pairs.select("idb", "tb")).distinct()
+    texts = _keyed(docs).join(ids, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
+    left = texts.select(F.col("doc_id").alias("ida"), F.col("t").alias("ta"), F.col("text").alias("xa"))
+    right = texts.select(F.col("doc_id").alias("idb"), F.col("t").alias("tb"), F.col("text").alias("xb"))
+    return pairs.join(left, ["ida", "ta"]).join(right, ["idb", "tb"]).select("a", "b", "xa", "xb")
+
+
+def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number and both full sets."""
+    for lo, hi in slices(batch, "xa", 1_000_000):
+        part = batch.slice(lo, hi - lo)
+        a, b = (shingle_sets(part.column(c).to_pylist(), width) for c in ("xa", "xb"))
+        yield from zip(range(lo, hi), a, b, strict=True)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -129,21 +162,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for lo, hi in slices(batch, "ta", 1_000_000):
-                part = batch.slice(lo, hi - lo)
-                a, b = (shingle_sets(part.column(c).to_pylist(), width) for c in ("ta", "tb"))
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if shared and den * shared >= num * (len(x) + len(y) - shared):
-                        keep.append(lo + i)
+            for i, x, y in _sets_of(batch, width):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and den * shared >= num * (len(x) + len(y) - shared):
+                    keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_arg()).join(ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(
-        run, "a long, b long")
+    return _with_texts(pairs, docs).mapInArrow(run, "a binary, b binary")
+
+
+def _beside(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Of each pair of a class a and a head b: a, b, n (size of a's set), shared, vals (of a's full set, without the head's)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "n", "shared", "vals"]
+        for batch in batches:
+            rows, held = [], 0
+            for i, x, y in _sets_of(batch, width):
+                rows.append((i, len(x), np.setdiff1d(x, y, assume_unique=True)))
+                held += len(rows[-1][2])
+                if held > 1_000_000 or i == batch.num_rows - 1:
+                    at, sizes, vals = zip(*rows, strict=True)
+                    some = batch.select(["a", "b"]).take(pa.array(at))
+                    ends = np.cumsum([0, *map(len, vals)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        *some.columns, pa.array(sizes, pa.int64()), pa.array([m - len(v) for m, v in zip(sizes, vals, strict=True)], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(vals)), pa.int64()))], names=names)
+                    rows, held = [], 0
+
+    return _with_texts(pairs, docs).mapInArrow(run, "a binary, b binary, n long, shared long, vals array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,6 +237,13 @@ def _prefixes(values: DataFrame, whole: int, share_of) -> DataFrame:
         "v", "held").withColumn("v", F.explode("prefix"))
 
 
+def _first(held: DataFrame, by: str, needs: Column) -> DataFrame:
+    """The rarest of the held values, among them one of any `needs` that a partner shares: by, v, node, prefix."""
+    take = F.size("held") - F.greatest(needs, F.lit(1)) + 1
+    first = held.withColumn("take", take.cast("int")).where("take > 0").select(by, "node", F.slice("held.v", 1, F.col("take")).alias("prefix"))
+    return first.select(by, F.explode("prefix").alias("v"), "node", "prefix")
+
+
 def _every(values: Column) -> Column:
     """One in EVERY of the sorted values."""
     return F.filter(values, lambda _, i: (i + 1) % EVERY == 0)
@@ -213,15 +267,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     different texts are each judged by their own text. Equal sets are linked, the smallest
     id stands for them. Empty table: no rows.
     """
+    return _grouped(docs, width, num, den, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, k: int = 256) -> DataFrame:
+    """near_duplicates() with t (hash of the text), digest and component (a digest, the same for all that links reach)."""
     t = num / den
     sk = stored(sketches(docs, width, k), "sketches")
-    ids = sk.select("doc_id", "n_shingles", "digest")
-    named = ids.where("digest is not null and doc_id is not null")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    ids = sk.select("doc_id", "t", "n_shingles", "digest")
+    reps = ids.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "t")).alias("rep")).select("digest", "rep.*")
+    key = ["digest", "doc_id", "t"]
     nodes = stored(
-        sk.where("digest is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-        .select("doc_id", "digest", F.col("n_shingles").alias("n"), F.slice("sketch", 1, FIRST_K).alias("top"))
-        .dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "node").drop("digest"), "nodes")
+        sk.where("digest is not null").join(reps, key, "left_semi")
+        .select(*key, F.col("n_shingles").alias("n"), F.slice("sketch", 1, FIRST_K).alias("top"))
+        .dropDuplicates(key).withColumnRenamed("digest", "node"), "nodes")
 
     # First sweep: a few values of every class.
     first = _prefixes(
@@ -232,9 +292,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
 
     # Second sweep: all retained values of the classes that are left.
     near = stored(
-        sk.where("digest is not null").join(left.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id", "digest"])
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "near")
+        sk.where("digest is not null").join(
+            nodes.join(left, "node", "left_semi").select(F.col("node").alias("digest"), "doc_id", "t"), key, "left_semi")
+        .dropDuplicates(key)
+        .select(F.col("digest").alias("node"), "doc_id", "t", F.col("n_shingles").alias("n"), "sketch"), "near")
     slack = F.lit(SIGMAS * (k * t * (1 - t)) ** 0.5)
 
     def second_share(n: Column, m: Column) -> Column:
@@ -264,51 +325,111 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     # one. A value of one class that no sketch holds is missing from another class only if that
     # one's sketch reaches so far: what two classes share is bounded up to the smaller reach.
     reach = near.select("node", "n", F.when(F.col("n") > k, F.element_at("sketch", -1)).otherwise(F.lit((1 << 63) - 1)).alias("reach"))
-    bounds = lists.select("node", "n", (F.col("m") - F.col("own")).alias("open"), "steps").dropDuplicates(["node", "n"]).join(reach, ["node", "n"])
+    facts = stored(
+        lists.select("node", "n", (F.col("m") - F.col("own")).alias("open"), "steps").dropDuplicates(["node", "n"])
+        .join(reach, ["node", "n"]).join(known, "node", "left")
+        .select("node", "n", "open", "steps", "reach", F.coalesce("component", "node").alias("c")), "facts")
     last = _prefixes(
         near.select("node", "n", F.least(F.size("sketch"), F.lit(LAST_K)).cast("long").alias("m"), F.explode(F.slice("sketch", 1, LAST_K)).alias("v")),
         k, lambda n, m: F.ceil(m * _share(LAST_K, LAST_SHARE, t) / LAST_K))
-    side = last.select("v", "node", "n", "prefix").join(bounds, ["node", "n"]).join(known, "node", "left").select(
-        "v", "node", "n", "prefix", F.coalesce("component", "node").alias("c"), "open", "steps", "reach")
-    side = stored(side, "apart")
-    mixed = side.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v").agg(
-        F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("x.c").alias("most"))
-    rest = side.join(mixed, "v").where("c <> most").select(
-        "v", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc"), F.col("open").alias("ropen"), F.col("prefix").alias("rprefix"),
-        F.col("steps").alias("rsteps"), F.col("reach").alias("rreach"))
-    both = F.least("reach", "rreach")
-    most = F.least(_up_to("open", "steps", both), _up_to("ropen", "rsteps", both))
-    whole = (num + den) * F.least("open", "ropen") >= num * (F.col("n") + F.col("rn"))
-    hidden = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("n") + F.col("rn")))  # share of the union beyond the sketch
-    apart = rest.join(side, "v").where(
-        (F.col("c") != F.col("rc"))
-        & (den * F.least("n", "rn") >= num * F.greatest("n", "rn"))
-        & F.when(F.greatest("n", "rn") <= k, whole).otherwise(most >= k * t - slack * F.sqrt(hidden) - 1e-6)
-        & (F.array_intersect("prefix", "rprefix")[0] == F.col("v")))
-    tried = star.select("a", "b")
-    apart = apart.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct().join(
-        tried, ["a", "b"], "left_anti")
-    more = links(apart, "rest")
+
+    def bounded(side: DataFrame) -> DataFrame:
+        """Pairs a, b of one list (g, v) that are apart and that the bounds allow; side has facts and the list's largest part."""
+        rest = side.where("c <> most").select("g", "v", *(F.col(c).alias("r" + c) for c in ("node", "n", "c", "open", "prefix", "steps", "reach")))
+        both = F.least("reach", "rreach")
+        most = F.least(_up_to("open", "steps", both), _up_to("ropen", "rsteps", both))
+        whole = (num + den) * F.least("open", "ropen") >= num * (F.col("n") + F.col("rn"))
+        hidden = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("n") + F.col("rn")))  # share of the union beyond the sketch
+        pairs = rest.join(side, ["g", "v"]).where(
+            (F.col("c") != F.col("rc"))
+            & (den * F.least("n", "rn") >= num * F.greatest("n", "rn"))
+            & F.when(F.greatest("n", "rn") <= k, whole).otherwise(most >= k * t - slack * F.sqrt(hidden) - 1e-6)
+            & (F.array_intersect("prefix", "rprefix")[0] == F.col("v")))
+        return pairs.select(F.least("node", "rnode").alias("a"), F.greatest("node", "rnode").alias("b"))
+
+    # A list (g, v): v a retained value, g the heads that were asked before. needs: how many of its
+    # values (vals) a class shares with a partner that meets it under g.
+    entries = last.select(F.lit(0).cast("long").alias("g"), "v", "node", "prefix")
+    state = near.select(F.lit(0).cast("long").alias("g"), "node", F.col("sketch").alias("vals"),
+                        second_share(F.col("n"), F.size("sketch").cast("long")).cast("int").alias("needs"))
+    apart, asked = [], []
+    while True:
+        side = stored(entries.join(facts, "node"), "apart")
+        lists_now = stored(
+            side.groupBy("g", "v", "c").agg(F.count("*").alias("size"), F.min(F.struct("n", F.bitwise_not("reach").alias("far"), "node")).alias("h"))
+            .groupBy("g", "v").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts"), F.sum("size").alias("size"), F.min("h").alias("h"))
+            .where("parts > 1").select("g", "v", F.col("x.c").alias("most"), F.when(F.col("size") > LONG, F.col("h.node")).alias("head")), "lists")
+        mixed = side.join(lists_now, ["g", "v"])
+        apart.append(bounded(mixed.where("head is null")))
+        if lists_now.where("head is not null").isEmpty():
+            break
+        # What the classes of long lists hold beside the head, and how much of that a link still needs.
+        long = mixed.where("head is not null")
+        beside = stored(
+            long.select("g", "head", "node").distinct().join(state, ["g", "node"])
+            .join(near.select(F.col("node").alias("head"), F.col("sketch").alias("headed")), "head")
+            .select("g", "head", "node", "needs", F.size("vals").alias("had"), F.array_except("vals", "headed").alias("vals"))
+            .select("g", "head", "node", "vals", (F.col("needs") - F.col("had") + F.size("vals")).alias("needs")), "beside")
+        asked.append(beside.where("needs <= 0").select("node", "head"))
+        state = beside.select(F.xxhash64("g", "head").alias("g"), "node", "vals", "needs")
+        values = state.select("g", "node", "needs", F.explode("vals").alias("v"))
+        often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
+        held = values.join(often, ["g", "v"]).groupBy("g", "node", "needs").agg(
+            F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # at most the sketch size
+        entries = _first(held, "g", F.col("needs"))
+    if asked:
+        # Those that share with a head all that a link needs: on full sets, what they hold beside it.
+        close = asked[0]
+        for some in asked[1:]:
+            close = close.union(some)
+        close = stored(close.where("node <> head").distinct().join(facts.select("node", "c"), "node"), "close")
+        parts = close.join(facts.select(F.col("node").alias("head"), F.col("c").alias("hc")), "head")
+        parts = parts.groupBy("head").agg(F.max(F.col("c") != F.col("hc")).alias("mixed")).where("mixed").select("head")
+        close = close.join(parts, "head", "left_semi").select("node", "head", "c")
+        apart.append(close.join(facts.select(F.col("node").alias("head"), F.col("c").alias("hc")), "head").where("c <> hc").select(
+            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
+        own = near.select(F.col("node").alias("a"), F.col("doc_id").alias("ida"), F.col("t").alias("ta"))
+        theirs = near.select(F.col("node").alias("b"), F.col("doc_id").alias("idb"), F.col("t").alias("tb"))
+        beside = stored(_beside(close.select(F.col("node").alias("a"), F.col("head").alias("b")).join(own, "a").join(theirs, "b"), docs, width), "beside")
+        values = beside.select(F.col("b").alias("g"), F.col("a").alias("node"), (F.ceil(F.col("n") * num / F.lit(den)) - F.col("shared")).alias("needs"),
+                               F.explode("vals").alias("v"))
+        often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
+        held = values.join(often, ["g", "v"]).groupBy("g", "node", "needs").agg(
+            F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # at most the text's own set
+        side = stored(_first(held, "g", F.col("needs")).join(facts, "node"), "apart")
+        most = side.groupBy("g", "v", "c").agg(F.count("*").alias("size")).groupBy("g", "v").agg(
+            F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("g", "v", F.col("x.c").alias("most"))
+        apart.append(bounded(side.join(most, ["g", "v"])))
+    pairs = apart[0]
+    for more in apart[1:]:
+        pairs = pairs.union(more)
+    more = links(stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs"), "rest")
     ends = components(first_links.union(more))
 
-    per_class = reps.join(ends, reps["rep"] == ends["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"))
-    out = ids.join(per_class, "digest", "left")
+    classes = reps.join(ends, reps["digest"] == ends["node"], "left").select(
+        "digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    smallest = classes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    out = ids.join(classes.drop("doc_id").join(smallest, "component"), "digest", "left")
+    own = F.coalesce("smallest", "doc_id")
     return out.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        "doc_id", "t", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"),
+        F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+        F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, one for each doc_id (of several, the
-    smallest row). Rows without a doc_id stay. Columns are those of docs."""
-    ids = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(
-        F.count("*").alias("_kept_n"))
-    rows = docs.join(ids, docs["doc_id"] == ids["_kept_id"])
-    one = rows.where("_kept_n = 1").select(*[docs[c] for c in docs.columns])
-    more = rows.where("_kept_n > 1").groupBy("_kept_id").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_kept_row")).select("_kept_row.*")
-    return one.union(more).union(docs.where("doc_id is null"))
+    """One row of docs for each group of near_duplicates(): of the rows with the smallest doc_id, the
+    one whose set, then text, has the smaller hash, and of rows equal in both the smallest. Texts without words are
+    groups of their own. Rows without a doc_id stay. Columns are those of docs."""
+    rows = _grouped(docs, **how).where("kept and doc_id is not null").groupBy("component", "doc_id", "digest", "t").agg(F.count("*").alias("n"))
+    one = rows.where("component is not null").groupBy("component").agg(
+        F.min(F.struct("doc_id", "digest", "t", "n")).alias("row")).select("row.doc_id", "row.t", "row.n")
+    ids = one.union(rows.where("component is null").select("doc_id", "t", "n")).select(
+        F.col("doc_id").alias("_kept_id"), F.col("t").alias("_kept_t"), F.col("n").alias("_kept_n"))
+    found = docs.join(ids, (docs["doc_id"] == ids["_kept_id"]) & (_text_hash(docs["text"]) == ids["_kept_t"]))
+    lone = found.where("_kept_n = 1").select(*[docs[c] for c in docs.columns])
+    more = found.where("_kept_n > 1").groupBy("_kept_id", "_kept_t").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_kept_row")).select("_kept_row.*")
+    return lone.union(more).union(docs.where("doc_id is null"))
 
 
 def op1_near_duplicates(spark, sf_dir):

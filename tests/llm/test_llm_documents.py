@@ -83,8 +83,40 @@ def test_near_duplicates_odd(spark):
     assert one[0].asDict().keys() == docs.first().asDict().keys()
 
 
-def test_near_duplicates_random_edits(spark):
+def test_rows_of_one_id_are_judged_apart(spark):
+    """A link of one text says nothing about another text of the same id."""
+    near = [*words(1, 120)[:60], "changed", *words(1, 120)[61:]]
+    rows = [(0, " ".join(near)), (1, " ".join(words(1, 120))), (1, " ".join(words(9, 80))), (2, " ".join(words(9, 80))), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == [(0, 116, 0, True), (1, 76, 1, True), (1, 116, 0, False), (2, 0, 2, True), (2, 0, 2, True), (2, 76, 1, False)]
+    left = sorted(((r.doc_id, r.text) for r in near_duplicates.one_of_each_group(docs).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def template_docs(n, own=60, twins=6):
+    """Texts of one template of 304 words and words of their own; some are a copy of another with one word changed."""
+    docs = [(i, [*words(11, 304), *words(20_000 + i, own)]) for i in range(n)]
+    docs += [(n + i, [*docs[i][1][:-1], "changed"]) for i in range(twins)]
+    return [(i, " ".join(ws)) for i, ws in docs]
+
+
+def test_near_duplicates_templates_are_linear(spark, monkeypatch):
+    """Texts that share a template, which alone does not link them, do not all meet as pairs."""
+    met, estimate = [], near_duplicates._estimated
+    monkeypatch.setattr(near_duplicates, "_estimated", lambda pairs, *how: (met.append(pairs.count()), estimate(pairs, *how))[1])
+    monkeypatch.setattr(near_duplicates, "LONG", 8)
+    n = 200
+    docs = template_docs(n)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - n if i >= n else i for i, _ in docs}
+    assert sum(met) < 4 * len(docs)
+
+
+@pytest.mark.parametrize("long", [1, 64])
+def test_near_duplicates_random_edits(spark, monkeypatch, long):
     """A group of edited copies around the threshold, with a passage that all documents share."""
+    monkeypatch.setattr(near_duplicates, "LONG", long)
     rng = np.random.default_rng(4)
     base, passage = words(5, 90), words(6, 12)
     docs = []
@@ -97,9 +129,10 @@ def test_near_duplicates_random_edits(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(docs)
 
 
-@pytest.mark.parametrize("k", [64, 256])
-def test_near_duplicates_growing_versions(spark, k):
+@pytest.mark.parametrize(("k", "long"), [(64, 64), (256, 64), (64, 1)])
+def test_near_duplicates_growing_versions(spark, monkeypatch, k, long):
     """Groups of texts of which each is a part of the next, with set sizes around the sketch's and above."""
+    monkeypatch.setattr(near_duplicates, "LONG", long)
     docs, at = [], 0
     for g in range(60):
         first = int(k * (0.84 + 0.02 * (g % 12))) if g % 3 else 5 * k
