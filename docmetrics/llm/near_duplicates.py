@@ -15,7 +15,7 @@ its own), one pair per class. Then pairs of classes that are still apart are com
 the values that nobody shares, up to where both sketches reach, already rule a link out. In a
 long list (a template of many texts) the head, its smallest set, is asked what it shares with
 each class. A class that needs more for any link must share retained values beside the head
-with its partner: these make new lists, with heads of their own. The others are compared with
+with its partner, which make new lists. The others are compared with
 the head on full sets. Two linked sets that share nothing beside a set no larger than they are
 are both linked with it, so of these, too, only those meet that share something beside the
 head, now of the full sets. A group of n near copies and n texts of one template so cost about
@@ -353,12 +353,12 @@ def _grouped(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, k:
     state = near.select(F.lit(0).cast("long").alias("g"), "node", F.col("sketch").alias("vals"),
                         second_share(F.col("n"), F.size("sketch").cast("long")).cast("int").alias("needs"))
     apart, asked = [], []
-    while True:
+    for level in range(2):  # in lists beside a head all pairs meet that the bounds allow
         side = stored(entries.join(facts, "node"), "apart")
         lists_now = stored(
             side.groupBy("g", "v", "c").agg(F.count("*").alias("size"), F.min(F.struct("n", F.bitwise_not("reach").alias("far"), "node")).alias("h"))
             .groupBy("g", "v").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts"), F.sum("size").alias("size"), F.min("h").alias("h"))
-            .where("parts > 1").select("g", "v", F.col("x.c").alias("most"), F.when(F.col("size") > LONG, F.col("h.node")).alias("head")), "lists")
+            .where("parts > 1").select("g", "v", F.col("x.c").alias("most"), F.when((F.col("size") > LONG) & F.lit(level == 0), F.col("h.node")).alias("head")), "lists")
         mixed = side.join(lists_now, ["g", "v"])
         apart.append(bounded(mixed.where("head is null")))
         if lists_now.where("head is not null").isEmpty():
