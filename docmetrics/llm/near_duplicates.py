@@ -41,6 +41,7 @@ FIRST_SHARE = 16  # of these, similar sets share so many (mean 27 at 0.85, 5.5 d
 LAST_K = 20  # retained values by which classes that are still apart meet
 LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less); 7 at 0.8
 SIGMAS = 5.0
+SLICE = 250_000  # bytes of text that a task works on at once
 LONG = 64  # classes in a list, beyond which its head is asked what they share with it
 EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
@@ -78,7 +79,7 @@ def sketches(docs: DataFrame, width: int = 5, k: int = 256) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch, "text", 1_000_000):
+            for lo, hi in slices(batch, "text", SLICE):
                 part = batch.slice(lo, hi - lo)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 kept = [_signed(s[:k]) for s in sets]
@@ -150,7 +151,7 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Row number and both full sets."""
-    for lo, hi in slices(batch, "xa", 1_000_000):
+    for lo, hi in slices(batch, "xa", SLICE):
         part = batch.slice(lo, hi - lo)
         a, b = (shingle_sets(part.column(c).to_pylist(), width) for c in ("xa", "xb"))
         yield from zip(range(lo, hi), a, b, strict=True)
