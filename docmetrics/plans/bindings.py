@@ -188,6 +188,21 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows over several tasks a core: files of few bytes would be read, and all that follows run, in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def bound_parts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A projection of part rows to files.
+
+    The narrow part rows are always dealt out first: what is done with files (parsing, writing)
+    is the costly step, and the rows are cheaper to move than the texts made from them.
+    """
+    return spark.sql(spark_text(sql), part=dealt(table(spark, sf_dir, "part")))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, ITEMS)
 
@@ -197,13 +212,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per part.
-
-    The narrow part rows are always dealt out first: parsing is the costly step, and they
-    are cheaper to move than the texts made from them.
-    """
-    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(source_sql().format(**_SPARK, part="{part}"), part=part)
+    """One file per part."""
+    return bound_parts(spark, sf_dir, source_sql())
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,4 +314,4 @@ PART_EDITS = " UNION ALL ".join(
 def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part files after the method docstring of every even-sized part was edited."""
     doc = f"CASE WHEN p_size % 2 = 0 THEN {PATCHED_DOC} ELSE {_METHOD_DOC} END"
-    return bound(spark, sf_dir, source_sql(doc))
+    return bound_parts(spark, sf_dir, source_sql(doc))

@@ -41,7 +41,7 @@ SELECT p_brand AS project, 'latest' AS snapshot_id, file_path, file_path AS rel_
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    return b.bound(spark, sf, _TREE.format(source=b.part_source()))
+    return b.bound_parts(spark, sf, _TREE.format(source=b.part_source()))
 
 
 def digested(sources: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ FROM {{part}}
 
 
 def varied(spark: SparkSession, sf: str) -> DataFrame:
-    return b.bound(spark, sf, VARIED)
+    return b.bound_parts(spark, sf, VARIED)
 
 
 @query
