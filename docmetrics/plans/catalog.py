@@ -908,7 +908,7 @@ def stream_latest_items(spark, sf):
 @query
 def stream_items(spark, sf):
     """Source files arriving as a stream, scanned as they land."""
-    part = stream_table(spark, sf, "part")
+    part = b.dealt(stream_table(spark, sf, "part"))
     sources = spark.sql(b.spark_text(b.source_sql()), part=part)
     items = jobs.stream_items(sources).select("project", "file_path", "item_ordinal", "method", "qualname")
     landed = jobs.drain(items, ["file_path", "item_ordinal"])

@@ -22,3 +22,11 @@ def test_varied_sources_are_dealt_out(spark, sf):
     assert tasks(stored.varied(spark, sf)) >= spark.sparkContext.defaultParallelism
     assert stored.QUERIES["extract_wiring"](spark, sf).count() == 80
     assert {r.n for r in stored.QUERIES["extract_varied"](spark, sf).groupBy("file_path").count().withColumnRenamed("count", "n").collect()} == {11}
+
+
+def test_streamed_sources_are_dealt_out(spark, sf, monkeypatch):
+    seen = []
+    real = catalog.jobs.stream_items
+    monkeypatch.setattr(catalog.jobs, "stream_items", lambda sources: (seen.append(sources), real(sources))[1])
+    assert sum(r["items"] for r in catalog.QUERIES["stream_items"](spark, sf).collect()) > 40
+    assert "Repartition" in seen[0]._jdf.queryExecution().analyzed().toString()
