@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmetrics.functions.prices import DEFAULT, PRICE_LIST, Price, in_dollars, request_cost
@@ -27,28 +27,41 @@ def price_requests(
     )
 
 
-def _grams(name, lengths: Sequence[int] = (1, 2, 3)):
+#: Letters of the parts by which names are looked up.
+PART_LETTERS = 8
+
+
+def _grams(name, lengths: Sequence[int] | Column):
     """Distinct parts of the given lengths."""
     def of(n):
         last = F.length(name) - (n - 1)
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.substring(name, i, F.lit(n)))
+        return F.transform(starts, lambda i: F.substring(name, i, n))
 
-    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+    if isinstance(lengths, Column):
+        return F.array_distinct(F.flatten(F.transform(lengths, of)))
+    return F.array_distinct(F.concat(*[of(F.lit(n)) for n in lengths]))
 
 
 def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
     """Pairs of names (short, long) where the long one contains the short one, neither being empty.
 
-    Each short name is looked up by its rarest part of three letters among the long ones, so
-    that a part which all names share brings no pairs together.
+    Each short name is looked up by its rarest part of eight letters among the long ones (a
+    shorter name as a whole), so that a part which all names share brings no pairs together.
+    Long names are listed under parts of the lengths asked for only. Neither side of a join is
+    sent whole to each machine: a list that is small on disk can be large in memory.
     """
-    listed = long.select("long", F.explode(_grams(F.col("long"))).alias("gram"))
+    part = F.least(F.length("short"), F.lit(PART_LETTERS))
+    lengths = short.where("short <> ''").agg(F.sort_array(F.collect_set(part)).alias("lengths"))
+    listed = long.join(F.broadcast(lengths), F.lit(True)).select("long", F.explode(_grams(F.col("long"), F.col("lengths"))).alias("gram"))
     often = listed.groupBy("gram").agg(F.count("*").alias("n"))
-    parts = F.when(F.length("short") >= 3, _grams(F.col("short"), (3,))).otherwise(F.array("short"))
-    asked = short.where("short <> ''").select("short", F.explode(parts).alias("gram")).join(often, "gram", "left")
-    rarest = asked.groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    return rarest.select("short", F.col("r.gram").alias("gram")).join(listed, "gram").where(
+    parts = F.when(F.length("short") >= PART_LETTERS, _grams(F.col("short"), (PART_LETTERS,))).otherwise(F.array("short"))
+    asked = short.where("short <> ''").select("short", F.explode(parts).alias("gram")).join(often.hint("merge"), "gram")
+    # A name with a part that no long name has is contained in none.
+    rarest = asked.groupBy("short").agg(F.min(F.struct("n", "gram")).alias("r"), F.count("*").alias("found"))
+    whole = F.when(F.length("short") >= PART_LETTERS, F.size(_grams(F.col("short"), (PART_LETTERS,)))).otherwise(1)
+    rarest = rarest.where(F.col("found") == whole)
+    return rarest.select("short", F.col("r.gram").alias("gram")).join(listed.hint("merge"), "gram").where(
         F.contains(F.col("long"), F.col("short"))).select("short", "long")
 
 
@@ -60,24 +73,24 @@ def price_of_models(models: DataFrame, prices: DataFrame, match: str = "first")
     any have no row.
     """
     listed = prices.groupBy("model").agg(F.min("list_rank").alias("list_rank"))
-    equal = models.join(listed, F.col("name") == F.col("model")).select("name", F.col("model").alias("price_key"), "list_rank")
+    equal = models.join(listed.hint("merge"), F.col("name") == F.col("model")).select("name", F.col("model").alias("price_key"), "list_rank")
     if match == "exact":
         return equal
     if match not in ("first", "longest"):
         raise ValueError(f"unknown match {match!r}")
-    rest = models.where("name is not null").join(equal.select("name"), "name", "left_anti")
+    rest = models.where("name is not null").join(equal.select("name").hint("merge"), "name", "left_anti")
     a = _contained(listed.select(F.col("model").alias("short")), rest.select(F.col("name").alias("long"))).select(
         F.col("long").alias("name"), F.col("short").alias("model"))
     b = _contained(rest.select(F.col("name").alias("short")), listed.select(F.col("model").alias("long"))).select(
         F.col("short").alias("name"), F.col("long").alias("model"))
     size = F.length("model") if match == "longest" else F.lit(0)
     best = F.min(F.struct((-size).alias("size"), "list_rank", "model"))
-    similar = a.union(b).join(listed, "model").groupBy("name").agg(best.alias("p"))
+    similar = a.union(b).join(listed.hint("merge"), "model").groupBy("name").agg(best.alias("p"))
     # An empty name is part of every name.
     all_of_list = listed.agg(best.alias("p")).join(rest.where("name = ''"), F.lit(True)).select("name", "p")
     blank = listed.where("model = ''").select(F.struct((-size).alias("size"), "list_rank", "model").alias("q"))
     found = similar.union(all_of_list.where("p is not null")).groupBy("name").agg(F.min("p").alias("p"))
-    found = rest.join(found, "name", "left").join(blank, F.lit(True), "left").withColumn("p", F.least("p", "q")).where("p is not null")
+    found = rest.join(found.hint("merge"), "name", "left").join(blank, F.lit(True), "left").withColumn("p", F.least("p", "q")).where("p is not null")
     return equal.union(found.select("name", F.col("p.model").alias("price_key"), F.col("p.list_rank").alias("list_rank")))
 
 
@@ -88,12 +101,16 @@ def price_requests_by_table(requests: DataFrame, prices: DataFrame, match: str =
     Names are matched once per distinct model, whatever the number of requests.
     """
     models = requests.select(F.lower("model").alias("name")).where("name is not null").distinct()
-    keys = price_of_models(models, prices, match)
-    named = requests.join(keys.select(F.col("name").alias("_name"), "price_key"), F.lower("model") == F.col("_name"), "left")
-    named = named.drop("_name").withColumn("price_key", F.coalesce("price_key", F.lit(DEFAULT)))
     each = prices.groupBy("model").agg(F.min_by(F.struct(*[
         F.col(c).cast("decimal(10,4)").alias(c) for c in ("input_per_million", "output_per_million")]), "list_rank").alias("_p"))
-    joined = named.join(each.withColumnRenamed("model", "_model"), F.col("price_key") == F.col("_model"))
+    # Prices go to the names, not to the requests, so no price that many requests share gathers them; both are many rows.
+    keys = price_of_models(models, prices, match).select(F.col("name").alias("_name"), "price_key").join(
+        each.withColumnRenamed("model", "_model").hint("merge"), F.col("price_key") == F.col("_model"))
+    named = requests.join(keys.hint("merge"), F.lower("model") == F.col("_name"), "left").drop("_name")
+    rest = each.where(F.col("model") == DEFAULT).select(F.lit(DEFAULT).alias("_default"), F.col("_p").alias("_rest"))
+    named = named.join(F.broadcast(rest), F.lit(True), "left").withColumns({
+        "_p": F.when(F.col("_model").isNull(), F.col("_rest")).otherwise(F.col("_p")), "price_key": F.coalesce("price_key", "_default")})
+    joined = named.where("price_key is not null").drop("_default", "_rest")
     micro = (F.col("prompt_tokens").cast("decimal(15,0)") * F.col("_p.input_per_million")
              + F.col("completion_tokens").cast("decimal(15,0)") * F.col("_p.output_per_million"))
     return joined.withColumn("cost", in_dollars(micro)).drop("_p", "_model")

@@ -98,3 +98,20 @@ def test_recent(sample):
     assert [r.context for r in rows] == ["c", "b"]
     assert [r.context for r in usage.recent_requests(sample, 2, ()).collect()] == ["c", "b"]
     assert usage.retain_usage(sample, 1).first().context == "c"
+
+
+def test_long_price_list_is_never_sent_whole(spark, tmp_path):
+    names = [f"part-{i}" for i in range(300)]
+    spark.createDataFrame([(n, i) for i, n in enumerate([*names, "default"])], "model string, list_rank int").write.parquet(f"{tmp_path}/p")
+    asked = ["PART-7", "my-part-120-2024", "rt-12", "none", None, "default", "", "long-names-part-299"]
+    spark.createDataFrame([(i, n) for i, n in enumerate(asked)], "id int, model string").write.parquet(f"{tmp_path}/r")
+    prices = spark.read.parquet(f"{tmp_path}/p").withColumns({
+        "input_per_million": F.col("list_rank").cast("decimal(10,4)"), "output_per_million": F.lit(0).cast("decimal(10,4)")})
+    requests = spark.read.parquet(f"{tmp_path}/r").withColumns({"prompt_tokens": F.lit(10**6), "completion_tokens": F.lit(0)})
+    out = usage.price_requests_by_table(requests, prices)
+    got = {r.id: (r.price_key, int(r.cost)) for r in out.collect()}
+    want = ["part-7", "part-1", "part-12", "default", "default", "default", "part-0", "part-2"]
+    assert got == {i: (k, 300 if k == "default" else int(k[5:])) for i, k in enumerate(want)}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    # Without a default row, what matches nothing has no price.
+    assert {r.id for r in usage.price_requests_by_table(requests, prices.where("model <> 'default'")).collect()} == {0, 1, 2, 6, 7}
