@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import stat
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +13,8 @@ import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmetrics.session import scratch_dir
+
 # File names that hold no documentable code.
 SKIPPED_NAMES = ["__init__.py", "setup.py", "conftest.py", "manage.py"]
 MIGRATION_NAME = r"^[0-9a-f]{12}_.*\.py$"
@@ -60,6 +65,75 @@ def _as_text(files: DataFrame) -> DataFrame:
     return files.withColumn("source", text).drop("content")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file scan passes over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _listed(folders: DataFrame, pattern: str) -> DataFrame:
+    """path, length, is_dir of what lies right in local folders (path): folders, and files that match and hold a byte."""
+    match = re.compile(pattern, re.DOTALL).fullmatch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, bool]] = []
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                with os.scandir(folder) as found:
+                    for entry in found:
+                        if _hidden(entry.name):
+                            continue
+                        try:
+                            at = entry.stat()
+                        except FileNotFoundError:  # gone since it was listed
+                            continue
+                        below = stat.S_ISDIR(at.st_mode)
+                        if below or (at.st_size and match(entry.name)):
+                            rows.append((f"{folder}/{entry.name}", 0 if below else at.st_size, below))
+                        if len(rows) >= 10000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["path", "length", "is_dir"])
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["path", "length", "is_dir"])
+
+    return folders.mapInArrow(run, "path string, length long, is_dir boolean")
+
+
+def _walked(spark: SparkSession, root: str, pattern: str, max_bytes: int | None) -> DataFrame:
+    """path and content of the files below a local folder, listed and opened by the executors.
+
+    The lists of each depth are written to the scratch folder; the driver learns only whether
+    there are folders below.
+    """
+    base, tasks = f"{scratch_dir(spark)}/listing-{uuid.uuid4().hex}", 3 * spark.sparkContext.defaultParallelism
+    schema = "path string, length long, is_dir boolean"
+    folders, depth = spark.createDataFrame([(root,)], "path string"), 0
+    while True:
+        _listed(folders, pattern).write.parquet(f"{base}/depth={depth}")
+        folders = spark.read.schema(schema).parquet(f"{base}/depth={depth}").where("is_dir").select("path")
+        if not folders.head(1):
+            break
+        folders, depth = folders.repartition(tasks), depth + 1
+    files = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)]).where("not is_dir")
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, size = [], [], 0
+            for path in batch.column("path").to_pylist():
+                with open(path, "rb") as f:
+                    texts.append(f.read())
+                paths.append(path)
+                size += len(texts[-1])
+                if size >= 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], names=["path", "content"])
+                    paths, texts, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], names=["path", "content"])
+
+    return files.select("path").repartition(tasks).mapInArrow(run, "path string, content binary")
+
+
 def read_sources(
     spark: SparkSession,
     root: str,
@@ -72,20 +146,32 @@ def read_sources(
 ) -> DataFrame:
     """All Python files below `root`, or `root` itself if it is one file.
 
-    Private names are dropped while listing and oversized files by the pushed-down
-    length filter, so neither is opened. `exclude` names path parts to leave out. Spark's
-    file scan passes over files of no bytes, which hold nothing to document, and over names
-    that begin with `_` or `.`. Such files are not documentable; name such folders below
-    `root` in `also` (globs are allowed) to read them.
+    Private names are dropped while listing and oversized files by their length, so neither
+    is opened. `exclude` names path parts to leave out. As Spark's file scan does, this passes
+    over files of no bytes, which hold nothing to document, and over names that begin with
+    `_` or `.`. Such files are not documentable; name such folders below `root` in `also`
+    (globs are allowed) to read them.
+
+    A local or mounted folder is listed by the executors, so no list of all files comes to the
+    driver; other schemes, globs and `also` go through Spark's file scan.
     """
-    reader = spark.read.format("binaryFile")
-    if not root.endswith(".py"):
-        reader = reader.option("recursiveFileLookup", True).option(
-            "pathGlobFilter", "[!_]*.py" if documentable_only else "*.py"
-        )
-    files = reader.load([root, *[f"{root.rstrip('/')}/{part}" for part in also]])
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
+    local = re.sub(r"^file:/+", "/", root).rstrip("/")
+    walk = local.startswith("/") and not root.endswith(".py") and not re.search(r"[*?\[\]{}\\%]", local) and os.path.isdir(local)
+    folders = [f"{root.rstrip('/')}/{part}" for part in also]
+    found = []
+    if walk:
+        found.append(_walked(spark, os.path.normpath(local), r"[^_].*\.py|\.py" if documentable_only else r".*\.py", max_bytes))
+    if folders or not walk:
+        reader = spark.read.format("binaryFile")
+        if not root.endswith(".py"):
+            reader = reader.option("recursiveFileLookup", True).option(
+                "pathGlobFilter", "[!_]*.py" if documentable_only else "*.py"
+            )
+        files = reader.load(folders if walk else [root, *folders])
+        if max_bytes is not None:
+            files = files.filter(F.col("length") <= max_bytes)
+        found.append(files.select("path", "content"))
+    files = found[0].union(found[1]) if len(found) > 1 else found[0]
     return _as_text(_kept(_named(files, root, project, snapshot_id), documentable_only, exclude))
 
 
@@ -109,10 +195,13 @@ def write_tree(sources: DataFrame, root: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
         for batch in batches:
             for name, text in zip(*(batch.column(c).to_pylist() for c in ("rel_path", "source")), strict=True):
                 folder, _, last = f"{path}/{name}".rpartition("/")
-                at.create_dir(folder, recursive=True)
+                if folder not in made:
+                    at.create_dir(folder, recursive=True)
+                    made.add(folder)
                 # Under a name that no reader takes, until it is whole.
                 temp = f"{folder}/_{uuid.uuid4().hex}"
                 with at.open_output_stream(temp, compression=None) as out:

@@ -223,3 +223,16 @@ def test_rounding_of_any_magnitude(spark):
     for digits in (1, 2, 3, 6):
         got = [r.y for r in df.select(exact_round(F.col("x"), digits).alias("y")).collect()]
         assert got == [round(x, digits) for x in given], digits
+
+
+def test_tree_is_listed_by_executors(spark, folder):
+    for i in range(300):
+        put(f"{folder}/d{i % 7}/e{i % 3}/f{i}.py", f"x = {i}\n")
+    put(f"{folder}/d0/_in/g.py", "x = 0\n")
+    put(f"{folder}/d0/empty.py", "")
+    df = files.read_sources(spark, folder, "demo")
+    assert {r.rel_path: r.source for r in df.collect()} == {f"d{i % 7}/e{i % 3}/f{i}.py": f"x = {i}\n" for i in range(300)}
+    assert not [f for f in df.inputFiles() if f.endswith(".py")]  # the driver holds no list of them
+    empty = f"{folder}/none"
+    os.makedirs(empty)
+    assert files.read_sources(spark, empty, "demo").count() == 0
