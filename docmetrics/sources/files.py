@@ -253,8 +253,9 @@ def changed_sources(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Files that are new or whose text differs from the previous snapshot."""
     digest = F.sha2(F.coalesce(F.col("source"), F.lit("")), 256)
     seen = previous.select("project", "rel_path", digest.alias("_digest"))
+    # Small on disk is not small in memory: a digest per file is never sent whole to each machine.
     return (
         current.withColumn("_digest", digest)
-        .join(seen, ["project", "rel_path", "_digest"], "left_anti")
+        .join(seen.hint("merge"), ["project", "rel_path", "_digest"], "left_anti")
         .drop("_digest")
     )

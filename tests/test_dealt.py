@@ -30,3 +30,11 @@ def test_streamed_sources_are_dealt_out(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog.jobs, "stream_items", lambda sources: (seen.append(sources), real(sources))[1])
     assert sum(r["items"] for r in catalog.QUERIES["stream_items"](spark, sf).collect()) > 40
     assert "Repartition" in seen[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_changed_sources_are_dealt_out_and_not_broadcast(spark, sf):
+    after = b.changed_sources(spark, sf)
+    assert tasks(after) >= spark.sparkContext.defaultParallelism
+    changed = catalog.files.changed_sources(after, b.sources(spark, sf))
+    assert "Broadcast" not in changed._jdf.queryExecution().executedPlan().toString()
+    assert changed.count() == 18  # even sizes; 0 and 34 hold no docstring to edit
