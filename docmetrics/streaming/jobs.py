@@ -78,8 +78,23 @@ def landed(stream: DataFrame, checkpoint: str, path: str) -> int:
 
     The file sink's log names what each batch wrote, so a batch that runs again adds nothing.
     """
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    spark = stream.sparkSession
+    # Each batch lists its files anew, by default in a task per file, and reads 32 in a task:
+    # small files need a few tasks a core. The listing takes the settings of the session while it runs.
+    few = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(2 * spark.sparkContext.defaultParallelism),
+        "spark.sql.files.openCostInBytes": str(1 << 16),
+        "spark.sql.streaming.fileSource.cleaner.numThreads": "8",
+    }
+    before = {key: spark.conf.get(key) for key in few}
+    try:
+        for key, value in few.items():
+            spark.conf.set(key, value)
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return len(query.recentProgress)
 
 

@@ -236,3 +236,14 @@ def test_tree_is_listed_by_executors(spark, folder):
     empty = f"{folder}/none"
     os.makedirs(empty)
     assert files.read_sources(spark, empty, "demo").count() == 0
+
+
+def test_landed_files_take_few_tasks(spark, folder):
+    for i in range(400):
+        put(f"{folder}/in/d{i % 3}/f{i}.py", f"x = {i}\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    jobs.landed(files.stream_sources(spark, f"{folder}/in", "demo"), f"{folder}/state", f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out")
+    assert {r.source for r in rows.collect()} == {f"x = {i}\n" for i in range(400)}
+    assert len(rows.inputFiles()) <= spark.sparkContext.defaultParallelism  # not a task for each 32 files
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
