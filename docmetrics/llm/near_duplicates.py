@@ -12,14 +12,15 @@ sweeps are made, the second over what the first left and with the whole sketch.
 
 Each class is compared with the head of its lists first (the class with the fewest values of
 its own), one pair per class. Then pairs of classes that are still apart are compared, unless
-the values that nobody shares, up to where both sketches reach, already rule a link out. In a
-long list (a template of many texts) the head, its smallest set, is asked what it shares with
-each class. A class that needs more for any link must share retained values beside the head
-with its partner, which make new lists. The others are compared with
-the head on full sets. Two linked sets that share nothing beside a set no larger than they are
-are both linked with it, so of these, too, only those meet that share something beside the
-head, now of the full sets. A group of n near copies and n texts of one template so cost about
-n pairs. The bottom k of the union of two sketches estimates their similarity; where
+the values that nobody shares, up to where both sketches reach, already rule a link out. A long
+list (a template of many texts, copies with a few words changed) is not compared pair by pair: the
+head, the class with the fewest values of its own, is asked how each class differs from it, on full
+sets. Two classes that link with the head need no other pair. If one of two linked classes does not,
+nearly half of either's differences (values it lacks or has beside the head) are the other's too, and
+how many follows from their sizes. Values that nobody else in the list differs by don't count, so a
+class that differs mostly by words of its own meets nobody; the others meet by their rarest
+differences. A group of n near copies and n texts of one template so cost about n pairs.
+The bottom k of the union of two sketches estimates their similarity; where
 it holds both sets whole it is exact, all others that pass are checked on the full sets.
 """
 
@@ -42,7 +43,7 @@ LAST_K = 20  # retained values by which classes that are still apart meet
 LAST_SHARE = 8  # of these, similar sets share so many (mean 17 at 0.85, 5.6 deviations less); 7 at 0.8
 SIGMAS = 5.0
 SLICE = 250_000  # bytes of text that a task works on at once
-LONG = 64  # classes in a list, beyond which its head is asked what they share with it
+LONG = 64  # classes in a list, beyond which its head is asked how they differ from it
 EVERY = 16  # of a sketch's shared values, one in so many goes along to bound what two classes share
 
 
@@ -172,26 +173,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     return _with_texts(pairs, docs).mapInArrow(run, "a binary, b binary")
 
 
-def _beside(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Of each pair of a class a and a head b: a, b, n (size of a's set), shared, vals (of a's full set, without the head's)."""
+def _differences(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Of each pair of a class a and a head b: a, b, n and nb (sizes of the full sets), vals (that one of them has and the other has not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "n", "shared", "vals"]
+        names = ["a", "b", "n", "nb", "vals"]
         for batch in batches:
             rows, held = [], 0
             for i, x, y in _sets_of(batch, width):
-                rows.append((i, len(x), np.setdiff1d(x, y, assume_unique=True)))
-                held += len(rows[-1][2])
+                rows.append((i, len(x), len(y), np.setxor1d(x, y, assume_unique=True)))
+                held += len(rows[-1][3])
                 if held > 1_000_000 or i == batch.num_rows - 1:
-                    at, sizes, vals = zip(*rows, strict=True)
+                    at, n, nb, vals = zip(*rows, strict=True)
                     some = batch.select(["a", "b"]).take(pa.array(at))
                     ends = np.cumsum([0, *map(len, vals)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        *some.columns, pa.array(sizes, pa.int64()), pa.array([m - len(v) for m, v in zip(sizes, vals, strict=True)], pa.int64()),
+                        *some.columns, pa.array(n, pa.int64()), pa.array(nb, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(vals)), pa.int64()))], names=names)
                     rows, held = [], 0
 
-    return _with_texts(pairs, docs).mapInArrow(run, "a binary, b binary, n long, shared long, vals array<long>")
+    return _with_texts(pairs, docs).mapInArrow(run, "a binary, b binary, n long, nb long, vals array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,11 +239,43 @@ def _prefixes(values: DataFrame, whole: int, share_of) -> DataFrame:
         "v", "held").withColumn("v", F.explode("prefix"))
 
 
-def _first(held: DataFrame, by: str, needs: Column) -> DataFrame:
-    """The rarest of the held values, among them one of any `needs` that a partner shares: by, v, node, prefix."""
-    take = F.size("held") - F.greatest(needs, F.lit(1)) + 1
-    first = held.withColumn("take", take.cast("int")).where("take > 0").select(by, "node", F.slice("held.v", 1, F.col("take")).alias("prefix"))
-    return first.select(by, F.explode("prefix").alias("v"), "node", "prefix")
+def _differing_alike(differences: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b of different components that may be linked, and do not both link with their head.
+
+    differences: g (the head), node, n, nb, c (component), vals. With a set's differences from the
+    head as its own, two sets of n and m values with x differences in common differ by d = |A| + |B| - 2x
+    values, and are linked if (den + num) * d <= (den - num) * (n + m): if 2 * (den + num) * x reaches
+    the sum of both weights, (den + num) * |A| - (den - num) * n each. A set links with the head if its
+    weight is at most (den - num) * nb, else it is far.
+    """
+    both, less = den + num, den - num
+    weight = both * F.size("vals") - less * F.col("n")
+    sides = differences.withColumn("weight", weight).withColumn("far", F.col("weight") > less * F.col("nb"))
+    key = ["g", "node", "n", "nb", "c", "weight", "far"]
+    values = sides.select(*key, F.explode("vals").alias("v"))
+    often = values.groupBy("g", "v").agg(F.count("*").alias("df"), F.max("far").alias("any")).where("df > 1 and any").drop("any")
+    held = values.join(often, ["g", "v"]).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # at most the text's own set and its head's
+    # Common differences, at least: of a partner that is far, and of one that links with the head.
+    largest = F.floor(F.col("n") * den / F.lit(num))
+    alike = F.greatest(F.floor((F.col("weight") + less * F.col("nb")) / (2 * both)) + 1, F.ceil((F.col("weight") - less * largest) / both))
+    near = F.ceil((F.col("weight") - less * F.least(largest, F.floor(F.col("nb") * den / F.lit(num)))) / both)
+    take = F.size("held") + 1 - F.greatest(alike, F.lit(1))
+    long = F.when(F.col("far"), F.greatest(take, F.size("held") + 1 - F.greatest(near, F.lit(1)))).otherwise(take)
+    held = held.withColumn("take", take.cast("int")).withColumn("long", F.least(long, F.size("held")).cast("int")).where("long > 0")
+    held = stored(held.select(
+        *key, "take", F.size("held").alias("open"), F.slice("held.v", 1, F.col("long")).alias("prefix")).withColumn("long", F.size("prefix")), "held")
+    left = held.where("far").select(
+        "g", "node", "n", "c", "weight", "open", "take", "prefix", F.posexplode("prefix").alias("at", "v"))
+    right = held.where("take > 0").withColumn("prefix", F.slice("prefix", 1, F.col("take"))).select(
+        "g", *(F.col(x).alias("r" + x) for x in ("node", "n", "c", "weight", "open", "far", "prefix")), F.explode("prefix").alias("v"))
+    pairs = left.join(right, ["g", "v"]).where(
+        (F.col("c") != F.col("rc"))
+        & (~F.col("rfar") | ((F.col("at") < F.col("take")) & (F.col("node") < F.col("rnode"))))
+        & (den * F.least("n", "rn") >= num * F.greatest("n", "rn"))
+        & (2 * both * F.least("open", "ropen") >= F.col("weight") + F.col("rweight"))
+        & (F.array_intersect("prefix", "rprefix")[0] == F.col("v")))
+    return pairs.select(F.least("node", "rnode").alias("a"), F.greatest("node", "rnode").alias("b"))
 
 
 def _every(values: Column) -> Column:
@@ -335,75 +368,36 @@ def _grouped(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, k:
         k, lambda n, m: F.ceil(m * _share(LAST_K, LAST_SHARE, t) / LAST_K))
 
     def bounded(side: DataFrame) -> DataFrame:
-        """Pairs a, b of one list (g, v) that are apart and that the bounds allow; side has facts and the list's largest part."""
-        rest = side.where("c <> most").select("g", "v", *(F.col(c).alias("r" + c) for c in ("node", "n", "c", "open", "prefix", "steps", "reach")))
+        """Pairs a, b of one list v that are apart and that the bounds allow; side has facts and the list's largest part."""
+        rest = side.where("c <> most").select("v", *(F.col(c).alias("r" + c) for c in ("node", "n", "c", "open", "prefix", "steps", "reach")))
         both = F.least("reach", "rreach")
         most = F.least(_up_to("open", "steps", both), _up_to("ropen", "rsteps", both))
         whole = (num + den) * F.least("open", "ropen") >= num * (F.col("n") + F.col("rn"))
         hidden = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("n") + F.col("rn")))  # share of the union beyond the sketch
-        pairs = rest.join(side, ["g", "v"]).where(
+        pairs = rest.join(side, "v").where(
             (F.col("c") != F.col("rc"))
             & (den * F.least("n", "rn") >= num * F.greatest("n", "rn"))
             & F.when(F.greatest("n", "rn") <= k, whole).otherwise(most >= k * t - slack * F.sqrt(hidden) - 1e-6)
             & (F.array_intersect("prefix", "rprefix")[0] == F.col("v")))
         return pairs.select(F.least("node", "rnode").alias("a"), F.greatest("node", "rnode").alias("b"))
 
-    # A list (g, v): v a retained value, g the heads that were asked before. needs: how many of its
-    # values (vals) a class shares with a partner that meets it under g.
-    entries = last.select(F.lit(0).cast("long").alias("g"), "v", "node", "prefix")
-    state = near.select(F.lit(0).cast("long").alias("g"), "node", F.col("sketch").alias("vals"),
-                        second_share(F.col("n"), F.size("sketch").cast("long")).cast("int").alias("needs"))
-    apart, asked = [], []
-    for level in range(2):  # in lists beside a head all pairs meet that the bounds allow
-        side = stored(entries.join(facts, "node"), "apart")
-        lists_now = stored(
-            side.groupBy("g", "v", "c").agg(F.count("*").alias("size"), F.min(F.struct("n", F.bitwise_not("reach").alias("far"), "node")).alias("h"))
-            .groupBy("g", "v").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts"), F.sum("size").alias("size"), F.min("h").alias("h"))
-            .where("parts > 1").select("g", "v", F.col("x.c").alias("most"), F.when((F.col("size") > LONG) & F.lit(level == 0), F.col("h.node")).alias("head")), "lists")
-        mixed = side.join(lists_now, ["g", "v"])
-        apart.append(bounded(mixed.where("head is null")))
-        if lists_now.where("head is not null").isEmpty():
-            break
-        # What the classes of long lists hold beside the head, and how much of that a link still needs.
-        long = mixed.where("head is not null")
-        beside = stored(
-            long.select("g", "head", "node").distinct().join(state, ["g", "node"])
-            .join(near.select(F.col("node").alias("head"), F.col("sketch").alias("headed")), "head")
-            .select("g", "head", "node", "needs", F.size("vals").alias("had"), F.array_except("vals", "headed").alias("vals"))
-            .select("g", "head", "node", "vals", (F.col("needs") - F.col("had") + F.size("vals")).alias("needs")), "beside")
-        asked.append(beside.where("needs <= 0").select("node", "head"))
-        state = beside.select(F.xxhash64("g", "head").alias("g"), "node", "vals", "needs")
-        values = state.select("g", "node", "needs", F.explode("vals").alias("v"))
-        often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
-        held = values.join(often, ["g", "v"]).groupBy("g", "node", "needs").agg(
-            F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # at most the sketch size
-        entries = _first(held, "g", F.col("needs"))
-    if asked:
-        # Those that share with a head all that a link needs: on full sets, what they hold beside it.
-        close = asked[0]
-        for some in asked[1:]:
-            close = close.union(some)
-        close = stored(close.where("node <> head").distinct().join(facts.select("node", "c"), "node"), "close")
-        parts = close.join(facts.select(F.col("node").alias("head"), F.col("c").alias("hc")), "head")
-        parts = parts.groupBy("head").agg(F.max(F.col("c") != F.col("hc")).alias("mixed")).where("mixed").select("head")
-        close = close.join(parts, "head", "left_semi").select("node", "head", "c")
-        apart.append(close.join(facts.select(F.col("node").alias("head"), F.col("c").alias("hc")), "head").where("c <> hc").select(
-            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
-        own = near.select(F.col("node").alias("a"), F.col("doc_id").alias("ida"), F.col("t").alias("ta"))
-        theirs = near.select(F.col("node").alias("b"), F.col("doc_id").alias("idb"), F.col("t").alias("tb"))
-        beside = stored(_beside(close.select(F.col("node").alias("a"), F.col("head").alias("b")).join(own, "a").join(theirs, "b"), docs, width), "beside")
-        values = beside.select(F.col("b").alias("g"), F.col("a").alias("node"), (F.ceil(F.col("n") * num / F.lit(den)) - F.col("shared")).alias("needs"),
-                               F.explode("vals").alias("v"))
-        often = values.groupBy("g", "v").agg(F.count("*").alias("df")).where("df > 1")
-        held = values.join(often, ["g", "v"]).groupBy("g", "node", "needs").agg(
-            F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))  # at most the text's own set
-        side = stored(_first(held, "g", F.col("needs")).join(facts, "node"), "apart")
-        most = side.groupBy("g", "v", "c").agg(F.count("*").alias("size")).groupBy("g", "v").agg(
-            F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("g", "v", F.col("x.c").alias("most"))
-        apart.append(bounded(side.join(most, ["g", "v"])))
-    pairs = apart[0]
-    for more in apart[1:]:
-        pairs = pairs.union(more)
+    side = stored(last.select("v", "node", "prefix").join(facts, "node"), "apart")
+    own = F.least(F.col("n"), F.lit(k)) - F.col("open")
+    lists_now = stored(
+        side.groupBy("v", "c").agg(F.count("*").alias("size"), F.min(F.struct(own.alias("own"), "n", "node")).alias("h"))
+        .groupBy("v").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts"), F.sum("size").alias("size"), F.min("h").alias("h"))
+        .where("parts > 1").select("v", F.col("x.c").alias("most"), F.when(F.col("size") > LONG, F.col("h.node")).alias("head")), "lists")
+    pairs = bounded(side.join(lists_now.where("head is null"), "v"))
+    if not lists_now.where("head is not null").isEmpty():
+        asked = side.join(lists_now.where("head is not null"), "v").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+        asked = asked.join(near.select(F.col("node").alias("a"), F.col("doc_id").alias("ida"), F.col("t").alias("ta")), "a").join(
+            near.select(F.col("node").alias("b"), F.col("doc_id").alias("idb"), F.col("t").alias("tb")), "b")
+        differ = _differences(asked, docs, width).join(facts.select(F.col("node").alias("a"), "c"), "a").join(
+            facts.select(F.col("node").alias("b"), F.col("c").alias("hc")), "b")
+        differ = stored(differ.select(F.col("b").alias("g"), F.col("a").alias("node"), "n", "nb", "c", "hc", "vals"), "differ")
+        with_head = differ.where((F.col("c") != F.col("hc")) & ((den + num) * F.size("vals") <= (den - num) * (F.col("n") + F.col("nb"))))
+        pairs = pairs.union(with_head.select(F.least("node", "g").alias("a"), F.greatest("node", "g").alias("b"))).union(
+            _differing_alike(differ, num, den))
     more = links(stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs"), "rest")
     ends = components(first_links.union(more))
 

@@ -113,6 +113,24 @@ def test_near_duplicates_templates_are_linear(spark, monkeypatch):
     assert sum(met) < 4 * len(docs)
 
 
+def test_near_duplicates_edited_copies_are_linear(spark, monkeypatch):
+    """Copies of one text with a few words changed, of which many are too far for a link, do not all meet as pairs."""
+    met, estimate = [], near_duplicates._estimated
+    monkeypatch.setattr(near_duplicates, "_estimated", lambda pairs, *how: (met.append(pairs.count()), estimate(pairs, *how))[1])
+    monkeypatch.setattr(near_duplicates, "LONG", 8)
+    rng, base, docs = np.random.default_rng(8), words(8, 150), []
+    for i in range(200):
+        ws = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 5)):
+            ws[int(at)] = f"edit{rng.integers(1000)}"
+        docs.append((i, " ".join(ws)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = linked(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 50
+    assert sum(met) < 4 * len(docs)
+
+
 @pytest.mark.parametrize("long", [1, 64])
 def test_near_duplicates_random_edits(spark, monkeypatch, long):
     """A group of edited copies around the threshold, with a passage that all documents share."""
