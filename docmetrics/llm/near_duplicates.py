@@ -202,15 +202,16 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes; each step is a written table. Nodes without an edge have no row.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    marks = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    mark = now.agg(*marks).first()
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
         now = stored(small, "edges")
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        got = now.agg(*marks).first()
         if got == mark:
             break
         mark = got
@@ -399,10 +400,13 @@ def _grouped(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, k:
         pairs = pairs.union(with_head.select(F.least("node", "g").alias("a"), F.greatest("node", "g").alias("b"))).union(
             _differing_alike(differ, num, den))
     more = links(stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs"), "rest")
-    ends = components(first_links.union(more))
-
-    classes = reps.join(ends, reps["digest"] == ends["node"], "left").select(
+    classes = reps.join(known.withColumnRenamed("node", "digest"), "digest", "left").select(
         "digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    if not more.isEmpty():  # links between the components that the first ones made
+        into = classes.select("digest", "component")
+        between = more.join(into.toDF("a", "ca"), "a").join(into.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(between).toDF("component", "root")
+        classes = classes.join(joined, "component", "left").select("digest", "doc_id", F.coalesce("root", "component").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
     out = ids.join(classes.drop("doc_id").join(smallest, "component"), "digest", "left")
     own = F.coalesce("smallest", "doc_id")
