@@ -421,6 +421,7 @@ def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     one whose set, then text, has the smaller hash, and of rows equal in both the smallest. Texts without words are
     groups of their own. Rows without a doc_id stay. Columns are those of docs."""
     rows = _grouped(docs, **how).where("kept and doc_id is not null").groupBy("component", "doc_id", "digest", "t").agg(F.count("*").alias("n"))
+    rows = stored(rows, "kept")  # read twice
     one = rows.where("component is not null").groupBy("component").agg(
         F.min(F.struct("doc_id", "digest", "t", "n")).alias("row")).select("row.doc_id", "row.t", "row.n")
     ids = one.union(rows.where("component is null").select("doc_id", "t", "n")).select(
