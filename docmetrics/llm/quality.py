@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from docmetrics.llm.common import BYTES, mix, slices, stored, table, text_arg, word_hashes
+from docmetrics.llm.common import BYTES, mix, slices, stored, table, utf8_of, with_text, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("symbols", "capitals", "shouts", "mean_length")
+SLICE = 250_000  # bytes of text whose words a task has in memory at once
 
 _DROP = {name: bytes(b for b in range(256) if b not in keep) for name, keep in {
     "symbols": SYMBOLS, "capitals": bytes(range(65, 91)), "shouts": b"!"}.items()}
@@ -125,24 +126,24 @@ class Model(NamedTuple):
 
 def with_statistics(docs: DataFrame, columns: list[str], forest: Forest | None = None) -> DataFrame:
     """The given columns of every row under names c0, c1, ..., BASE counts and shares; with a forest, the score too."""
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    rows, text = with_text(docs, columns)
     schema = StructType([
-        *carried.schema.fields, *[StructField(c, LongType()) for c in BASE], StructField("shares", ArrayType(DoubleType())),
+        *rows.schema.fields[:len(columns)], *[StructField(c, LongType()) for c in BASE], StructField("shares", ArrayType(DoubleType())),
         *([StructField("score", DoubleType())] if forest else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch, "utf8", 1_000_000):
+            for lo, hi in slices(batch, text, 4 * SLICE):  # few batches to return and to score
                 part = batch.slice(lo, hi - lo)
-                base, shares = statistics(part.column("utf8").to_pylist())
+                found = [statistics(utf8_of(part.column(text).slice(a, b - a))) for a, b in slices(part, text, SLICE)]
+                base, shares = (np.concatenate(x) for x in zip(*found, strict=True))
                 ends = np.arange(0, shares.size + 1, len(SHARES), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *[pa.array(c) for c in base.T.copy()],
+                    [*part.columns[:len(columns)], *[pa.array(c) for c in base.T.copy()],
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(shares.ravel())), *([pa.array(forest.scores(shares))] if forest else [])],
-                    names=[*part.schema.names[:-1], *BASE, "shares", *(["score"] if forest else [])])
+                    names=[*part.schema.names[:len(columns)], *BASE, "shares", *(["score"] if forest else [])])
 
-    utf8 = text_arg().alias("utf8")
-    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], utf8).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

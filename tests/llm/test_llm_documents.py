@@ -232,6 +232,21 @@ def test_quality_rejects_the_odd_ones(spark):
     assert {400, 100, 1} <= {r.doc_id for r in no_labels.collect()}
 
 
+def test_texts_go_to_python_once(spark):
+    docs = odd_docs(spark)
+    index = decontaminate.Index(np.ones(decontaminate.TERMS), np.ones((decontaminate.TERMS, decontaminate.RANK), np.float32))
+    items = [decontaminate.Item(1, [w.encode() for w in words(1, 120)[:30]])]
+    for rows in (quality.with_statistics(docs, docs.columns), decontaminate.with_matches(docs, docs.columns, index, items)):
+        assert rows._jdf.queryExecution().analyzed().children().head().output().size() == len(docs.columns)
+    at = [f"c{docs.columns.index(c)}" for c in ("doc_id", "text")]
+    got = quality.with_statistics(docs, docs.columns).select(*at, *quality.BASE).collect()
+    assert [tuple(r)[:2] for r in got] == [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert [tuple(r)[2:] for r in got if len(r[1] or "") < 5000] == [lines_and_windows(r[1]) for r in got if len(r[1] or "") < 5000]
+    # Without the text among the columns, the same counts.
+    apart = quality.with_statistics(docs, ["doc_id"]).select("c0", *quality.BASE).collect()
+    assert [tuple(r)[1:] for r in apart] == [tuple(r)[2:] for r in got]
+
+
 def test_toxicity_marginals():
     rng = np.random.default_rng(0)
     for _ in range(20):
