@@ -64,8 +64,9 @@ def landed_files(spark, sf):
     counted = []
     for wave in (0, 1):
         files.write_tree(rows.where(F.crc32(F.col("module").cast("binary")) % 2 == wave), f"{base}/in")
-        stream = files.stream_sources(spark, f"{base}/in", "all", archive=f"{base}/done")
+        stream = files.stream_sources(spark, f"{base}/in", "all", archive=f"{base}/done", listed=f"{base}/listed")
         counted.append(jobs.landed(stream, f"{base}/state", f"{base}/out"))
+    files.list_landed(spark, f"{base}/in", f"{base}/listed", archive=f"{base}/done", take=False)
     return digested(spark.read.parquet(f"{base}/out"))
 
 

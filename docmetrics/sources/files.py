@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import re
+import shutil
 import stat
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from docmetrics.session import scratch_dir
 # File names that hold no documentable code.
 SKIPPED_NAMES = ["__init__.py", "setup.py", "conftest.py", "manage.py"]
 MIGRATION_NAME = r"^[0-9a-f]{12}_.*\.py$"
+_PUBLIC = r"[^_].*\.py|\.py"  # Python files whose name is not private
 
 
 def file_name(path: Column) -> Column:
@@ -98,8 +102,8 @@ def _listed(folders: DataFrame, pattern: str) -> DataFrame:
     return folders.mapInArrow(run, "path string, length long, is_dir boolean")
 
 
-def _walked(spark: SparkSession, root: str, pattern: str, max_bytes: int | None) -> DataFrame:
-    """path and content of the files below a local folder, listed and opened by the executors.
+def _walked(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path and length of the files below a local folder, listed by the executors.
 
     The lists of each depth are written to the scratch folder; the driver learns only whether
     there are folders below.
@@ -113,16 +117,30 @@ def _walked(spark: SparkSession, root: str, pattern: str, max_bytes: int | None)
         if not folders.head(1):
             break
         folders, depth = folders.repartition(tasks), depth + 1
-    files = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)]).where("not is_dir")
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
+    return spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)]).where("not is_dir").select("path", "length")
+
+
+def _text_of(path: str, archive: str | None) -> bytes:
+    """A file's bytes; with archive, of the one moved there if it was (it may be moved meanwhile)."""
+    places = [archive + path, path, archive + path] if archive else [path]
+    for i, place in enumerate(places):
+        try:
+            with open(place, "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            if i == len(places) - 1:
+                raise
+    raise AssertionError
+
+
+def _opened(paths: DataFrame, archive: str | None = None) -> DataFrame:
+    """path and content of local files (path), opened by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, texts, size = [], [], 0
             for path in batch.column("path").to_pylist():
-                with open(path, "rb") as f:
-                    texts.append(f.read())
+                texts.append(_text_of(path, archive))
                 paths.append(path)
                 size += len(texts[-1])
                 if size >= 4_000_000:
@@ -131,7 +149,13 @@ def _walked(spark: SparkSession, root: str, pattern: str, max_bytes: int | None)
             if paths:
                 yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary())], names=["path", "content"])
 
-    return files.select("path").repartition(tasks).mapInArrow(run, "path string, content binary")
+    return paths.mapInArrow(run, "path string, content binary")
+
+
+def _local(root: str) -> str | None:
+    """The path of a local or mounted folder as the executors open it; None for other schemes and globs."""
+    path = re.sub(r"^file:/+", "/", root).rstrip("/")
+    return os.path.normpath(path) if path.startswith("/") and not re.search(r"[*?\[\]{}\\%]", path) else None
 
 
 def read_sources(
@@ -155,12 +179,15 @@ def read_sources(
     A local or mounted folder is listed by the executors, so no list of all files comes to the
     driver; other schemes, globs and `also` go through Spark's file scan.
     """
-    local = re.sub(r"^file:/+", "/", root).rstrip("/")
-    walk = local.startswith("/") and not root.endswith(".py") and not re.search(r"[*?\[\]{}\\%]", local) and os.path.isdir(local)
+    local = _local(root)
+    walk = local is not None and not root.endswith(".py") and os.path.isdir(local)
     folders = [f"{root.rstrip('/')}/{part}" for part in also]
     found = []
     if walk:
-        found.append(_walked(spark, os.path.normpath(local), r"[^_].*\.py|\.py" if documentable_only else r".*\.py", max_bytes))
+        files = _walked(spark, local, _PUBLIC if documentable_only else r".*\.py")
+        if max_bytes is not None:
+            files = files.where(F.col("length") <= max_bytes)
+        found.append(_opened(files.select("path").repartition(3 * spark.sparkContext.defaultParallelism)))
     if folders or not walk:
         reader = spark.read.format("binaryFile")
         if not root.endswith(".py"):
@@ -212,6 +239,72 @@ def write_tree(sources: DataFrame, root: str) -> None:
     sources.select("rel_path", "source").mapInArrow(run, "files long").agg(F.sum("files")).collect()
 
 
+def _seen(spark: SparkSession, listed: str) -> DataFrame:
+    """path of the files in a table of list_landed()."""
+    try:
+        return spark.read.schema("path string").parquet(listed)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "path string")
+        raise
+
+
+def _to_archive(paths: DataFrame, archive: str) -> None:
+    """Move local files to their path below archive, by the executors. One whose path is there already stays, as does one that is gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = 0
+            for path in batch.column("path").to_pylist():
+                to = archive + path
+                if os.path.exists(to):
+                    continue
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                try:
+                    os.rename(path, to)
+                except FileNotFoundError:  # by a task that ran before
+                    continue
+                except OSError as e:
+                    if e.errno != errno.EXDEV:
+                        raise
+                    whole = f"{os.path.dirname(to)}/_{uuid.uuid4().hex}"
+                    shutil.copy2(path, whole)
+                    os.replace(whole, to)
+                    os.unlink(path)
+                moved += 1
+            yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], names=["files"])
+
+    paths.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def _listable(directory: str, archive: str | None) -> bool:
+    """Whether executors can list a landing directory and move its files."""
+    local = _local(directory)
+    return local is not None and os.path.isdir(local) and (archive is None or _local(archive) is not None)
+
+
+def list_landed(spark: SparkSession, directory: str, listed: str, per_part: int = 10000, archive: str | None = None, take: bool = True) -> None:
+    """Add the files that have landed in a local directory and are not in the table `listed` yet to it.
+
+    Each path is listed once, also if a file lands under it again. Executors list, compare and
+    write; a part of the table has at most `per_part` paths. With `archive`, files that were listed
+    before are moved there. With take=False nothing is added, only moved. Nothing is done where
+    stream_sources() goes through Spark's file stream.
+    """
+    tasks, root = 3 * spark.sparkContext.defaultParallelism, _local(directory)
+    if not _listable(directory, archive):
+        return
+    if archive and f"{_local(archive)}/".startswith(f"{root}/"):
+        raise ValueError("the archive is a part of the landing directory")
+    lying = _walked(spark, root, _PUBLIC).select("path")
+    # Paths that are small on disk are not small in memory: they are never sent whole to each machine.
+    seen = _seen(spark, listed).hint("merge")
+    if archive:
+        _to_archive(lying.join(seen, "path", "left_semi").repartition(tasks), _local(archive))
+    if take:
+        lying.join(seen, "path", "left_anti").repartition(tasks).write.mode("append").option("maxRecordsPerFile", per_part).parquet(listed)
+
+
 def stream_sources(
     spark: SparkSession,
     directory: str,
@@ -219,12 +312,25 @@ def stream_sources(
     snapshot_id: str = "latest",
     max_files_per_trigger: int = 10000,
     archive: str | None = None,
+    listed: str | None = None,
 ) -> DataFrame:
     """The landing directory as a stream of files.
 
     With `archive`, files that have been taken are moved there once a later batch is done, so the
     directory does not grow with what has landed.
+
+    Spark's file stream keeps every file's name on the driver. With `listed`, a folder that goes
+    with the stream's checkpoint, the driver holds one name per many files: list_landed() adds what lies in
+    a local or mounted directory now to the table there, and the stream reads this table and opens the files.
+    What lands later is taken once list_landed() runs or the stream is defined again; files listed
+    before are moved to the archive then, and are opened there. max_files_per_trigger then holds for a
+    part of the table, and a batch has up to three parts a core.
     """
+    if listed and _listable(directory, archive):
+        list_landed(spark, directory, listed, max_files_per_trigger, archive)
+        parts = spark.readStream.schema("path string").option("maxFilesPerTrigger", 3 * spark.sparkContext.defaultParallelism).parquet(listed)
+        files = _opened(parts, _local(archive) if archive else None)
+        return _as_text(_kept(_named(files, directory, project, snapshot_id), True, ()))
     reader = spark.readStream.format("binaryFile")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)

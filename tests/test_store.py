@@ -247,3 +247,47 @@ def test_landed_files_take_few_tasks(spark, folder):
     assert {r.source for r in rows.collect()} == {f"x = {i}\n" for i in range(400)}
     assert len(rows.inputFiles()) <= spark.sparkContext.defaultParallelism  # not a task for each 32 files
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_landed_files_keep_no_list_on_the_driver(spark, tmp_path):
+    """Two waves of part files: each taken once and archived, and no name of theirs in the driver's log of the stream."""
+    from docmetrics.plans import stored
+
+    spark.createDataFrame([(i, f"n{i % 17}", f"b{i % 3}", f"t{i % 4}", i % 11 + 1, 1.0) for i in range(300)] * 2,
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    got = {(r.rel_path, r.module, r.digest) for r in stored.landed_files(spark, str(tmp_path)).collect()}
+    want = stored.digested(stored.tree(spark, str(tmp_path)).where("not contains(rel_path, '/tests/') and not contains(rel_path, '/_')"))
+    assert got == {(r.rel_path, r.module, r.digest) for r in want.collect()} and len(got) == 300 - 34 - 38
+    base = f"{shared}/{next(x for x in os.listdir(shared) if x.startswith('landing-') and x not in before)}"
+    log = "".join(open(os.path.join(d, f), errors="replace").read() for d, _, fs in os.walk(f"{base}/state/sources") for f in fs if not f.endswith(".crc"))
+    assert ".parquet" in log and ".py" not in log
+    taken = {os.path.join(d, f).partition("/in/")[2] for d, _, fs in os.walk(f"{base}/done") for f in fs}
+    assert taken >= {r[0] for r in got} and not [f for _, _, fs in os.walk(f"{base}/in") for f in fs if f.startswith("part")]
+
+
+def test_listed_files_are_taken_once(spark, folder):
+    def run():
+        stream = files.stream_sources(spark, f"{folder}/in", "demo", max_files_per_trigger=2, archive=f"{folder}/done", listed=f"{folder}/listed")
+        jobs.landed(stream, f"{folder}/state", f"{folder}/out")
+        return sorted((r.rel_path, r.source) for r in spark.read.parquet(f"{folder}/out").collect())
+
+    for i in range(9):
+        put(f"{folder}/in/d{i % 2}/f{i}.py", f"x = {i}\n")
+    put(f"{folder}/in/d0/_g.py", "x = 0\n")
+    put(f"{folder}/in/d0/empty.py", "")
+    first = [(f"d{i % 2}/f{i}.py", f"x = {i}\n") for i in range(9)]
+    assert run() == sorted(first)
+    # What was listed but not read yet is read where it was moved to.
+    put(f"{folder}/in/late.py", "y = 1\n")
+    files.list_landed(spark, f"{folder}/in", f"{folder}/listed", archive=f"{folder}/done")
+    files.list_landed(spark, f"{folder}/in", f"{folder}/listed", archive=f"{folder}/done", take=False)
+    assert not os.path.exists(f"{folder}/in/late.py") and os.path.exists(f"{folder}/done{folder}/in/late.py")
+    put(f"{folder}/in/d0/f0.py", "again = 1\n")  # under a path that was taken
+    put(f"{folder}/in/new.py", "z = 1\n")
+    want = sorted([*first, ("late.py", "y = 1\n"), ("new.py", "z = 1\n")])
+    assert run() == want and run() == want
+    assert open(f"{folder}/done{folder}/in/d0/f0.py").read() == "x = 0\n" and open(f"{folder}/in/d0/f0.py").read() == "again = 1\n"
+    with pytest.raises(ValueError):
+        files.list_landed(spark, f"{folder}/in", f"{folder}/listed", archive=f"{folder}/in/done")
