@@ -492,6 +492,35 @@ def test_decontamination_fits_all_items(spark):
     assert got == {(i, i) for i in range(0, 4000, 40)}
 
 
+def test_decontamination_fits_all_passages(spark):
+    """The space of more documents than a sample of 4,000 is that of the TF-IDF matrix of all passages, by plain numpy."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join([*words(i, int(rng.integers(1, 90))), f"only{i}"]) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(6000, None), (6001, " ")], "doc_id long, text string").repartition(7)
+    items = [" ".join(words(9000 + i, 20)) for i in range(30)]
+    index = decontaminate.fit(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    used = np.unique(decontaminate.word_terms([t.encode() for t in texts])[0])
+    assert (np.abs(index.vectors[used]).sum(1) > 0).all()  # also of words that one document has
+
+    width = decontaminate.RANK + decontaminate.EXTRA
+    omega = np.random.default_rng(11).standard_normal((decontaminate.TERMS, width)).astype(np.float32)
+    cut = [t.encode().split() for t in [*texts, *items]]
+    cut = [w[i: i + decontaminate.PASSAGE] for w in cut for i in range(0, len(w), decontaminate.PASSAGE)]
+    rows = np.zeros((len(cut), decontaminate.TERMS), np.float32)
+    for i, w in enumerate(cut):
+        np.add.at(rows[i], decontaminate.word_terms([b" ".join(w)])[0], 1)
+    n = len(cut) - len(items)
+    idf = np.log(1 + n / (1.0 + (rows[:n] > 0).sum(0)))
+    assert np.allclose(idf, index.idf)
+    rows *= idf
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    q, _ = np.linalg.qr(rows.astype(float) @ omega)
+    _, sigma, right = np.linalg.svd(q.T @ rows, full_matrices=False)
+    want = right[: decontaminate.RANK].T / sigma[: decontaminate.RANK] * idf[:, None]
+    got = index.vectors * np.sign((index.vectors * want).sum(0))
+    assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
 @given
 def test_decontamination_cosine_recall(spark):
     """The cosine alone finds 0.9 of what the check accepts, word for word and paraphrased, at random places."""
